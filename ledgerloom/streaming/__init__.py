@@ -1,0 +1,4 @@
+"""Empty on purpose: every feed in scope is a batch feed.
+
+Late facts are handled by the two time axes (`operators.temporal`), not by watermarks.
+"""
