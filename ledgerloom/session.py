@@ -24,6 +24,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "ledger
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
