@@ -117,11 +117,11 @@ BASE: dict[str, str] = {
     "stages": """
         SELECT 'DL-' || user_id AS deal_id, CASE event_type WHEN 'signup' THEN 'sourcing' WHEN 'view' THEN 'screening'
                WHEN 'click' THEN 'due_diligence' WHEN 'purchase' THEN 'closed_won' WHEN 'error' THEN 'passed' END AS stage,
-               min(ts) AS at
+               min(ts) AS since
         FROM events GROUP BY user_id, event_type""",
     "steps": """
-        SELECT *, lead(stage) OVER w AS next_stage, epoch_us(lead(at) OVER w) - epoch_us(at) AS us
-        FROM stages WINDOW w AS (PARTITION BY deal_id ORDER BY at, stage)""",
+        SELECT *, lead(stage) OVER w AS next_stage, epoch_us(lead(since) OVER w) - epoch_us(since) AS us
+        FROM stages WINDOW w AS (PARTITION BY deal_id ORDER BY since, stage)""",
     "lab": """
         SELECT d.doc_id, text, lang, source, CASE WHEN toxic = 1 THEN 'Highly Confidential' WHEN quality = 0 THEN 'Confidential'
                WHEN quality = 1 THEN 'Internal' ELSE 'Public' END AS label
@@ -168,9 +168,9 @@ BASE: dict[str, str] = {
         UNION ALL SELECT CAST(doc_id AS VARCHAR), 'completed' FROM documents WHERE doc_id % 39 = 0 AND doc_id % 17 <> 3
         UNION ALL SELECT 'old-' || doc_id, 'completed' FROM documents WHERE doc_id % 97 = 0""",
     # BM25 over the stored texts with the benchmark passages as questions
-    "tok": "SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS ts FROM documents",
+    "tok": "SELECT doc_id, [x FOR x IN string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') IF x <> ''] AS ts FROM documents",
     "asked": """
-        SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '')) AS term
+        SELECT DISTINCT item_id, unnest([x FOR x IN string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') IF x <> '']) AS term
         FROM benchmark""",
     "tfs": """
         SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM tok)
@@ -181,6 +181,14 @@ BASE: dict[str, str] = {
             FROM tfs JOIN asked USING (term) JOIN (SELECT term, count(*) AS df FROM tfs GROUP BY 1) USING (term),
                  (SELECT count(*) AS n, avg(len(ts)) AS al FROM tok)
             GROUP BY item_id, doc_id)""",
+    # the same over the documents a reader cleared for Internal may see
+    "tokv": "SELECT t.* FROM tok t JOIN lab USING (doc_id) WHERE label IN ('Public', 'Internal')",
+    "tfsv": "SELECT t.* FROM tfs t JOIN tokv USING (doc_id)",
+    "bm25v": """
+        SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 6) AS score
+        FROM tfsv JOIN asked USING (term) JOIN (SELECT term, count(*) AS df FROM tfsv GROUP BY 1) USING (term),
+             (SELECT count(*) AS n, avg(len(ts)) AS al FROM tokv)
+        GROUP BY item_id, doc_id""",
     # versions of each user's last event type
     "chg": """
         SELECT key, attr, ts, event_id FROM (
