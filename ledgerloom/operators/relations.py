@@ -176,7 +176,7 @@ def screen(
 
 
 def stage_steps(deals: DataFrame) -> DataFrame:
-    """One row per deal and stage with the days spent until the next.
+    """One row per deal and stage with the whole seconds spent until the next.
 
     A history has one entry per stage at most, so the window of a deal is a handful of rows.
     """
@@ -184,13 +184,13 @@ def stage_steps(deals: DataFrame) -> DataFrame:
         "deal_id", "s.stage", F.to_timestamp_ntz(F.col("s.at")).alias("at"))
     order = Window.partitionBy("deal_id").orderBy("at", "stage")
     return rows.withColumns({"next_stage": F.lead("stage").over(order), "next_at": F.lead("at").over(order)}).withColumn(
-        "hours", F.timestamp_diff("SECOND", F.col("at"), F.col("next_at")) / 3600)
+        "seconds", F.timestamp_diff("SECOND", F.col("at"), F.col("next_at")))
 
 
 def pipeline_report(steps: DataFrame) -> DataFrame:
     """H9: per stage the deals that entered, moved on and their mean hours; the slowest stage is the bottleneck."""
     per = steps.groupBy("stage").agg(
-        F.count(F.lit(1)).alias("entered"), F.count("next_stage").alias("moved_on"), F.avg("hours").alias("avg_hours"))
+        F.count(F.lit(1)).alias("entered"), F.count("next_stage").alias("moved_on"), (F.avg("seconds") / 3600).alias("avg_hours"))
     slowest = F.max("avg_hours").over(Window.partitionBy(F.lit(1)))
     return per.withColumns(
         {"conversion": F.try_divide("moved_on", "entered"),

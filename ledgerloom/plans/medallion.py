@@ -6,8 +6,10 @@ builds the next stage from what was written, which is how a scheduled job on a c
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterable, Mapping
-from functools import cache, cached_property
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +25,24 @@ Hook = Callable[[str, DataFrame], DataFrame]
 
 
 class Lazy(Mapping):
-    """Frames by name, each built the first time it is asked for."""
+    """Frames by name, each built once, the first time it is asked for."""
 
     def __init__(self, names: Iterable, build: Callable):
         self._names = list(names)
-        self._build = cache(build)
+        self._build = build
+        self._done: dict = {}
+        self._locks = {name: threading.Lock() for name in self._names}
 
     def __getitem__(self, name):
-        if name not in self._names:
-            raise KeyError(name)
-        return self._build(name)
+        with self._locks[name]:
+            if name not in self._done:
+                self._done[name] = self._build(name)
+            return self._done[name]
+
+    def build(self, workers: int = 4) -> None:
+        """Build all; small stages written side by side keep the executors busy."""
+        with ThreadPoolExecutor(workers) as pool:
+            list(pool.map(self.__getitem__, self._names))
 
     def __iter__(self):
         return iter(self._names)
@@ -230,6 +240,14 @@ class Medallion:
 
         return Lazy(CONFORMED_KEYS, build)
 
+    def build(self) -> None:
+        """Build every stage up to gold, the tables of a stage side by side."""
+        _ = self.mapping
+        self.gates.build()
+        self.reconciled.build()
+        self.conformed.build()
+        _ = self.log, self.dim_date, self.fact
+
     # --- stage D ---
 
     def assertions(self) -> DataFrame:
@@ -293,11 +311,10 @@ def run(spark: SparkSession, provider, out: str, resolved_at: str, sector_groups
     """All stages, written under `out`. Raises when a hard assertion fails, after its report is written."""
     keep = write_stages(spark, out)
     m = Medallion(provider, resolved_at, sector_groups, keep)
+    m.build()
     keep("validation_summary", m.validation_summary())
     for (source, entity), gate in m.gates.items():
         save_if_any(gate.quarantine, f"{out}/stg_quarantine_{source}_{entity}")
-    _ = m.log
     quality.enforce(keep("dq_assertions_report", m.assertions()))
-    _ = m.dim_date, m.fact
     quality.enforce(keep("gold_dq_assertions_report", m.gold_assertions()))
     return m

@@ -149,9 +149,9 @@ def screening(c: Context) -> DataFrame:
 
 
 @query("H9_stage_steps", """
-    SELECT deal_id, stage, next_stage, round((us // 1000000) / 3600, 2) AS hours FROM steps""", covers="H9 W5")
+    SELECT deal_id, stage, next_stage, us // 1000000 AS seconds FROM steps""", covers="H9 W5")
 def steps(c: Context) -> DataFrame:
-    return relations.stage_steps(c.m.conformed["deals"]).select("deal_id", "stage", "next_stage", F.round("hours", 2).alias("hours"))
+    return relations.stage_steps(c.m.conformed["deals"]).select("deal_id", "stage", "next_stage", "seconds")
 
 
 @query("H9_pipeline_report", """
