@@ -20,6 +20,20 @@ def attach_canonical(
     return df.join(ids, df[vendor_col] == ids["_vendor_id"], "left").drop("_vendor_id")
 
 
+def remap(df: DataFrame, mapping: DataFrame, keys: dict[str, tuple[str, str]], source: str = "best_source") -> DataFrame:
+    """Foreign keys from vendor ids to canonical ids, by source and vendor id.
+
+    `keys` maps the vendor column to (entity type, new column). Runs on one row per entity, after the best row
+    is chosen, so each key is joined once and not once per feed.
+    """
+    for vendor_col, (entity_type, out) in keys.items():
+        ids = mapping.filter(F.col("entity_type") == entity_type).select(
+            F.col("vendor_id").alias("_vendor_id"), F.col("source_system").alias("_source"), F.col("canonical_id").alias(out))
+        on = (df[vendor_col] == ids["_vendor_id"]) & (df[source] == ids["_source"])
+        df = df.join(ids, on, "left").drop("_vendor_id", "_source")
+    return df
+
+
 def split_unmapped(df: DataFrame, id_col: str = "canonical_id") -> tuple[DataFrame, DataFrame]:
     """Rows with a canonical id, and the rest with the reason `unmapped`.
 

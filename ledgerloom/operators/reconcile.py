@@ -39,6 +39,11 @@ def best_row(sources: Sequence[str] = SOURCES) -> Column:
     return F.coalesce(*[F.col(s) for s in sources])
 
 
+def best_source(sources: Sequence[str] = SOURCES) -> Column:
+    """The name of the feed `best_row` takes the row from."""
+    return F.coalesce(*[F.when(F.col(s).isNotNull(), F.lit(s)) for s in sources])
+
+
 def best_value(attr: str, sources: Sequence[str] = SOURCES) -> Column:
     """The first non-null value of one attribute in feed order."""
     return F.coalesce(*[F.col(f"{s}.{attr}") for s in sources])
@@ -156,15 +161,14 @@ def reconcile_investors(
 def reconcile_investments(aligned: DataFrame, cover: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
     """An edge in one feed only is a genuine dispute when both feeds cover its company, else a coverage gap.
 
-    Expects `company_id` in the feed structs; `cover` is `identity.coverage`. Only one-feed edges need the
-    company's coverage, so edges in both feeds join on a key of their own, spread by edge id, instead of
-    piling up under a large company.
+    Expects the canonical `company_id` beside the feed structs; `cover` is `identity.coverage`. Only one-feed
+    edges need the company's coverage, so edges in both feeds join on a key of their own, spread by edge id,
+    instead of piling up under a large company.
     """
     both = in_all(sources)
     known = cover.select(F.col("canonical_id").alias("_cov"), "n_sources")
-    out = aligned.withColumn("company_id", best_value("company_id", sources))
     lookup = F.when(both, F.concat(F.lit("\u0000"), F.col("canonical_id"))).otherwise(F.col("company_id"))
-    out = out.withColumn("_lookup", lookup)
+    out = aligned.withColumn("_lookup", lookup)
     out = out.join(known, out["_lookup"] == known["_cov"], "left").drop("_cov", "_lookup")
     genuine = ~both & _known(F.col("n_sources") >= 2)
     gap = ~both & (F.coalesce("n_sources", F.lit(0)) < 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,14 +30,21 @@ class Gate:
         return self.tagged.filter("not _valid")
 
 
-def with_key_count(df: DataFrame, key: str, out: str = "_copies") -> DataFrame:
+def repeated_keys(df: DataFrame, key: str, out: str = "_copies") -> DataFrame:
+    """Keys that occur more than once with their number of rows, NULL included; counted before the shuffle."""
+    return df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias(out)).filter(F.col(out) > 1)
+
+
+def with_key_count(df: DataFrame, key: str, out: str = "_copies", repeated: DataFrame | None = None) -> DataFrame:
     """How many rows share the key, NULL keys counted together.
 
-    Counts are combined before the shuffle and only repeated keys come back, so a key holding a third of
-    the rows costs one count row; in the join back AQE splits that key's rows over many tasks. A window
-    over the key would put them in one.
+    Only repeated keys come back to the rows, so a key holding a third of the feed is one row in this join.
+    A window over the key would put all its rows in one task. Pass `repeated` read from a written table and
+    its size is known when the join is planned: under the broadcast threshold the feed is then tagged in
+    place and never shuffled. Otherwise AQE decides, and splits the rows of a hot key over many tasks.
     """
-    repeated = df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias(out)).filter(F.col(out) > 1)
+    if repeated is None:
+        repeated = repeated_keys(df, key, out)
     return (
         df.join(repeated, df[key].eqNullSafe(repeated["_k"]), "left")
         .drop("_k")
@@ -52,10 +60,13 @@ def _tag(df: DataFrame, reasons: list[Column]) -> DataFrame:
     )
 
 
-def validate_feed(df: DataFrame, contract: FeedContract, lineage: bool = True) -> Gate:
+def validate_feed(
+    df: DataFrame, contract: FeedContract, lineage: bool = True, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> Gate:
     """Q1: required columns, non-null columns, key present and unique.
 
-    A missing required column fails the whole feed; otherwise each row gets its own reasons.
+    A missing required column fails the whole feed; otherwise each row gets its own reasons. `keep` may write
+    the repeated keys and read them back, see `with_key_count`.
     """
     need = set(contract.required) | (set(v.LINEAGE_REQUIRED) if lineage else set())
     missing = sorted(need - set(df.columns))
@@ -65,7 +76,9 @@ def validate_feed(df: DataFrame, contract: FeedContract, lineage: bool = True) -
     reasons = [F.when(blank(c), F.lit(f"null:{c};")) for c in contract.non_null]
     reasons.append(F.when(F.col(contract.pk).isNull(), F.lit(f"null_pk:{contract.pk};")))
     reasons.append(F.when(F.col("_copies") > 1, F.lit(f"dup_pk:{contract.pk};")))
-    return Gate(_tag(with_key_count(df, contract.pk), reasons).drop("_copies"), [])
+    repeated = repeated_keys(df, contract.pk)
+    counted = with_key_count(df, contract.pk, repeated=keep(repeated) if keep else repeated)
+    return Gate(_tag(counted, reasons).drop("_copies"), [])
 
 
 def empty_like(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import vocab as v
 from ledgerloom.operators import quality, reconcile, star, temporal
-from ledgerloom.operators.identity import attach_canonical, coverage, split_unmapped
+from ledgerloom.operators.identity import attach_canonical, coverage, remap, split_unmapped
 from ledgerloom.operators.validate import Gate, summarize, validate_feed
 from ledgerloom.sources.contracts import CONTRACTS, ENTITY_KEYS, FEEDS, INTERNAL, INTERNAL_ENTITIES, SHARED_ENTITIES, SOURCES
 from ledgerloom.sources.landing import save_if_any
@@ -83,6 +83,27 @@ TEMPORAL_CHECKED = ("companies", "funding_rounds", "investments", "documents")
 def iso_date(c: str) -> Column:
     return F.try_to_date(F.col(c), "yyyy-MM-dd").alias(c)
 
+# Attributes each feed brings to the alignment, typed.
+ALIGNED = {
+    "companies": lambda: [
+        "legal_name", "sector_taxonomy", "country", "description", iso_date("founded_date"), "_ingestion_ts"],
+    "funding_rounds": lambda: [
+        "vendor_company_id", iso_date("announced_date"), "amount_raised", *ROUND_COLUMNS, "_ingestion_ts"],
+    "investors": lambda: [*INVESTOR_COLUMNS, "fund_size", "_ingestion_ts"],
+    "investments": lambda: [
+        "vendor_company_id", "vendor_round_id", "vendor_investor_id",
+        *[iso_date(c) if c == "exit_date" else c for c in EDGE_COLUMNS], "_ingestion_ts"],
+}
+# vendor column -> (entity type, canonical column)
+FOREIGN_KEYS = {
+    "funding_rounds": {"vendor_company_id": ("company", "company_id")},
+    "investments": {
+        "vendor_company_id": ("company", "company_id"),
+        "vendor_round_id": ("funding_round", "round_id"),
+        "vendor_investor_id": ("investor", "investor_id"),
+    },
+}
+
 
 class Medallion:
     """`provider` needs `feed(source, entity)` and `mapping(entity_type=None)`.
@@ -114,8 +135,10 @@ class Medallion:
     @cached_property
     def gates(self) -> Mapping[tuple[str, str], Gate]:
         def build(feed):
-            gate = validate_feed(self.landing[feed], CONTRACTS[feed[1]])
-            return Gate(self.keep(f"stg_tagged_{feed[0]}_{feed[1]}", gate.tagged), gate.missing)
+            name = f"{feed[0]}_{feed[1]}"
+            gate = validate_feed(
+                self.landing[feed], CONTRACTS[feed[1]], keep=lambda df: self.keep(f"stg_repeated_{name}", df))
+            return Gate(self.keep(f"stg_tagged_{name}", gate.tagged), gate.missing)
 
         return Lazy(FEEDS, build)
 
@@ -128,34 +151,25 @@ class Medallion:
     # --- stage B ---
 
     def identified(self, source: str, entity: str) -> DataFrame:
-        """Valid rows of a feed with their canonical id, foreign keys included; unmapped rows left out."""
-        kind, _ = ENTITY_KEYS[entity]
-        contract = CONTRACTS[entity]
-        attach = lambda df, k, c, out: attach_canonical(df, self.mapping, k, source, c, out)
-        df = attach(self.valid(source, entity), kind, contract.pk, "canonical_id")
-        df, _ = split_unmapped(df)
-        if entity in ("funding_rounds", "investments"):
-            df = attach(df, "company", "vendor_company_id", "company_id")
-        if entity == "investments":
-            df = attach(df, "funding_round", "vendor_round_id", "round_id")
-            df = attach(df, "investor", "vendor_investor_id", "investor_id")
-        return df
+        """Valid rows of a feed with their canonical id; unmapped rows left out."""
+        return split_unmapped(self._attached(source, entity))[0]
 
     def unmapped(self, source: str, entity: str) -> DataFrame:
+        return split_unmapped(self._attached(source, entity))[1]
+
+    def _attached(self, source: str, entity: str) -> DataFrame:
         kind, _ = ENTITY_KEYS[entity]
-        df = attach_canonical(self.valid(source, entity), self.mapping, kind, source, CONTRACTS[entity].pk)
-        return split_unmapped(df)[1]
+        return attach_canonical(self.valid(source, entity), self.mapping, kind, source, CONTRACTS[entity].pk)
 
     def aligned(self, entity: str) -> DataFrame:
-        feeds = {s: self.identified(s, entity) for s in SOURCES}
-        typed = {
-            "companies": ["legal_name", "sector_taxonomy", "country", "description", iso_date("founded_date"), "_ingestion_ts"],
-            "funding_rounds": ["company_id", iso_date("announced_date"), "amount_raised", *ROUND_COLUMNS, "_ingestion_ts"],
-            "investors": [*INVESTOR_COLUMNS, "fund_size", "_ingestion_ts"],
-            "investments": ["company_id", "round_id", "investor_id",
-                            *[iso_date(c) if c == "exit_date" else c for c in EDGE_COLUMNS], "_ingestion_ts"],
-        }[entity]
-        return reconcile.align(feeds, "canonical_id", typed)
+        """One row per canonical id, foreign keys of the best row remapped."""
+        df = reconcile.align({s: self.identified(s, entity) for s in SOURCES}, "canonical_id", ALIGNED[entity]())
+        keys = FOREIGN_KEYS.get(entity)
+        if not keys:
+            return df
+        best = df.withColumn("_best", reconcile.best_row()).withColumns(
+            {"best_source": reconcile.best_source(), **{c: F.col(f"_best.{c}") for c in keys}})
+        return remap(best.drop("_best"), self.mapping, keys).drop(*keys, "best_source")
 
     @cached_property
     def reconciled(self) -> Mapping[str, DataFrame]:
@@ -211,7 +225,7 @@ class Medallion:
         return temporal.envelope(df.select("company_id", *columns[:-1], *AXES))
 
     def _funding_rounds(self) -> DataFrame:
-        best = self._best("funding_rounds", ["company_id", *ROUND_COLUMNS], ["announced_date", "amount_raised"])
+        best = self._best("funding_rounds", ROUND_COLUMNS, ["company_id", "announced_date", "amount_raised"])
         df = temporal.with_axes(best, "announced_date")
         return temporal.envelope(
             df.select("round_id", "company_id", "announced_date", "amount_raised", *ROUND_COLUMNS, *AXES))
@@ -223,7 +237,7 @@ class Medallion:
 
     def _investments(self) -> DataFrame:
         close = self.conformed["funding_rounds"].select("round_id", F.col("announced_date").alias("_close"))
-        best = self._best("investments", ["investor_id", "round_id", "company_id", *EDGE_COLUMNS], [])
+        best = self._best("investments", EDGE_COLUMNS, ["investor_id", "round_id", "company_id"])
         df = temporal.with_axes(best.join(close, "round_id", "left"), "_close")
         return temporal.envelope(
             df.select("investment_id", "investor_id", "round_id", "company_id", *EDGE_COLUMNS, *AXES))
@@ -302,7 +316,7 @@ def write_stages(spark: SparkSession, out: str) -> Hook:
         if name == "vendor_id_mapping":
             writer = writer.partitionBy("entity_type", "source_system")
         writer.parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     return keep
 

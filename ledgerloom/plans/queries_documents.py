@@ -129,7 +129,7 @@ def asked(c: Context) -> DataFrame:
 
 
 def ranked(c: Context) -> DataFrame:
-    return c.kept("bm25_top", lambda: retrieval.bm25(c.t("documents").select("doc_id", "text"), asked(c), 5))
+    return c.kept("bm25_top", lambda: retrieval.bm25(c.fixtures.texts(), asked(c), 5))
 
 
 @query("X2_lexical_top_k", "SELECT item_id AS question_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm25 WHERE rank <= 5",
