@@ -148,9 +148,8 @@ def cumulative_nav_at(star: Star, day: str, where: dict[str, object] | None = No
     """One row; NULL when the day is outside the calendar, told apart by `in_calendar`."""
     known = star.date.filter(F.col("date") == F.lit(day).cast("date")).agg((F.count(F.lit(1)) > 0).alias("in_calendar"))
     upto = Star(star.fact.filter(F.col("effective_date") <= F.lit(day).cast("date")), star.company, star.investor, star.date)
-    nav = slice_sums(upto, [], where, as_of)
-    one = F.lit(1).alias("_one")
-    return nav.select("nav", "matched_rows", one).join(known.select("in_calendar", one), "_one").select(
+    nav = slice_sums(upto, [], where, as_of).select("nav", known.scalar().alias("in_calendar"))
+    return nav.select(
         F.lit(day).cast("date").alias("date"), F.when(F.col("in_calendar"), F.col("nav")).alias("cumulative_nav"),
         "in_calendar",
     )

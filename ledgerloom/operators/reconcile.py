@@ -328,9 +328,8 @@ def rate_profile(company_map: DataFrame, reconciled_rounds: DataFrame, reconcile
         F.count(F.lit(1)).alias("edges"), F.count_if("is_genuine").alias("genuine_disputes"),
         F.count_if("is_coverage").alias("coverage_gaps"),
     )
-    one = F.lit(1).alias("_one")
-    out = cover.select("*", one).join(rounds.select("*", one), "_one").join(edges.select("*", one), "_one").drop("_one")
-    return out.withColumns(
+    more = [df.select(c).scalar().alias(c) for df in (rounds, edges) for c in df.columns]
+    return cover.select("*", *more).withColumns(
         {
             "single_rate": F.try_divide("companies_single", "companies_union"),
             "value_rate": F.try_divide("value_conflicts", "shared_rounds"),

@@ -35,7 +35,7 @@ def affiliations(people: DataFrame) -> DataFrame:
 
 def hop(frontier: DataFrame, edges: DataFrame, source: str, target: str, keep_start: bool = False) -> DataFrame:
     """From (seed, node) to the distinct (seed, node) one edge further. Drops the way back to the seed."""
-    links = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct()
+    links = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to"))
     out = frontier.join(links, frontier["node"] == links["_from"]).select("seed", F.col("_to").alias("node"))
     return (out if keep_start else out.filter(F.col("node") != F.col("seed"))).distinct()
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import vocab as v
+from ledgerloom.functions.scalars import json_tags
+from ledgerloom.sources.landing import materialize
 
 K1, B = 1.2, 0.75
 MAX_QUERY_VECTORS = 1000
@@ -28,33 +30,33 @@ def top_k(scored: DataFrame, group: Sequence[str], score: str, tie: str, k: int)
 def bm25(
     docs: DataFrame, questions: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text",
     question_id: str = "question_id", question: str = "question", digits: int = 6,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
     """The best k documents per question by BM25 over whole texts.
 
-    Tokens are joined with the question terms right after the split, so only terms some question uses are
-    counted and shuffled. Document frequencies and lengths cover the whole corpus.
+    Every text is split once. Its tokens meet the question terms at once, so only terms some question uses
+    are counted, and each document adds one row under the empty term, which carries the corpus size and mean
+    length. These counts are written and read back: the weights then have a known size when the scores
+    are planned, so they, and not the postings, are what may be broadcast.
     """
     asked = questions.select(question_id, F.explode(F.array_distinct(tokens(question))).alias("term"))
-    vocabulary = asked.select("term").distinct()
+    vocabulary = asked.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     split = docs.select(F.col(doc_id).alias("_doc"), tokens(text).alias("_tokens"))
-    sized = split.withColumn("_len", F.size("_tokens"))
-    stats = sized.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
-    postings = (
-        sized.select("_doc", "_len", F.explode("_tokens").alias("term"))
-        .join(vocabulary, "term")
-        .groupBy("_doc", "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
-    )
-    spread = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    one = F.lit(1).alias("_one")
-    weights = (
-        asked.join(spread, "term").withColumn("_one", F.lit(1)).join(stats.select("*", one), "_one").drop("_one")
-        .withColumn("_idf", F.log1p((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
-    )
+    split = split.select("_doc", F.size("_tokens").alias("_len"), F.explode(F.array_append("_tokens", F.lit(""))).alias("term"))
+    postings = keep(split.join(vocabulary, "term").groupBy("_doc", "_len", "term").agg(F.count(F.lit(1)).alias("_tf")))
+
+    corpus = postings.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"))
+    used = postings.filter("term <> ''")
+    n, df = corpus.select("n").scalar(), F.col("_df")
+    weights = asked.join(used.groupBy("term").agg(F.count(F.lit(1)).alias("_df")), "term").select(
+        question_id, "term", F.log1p((n - df + 0.5) / (df + 0.5)).alias("_idf"))
+    weights = keep(weights)
+    mean = corpus.select("mean").scalar()
     tf = F.col("_tf")
-    part = F.col("_idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+    gain = used.withColumn("_gain", tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / mean)))
     scored = (
-        postings.join(weights, "term").groupBy(question_id, "_doc")
-        .agg(F.round(F.sum(part), digits).alias("score"))
+        gain.join(weights, "term").groupBy(question_id, "_doc")
+        .agg(F.round(F.sum(F.col("_idf") * F.col("_gain")), digits).alias("score"))
         .withColumnRenamed("_doc", doc_id)
     )
     return top_k(scored, [question_id], "score", doc_id, k)
@@ -83,7 +85,7 @@ def nearest(
     if not asked:
         return vectors.select(F.lit(None).alias(query_id), vec_id, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     literal = F.array(*[
-        F.struct(F.lit(r[query_id]).alias("id"), F.array(*[F.lit(float(x)) for x in r[query]]).alias("vec")) for r in asked
+        F.struct(F.lit(r[query_id]).cast(queries.schema[query_id].dataType).alias("id"), F.array(*[F.lit(float(x)) for x in r[query]]).alias("vec")) for r in asked
     ])
     pairs = vectors.select(vec_id, embedding, F.explode(literal).alias("q"))
     scored = pairs.select(F.col("q.id").alias(query_id), vec_id, F.round(cosine(F.col(embedding), F.col("q.vec")), digits).alias("score"))
@@ -98,6 +100,11 @@ def keyword_search(docs: DataFrame, words: Sequence[str], text: str = "text", pa
     return out.filter(F.col(text).rlike(pattern)) if pattern else out
 
 
+def subjects(docs: DataFrame) -> DataFrame:
+    """One row per document and company it is about, for search by entity."""
+    return docs.select("document_id", "sensitivity_label", F.explode(json_tags("subject_company_ids")).alias("company_id"))
+
+
 def visible(docs: DataFrame, clearance: str, label: str = "sensitivity_label") -> DataFrame:
     """Documents labelled at or below the clearance. Unknown labels are never visible."""
     allowed = v.SENSITIVITY_LABELS[: v.SENSITIVITY_LABELS.index(clearance) + 1]

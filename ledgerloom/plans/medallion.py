@@ -39,10 +39,10 @@ class Lazy(Mapping):
                 self._done[name] = self._build(name)
             return self._done[name]
 
-    def build(self, workers: int = 4) -> None:
-        """Build all; small stages written side by side keep the executors busy."""
+    def build(self, names: Iterable | None = None, workers: int = 4) -> None:
+        """Build the named frames, or all; small tables written side by side keep the executors busy."""
         with ThreadPoolExecutor(workers) as pool:
-            list(pool.map(self.__getitem__, self._names))
+            list(pool.map(self.__getitem__, self._names if names is None else names))
 
     def __iter__(self):
         return iter(self._names)
@@ -123,7 +123,8 @@ class Medallion:
 
     @cached_property
     def landing(self) -> Mapping[tuple[str, str], DataFrame]:
-        return Lazy(FEEDS, lambda f: self.keep(f"landing_{f[0]}_{f[1]}", self.provider.feed(*f)))
+        """The feeds as delivered; they are read where they lie, not copied."""
+        return Lazy(FEEDS, lambda f: self.provider.feed(*f))
 
     @cached_property
     def mapping(self) -> DataFrame:
@@ -189,6 +190,9 @@ class Medallion:
 
     @cached_property
     def log(self) -> DataFrame:
+        _ = self.mapping
+        self.gates.build([f for f in FEEDS if f[1] in SHARED_ENTITIES])
+        self.reconciled.build()
         by_kind = {ENTITY_KEYS[e][0]: df for e, df in self.reconciled.items()}
         return self.keep("reconciliation_log", reconcile.conflict_log(by_kind, self.resolved_at))
 
@@ -262,6 +266,13 @@ class Medallion:
         self.conformed.build()
         _ = self.log, self.dim_date, self.fact
 
+    def _build_shared(self) -> None:
+        """The stages the fact rests on."""
+        _ = self.mapping
+        self.gates.build([f for f in FEEDS if f[1] in SHARED_ENTITIES])
+        self.reconciled.build()
+        self.conformed.build(SHARED_ENTITIES)
+
     # --- stage D ---
 
     def assertions(self) -> DataFrame:
@@ -296,6 +307,7 @@ class Medallion:
 
     @cached_property
     def fact(self) -> DataFrame:
+        self._build_shared()
         t = self.conformed
         return self.keep("gold_fact_investment",
                          star.investment_fact(t["investments"], t["funding_rounds"], self.dim_company, self.dim_investor))

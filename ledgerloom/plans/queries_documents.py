@@ -62,7 +62,7 @@ def references(c: Context) -> DataFrame:
 @query("X10_manifest_integrity", """
     SELECT 'investor' AS entity_type, count(*) AS n_refs, CAST(0 AS BIGINT) AS unresolved FROM lp
     UNION ALL SELECT 'company', CAST(sum(len(cs)) AS BIGINT), 0 FROM lp
-    UNION ALL SELECT 'round', count(*), count_if(r.ok IS NULL) FROM lp
+    UNION ALL SELECT 'round', count(*), count(*) FILTER (WHERE r.ok IS NULL) FROM lp
               LEFT JOIN (SELECT * FROM ro WHERE ok % 9 <> 0) r ON r.round_id = lp.round_id WHERE lp.round_id IS NOT NULL""",
     covers="X10 J12 U7")
 def integrity(c: Context) -> DataFrame:
@@ -160,6 +160,14 @@ def keyword(c: Context) -> DataFrame:
         F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("chars"))
 
 
+@query("X4_entity_search", """
+    SELECT 'C-' || (doc_id % 100) AS company_id, count(*) AS n_docs, count(*) FILTER (WHERE label = 'Public') AS n_public
+    FROM lab GROUP BY 1""", covers="X4")
+def entity_search(c: Context) -> DataFrame:
+    return retrieval.subjects(c.m.conformed["documents"]).groupBy("company_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("sensitivity_label") == "Public").alias("n_public"))
+
+
 @query("X5_label_filtered", """
     SELECT item_id AS question_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
     FROM (SELECT b.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, b.doc_id) AS r2
@@ -205,10 +213,10 @@ def document_answers(c: Context) -> DataFrame:
 
 
 @query("X13_score_report", """
-    SELECT document_type AS leg, count(*) AS cases, count_if(h % 7 <> 0) AS grounded, count_if(h % 5 <> 0) AS with_citation,
-           count_if(h % 5 <> 0 AND h % 3 <> 0) AS cited_correctly, round(count_if(h % 7 <> 0) / count(*), 6) AS grounded_rate,
-           round(count_if(h % 5 <> 0 AND h % 3 <> 0) / count_if(h % 5 <> 0), 6) AS citation_accuracy,
-           round(count_if(h % 5 <> 0) / count(*), 6) AS citation_coverage
+    SELECT document_type AS leg, count(*) AS cases, count(*) FILTER (WHERE h % 7 <> 0) AS grounded, count(*) FILTER (WHERE h % 5 <> 0) AS with_citation,
+           count(*) FILTER (WHERE h % 5 <> 0 AND h % 3 <> 0) AS cited_correctly, round(count(*) FILTER (WHERE h % 7 <> 0) / count(*), 6) AS grounded_rate,
+           round(count(*) FILTER (WHERE h % 5 <> 0 AND h % 3 <> 0) / count(*) FILTER (WHERE h % 5 <> 0), 6) AS citation_accuracy,
+           round(count(*) FILTER (WHERE h % 5 <> 0) / count(*), 6) AS citation_coverage
     FROM (SELECT *, CAST('0x' || substr(lp_document_id, 5, 2) AS INTEGER) AS h FROM lp WHERE stated IS NOT NULL) GROUP BY 1""",
     covers="X13 A9")
 def report(c: Context) -> DataFrame:
@@ -238,9 +246,9 @@ def index_corpus(c: Context) -> DataFrame:
 
 
 @query("X14_corpus_audit", """
-    SELECT (SELECT count(*) FROM documents) AS corpus_size, count(*) AS attached, count_if(status = 'completed') AS completed,
-           count_if(status = 'failed') AS failed, count_if(status = 'in_progress') AS in_progress,
-           (SELECT count_if(doc_id % 17 = 3) FROM documents) AS missing, count_if(doc LIKE 'old-%') AS extra, false AS complete FROM files""",
+    SELECT (SELECT count(*) FROM documents) AS corpus_size, count(*) AS attached, count(*) FILTER (WHERE status = 'completed') AS completed,
+           count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'in_progress') AS in_progress,
+           (SELECT count(*) FILTER (WHERE doc_id % 17 = 3) FROM documents) AS missing, count(*) FILTER (WHERE doc LIKE 'old-%') AS extra, false AS complete FROM files""",
     covers="X14 U5 A2")
 def audit(c: Context) -> DataFrame:
     return documents.corpus_audit(index_corpus(c), index_state(c), "doc")

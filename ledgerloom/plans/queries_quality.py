@@ -29,7 +29,7 @@ def report(c: Context) -> DataFrame:
     UNION ALL SELECT 'RI investments.round_id -> funding_rounds', 'PASS', '0 unresolved of ' || count(DISTINCT ok) || ' distinct' FROM c_ed
     UNION ALL SELECT 'RI investments.company_id -> companies', 'PASS', '0 unresolved of ' || count(DISTINCT ck) || ' distinct' FROM c_ed
     UNION ALL SELECT 'RI deals.company_id -> companies', 'PASS', '0 unresolved of ' || count(DISTINCT user_id) || ' distinct' FROM events
-    UNION ALL SELECT 'RI documents.author_person_id -> people', 'PASS', '0 unresolved of ' || count_if(doc_id % 4 <> 0) || ' distinct' FROM documents""",
+    UNION ALL SELECT 'RI documents.author_person_id -> people', 'PASS', '0 unresolved of ' || count(*) FILTER (WHERE doc_id % 4 <> 0) || ' distinct' FROM documents""",
     covers="C2 J6")
 def references(c: Context) -> DataFrame:
     t = c.m.conformed
@@ -76,7 +76,7 @@ def entity_checks(c: Context) -> DataFrame:
 
 @query("C3_to_C8_broken_envelopes", """
     SELECT 'envelope one-current-per-key [funding_rounds]' AS check_name, 'FAIL' AS status,
-           count_if(ok % 5 = 0) || ' keys >1 current; ' || count_if(ok % 7 <> 0 OR ok % 5 = 0) || '/' || count(*) || ' keys have a current row' AS detail FROM c_ro
+           count(*) FILTER (WHERE ok % 5 = 0) || ' keys >1 current; ' || count(*) FILTER (WHERE ok % 7 <> 0 OR ok % 5 = 0) || '/' || count(*) || ' keys have a current row' AS detail FROM c_ro
     UNION ALL SELECT 'envelope no-nulls [funding_rounds]', 'FAIL', sum(CASE WHEN ok % 11 = 0 THEN CASE WHEN ok % 5 = 0 THEN 2 ELSE 1 END ELSE 0 END)::BIGINT || ' null envelope rows' FROM c_ro
     UNION ALL SELECT 'envelope valid_from<=valid_to [funding_rounds]', 'FAIL', sum(CASE WHEN ok % 13 = 0 AND ok % 11 <> 0 THEN CASE WHEN ok % 5 = 0 THEN 2 ELSE 1 END ELSE 0 END)::BIGINT || ' inverted ranges' FROM c_ro
     UNION ALL SELECT 'rowcount reconcile [funding_rounds]', 'PASS', count(*) || ' distinct keys vs ' || count(*) || ' expected' FROM c_ro
@@ -102,8 +102,8 @@ def broken_envelopes(c: Context) -> DataFrame:
 @query("C10_gold_checks", """
     SELECT 'FK fact_investment.company_sk -> dim_company' AS check_name, 'PASS' AS status, '0 unresolved of ' || count(DISTINCT CASE WHEN has_company THEN ck END) || ' distinct' AS detail FROM f
     UNION ALL SELECT 'FK fact_investment.investor_sk -> dim_investor', 'PASS', '0 unresolved of ' || count(DISTINCT sk) || ' distinct' FROM f
-    UNION ALL SELECT 'no unmatched point-in-time company join', CASE WHEN count_if(NOT has_company) = 0 THEN 'PASS' ELSE 'WARN' END,
-                     count_if(NOT has_company) || ' fact rows with no matching dim_company version' FROM f
+    UNION ALL SELECT 'no unmatched point-in-time company join', CASE WHEN count(*) FILTER (WHERE NOT has_company) = 0 THEN 'PASS' ELSE 'WARN' END,
+                     count(*) FILTER (WHERE NOT has_company) || ' fact rows with no matching dim_company version' FROM f
     UNION ALL SELECT 'no unmatched point-in-time investor join', 'PASS', '0 fact rows with no matching dim_investor version'
     UNION ALL SELECT 'rowcount reconcile fact_investment vs conformed_investments', 'PASS', count(*) || ' fact rows vs ' || count(*) || ' current conformed investments' FROM f
     UNION ALL SELECT 'envelope one-current-per-key [dim_company]', 'PASS', '0 keys with >1 current row'
@@ -147,7 +147,7 @@ def fact(c: Context) -> DataFrame:
     return c.m.fact
 
 
-@query("G6_unmatched_tags", "SELECT count(*) AS n_rows, count_if(sector_group IS NULL) AS no_group FROM c_co")
+@query("G6_unmatched_tags", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE sector_group IS NULL) AS no_group FROM c_co")
 def unmatched(c: Context) -> DataFrame:
     return star.unmatched_tags(c.m.dim_company)
 

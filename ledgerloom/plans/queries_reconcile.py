@@ -114,7 +114,7 @@ def attribution(c: Context) -> DataFrame:
 
 @query("R11_status_priority", """
     SELECT CASE WHEN is_value THEN 'conflict_flagged' WHEN is_temporal OR is_existence THEN 'conflict_resolved' ELSE 'clean' END AS status,
-           count(*) AS n, count_if(is_value AND is_temporal) AS with_both FROM c_ro GROUP BY 1""", covers="R11 P8 A2")
+           count(*) AS n, count(*) FILTER (WHERE is_value AND is_temporal) AS with_both FROM c_ro GROUP BY 1""", covers="R11 P8 A2")
 def priority(c: Context) -> DataFrame:
     return c.m.reconciled["funding_rounds"].groupBy(F.col("reconciliation_status").alias("status")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_value") & F.col("is_temporal")).alias("with_both"))
@@ -144,12 +144,12 @@ def summary(c: Context) -> DataFrame:
     SELECT *, round(companies_single / companies_union, 6) AS single_rate, round(value_conflicts / shared_rounds, 6) AS value_rate,
            round(temporal_conflicts / shared_rounds, 6) AS temporal_rate, round(genuine_disputes / edges, 6) AS genuine_rate,
            round(coverage_gaps / edges, 6) AS gap_rate
-    FROM (SELECT count_if(in_a) AS companies_a, count_if(in_b) AS companies_b, count_if(in_a AND in_b) AS companies_both,
-                 count_if(in_a <> in_b) AS companies_single, count(*) AS companies_union FROM co),
-         (SELECT count_if(NOT is_existence) AS shared_rounds, count_if(is_value) AS value_conflicts,
-                 count_if(is_temporal) AS temporal_conflicts FROM c_ro),
-         (SELECT count(*) AS edges, count_if(NOT (in_a AND in_b) AND both_cover) AS genuine_disputes,
-                 count_if(NOT (in_a AND in_b) AND NOT both_cover) AS coverage_gaps FROM ed)""", covers="R15 A9 U6 J13")
+    FROM (SELECT count(*) FILTER (WHERE in_a) AS companies_a, count(*) FILTER (WHERE in_b) AS companies_b, count(*) FILTER (WHERE in_a AND in_b) AS companies_both,
+                 count(*) FILTER (WHERE in_a <> in_b) AS companies_single, count(*) AS companies_union FROM co),
+         (SELECT count(*) FILTER (WHERE NOT is_existence) AS shared_rounds, count(*) FILTER (WHERE is_value) AS value_conflicts,
+                 count(*) FILTER (WHERE is_temporal) AS temporal_conflicts FROM c_ro),
+         (SELECT count(*) AS edges, count(*) FILTER (WHERE NOT (in_a AND in_b) AND both_cover) AS genuine_disputes,
+                 count(*) FILTER (WHERE NOT (in_a AND in_b) AND NOT both_cover) AS coverage_gaps FROM ed)""", covers="R15 A9 U6 J13")
 def profile(c: Context) -> DataFrame:
     df = reconcile.rate_profile(
         c.m.mapping.filter("entity_type = 'company'"), c.m.reconciled["funding_rounds"], c.m.reconciled["investments"])
@@ -283,7 +283,7 @@ def snapshot(c: Context) -> DataFrame:
 
 
 @query("T6_as_of_both_axes", """
-    SELECT 'known' AS kind, count_if(announced <= DATE '1998-06-30') AS n FROM c_ro
+    SELECT 'known' AS kind, count(*) FILTER (WHERE announced <= DATE '1998-06-30') AS n FROM c_ro
     UNION ALL SELECT 'not yet known', 0 FROM (SELECT 1)""", covers="T6")
 def both_axes(c: Context) -> DataFrame:
     rounds = c.m.conformed["funding_rounds"]
@@ -295,8 +295,8 @@ def both_axes(c: Context) -> DataFrame:
 
 @query("T7_null_audit", """
     SELECT 'companies' AS table_name, count(*) AS n_rows, CAST(0 AS BIGINT) AS effective_null, CAST(0 AS BIGINT) AS ingestion_null FROM c_co
-    UNION ALL SELECT 'funding_rounds', count(*), count_if(announced IS NULL), 0 FROM c_ro
-    UNION ALL SELECT 'investors', count(*), 0, 0 FROM iv UNION ALL SELECT 'investments', count(*), count_if(effective IS NULL), 0 FROM c_ed
+    UNION ALL SELECT 'funding_rounds', count(*), count(*) FILTER (WHERE announced IS NULL), 0 FROM c_ro
+    UNION ALL SELECT 'investors', count(*), 0, 0 FROM iv UNION ALL SELECT 'investments', count(*), count(*) FILTER (WHERE effective IS NULL), 0 FROM c_ed
     UNION ALL SELECT 'people', count(DISTINCT person_id), 0, 0 FROM aff UNION ALL SELECT 'deals', count(DISTINCT deal_id), 0, 0 FROM stages
     UNION ALL SELECT 'documents', count(*), 0, 0 FROM documents""")
 def audit(c: Context) -> DataFrame:

@@ -55,13 +55,13 @@ def portfolios(c: Context) -> DataFrame:
 
 
 @query("H1_person_companies", """
-    SELECT person_id, company_id, count_if(NOT is_past) > 0 AS is_active, count(*) AS n_links FROM aff GROUP BY 1, 2""", covers="H1")
+    SELECT person_id, company_id, count(*) FILTER (WHERE NOT is_past) > 0 AS is_active, count(*) AS n_links FROM aff GROUP BY 1, 2""", covers="H1")
 def person_companies(c: Context) -> DataFrame:
     return relations.person_companies(c.m.conformed["people"])
 
 
 @query("H2_coinvestment_degree", """
-    SELECT investor_id, count_if(n > 1) AS shared_rounds, CAST(sum(n - 1) AS BIGINT) AS other_seats FROM (
+    SELECT investor_id, count(*) FILTER (WHERE n > 1) AS shared_rounds, CAST(sum(n - 1) AS BIGINT) AS other_seats FROM (
         SELECT DISTINCT investor_id, ok FROM c_ed) JOIN (SELECT ok, count(DISTINCT sk) AS n FROM c_ed GROUP BY 1) USING (ok) GROUP BY 1""",
     covers="H2 J14")
 def degree(c: Context) -> DataFrame:

@@ -59,8 +59,8 @@ def table_overwrite(c: Context) -> DataFrame:
 
 
 @query("S6_conditional_sink", """
-    SELECT 'feed_a' AS source, 'investments' AS entity, count_if(in_a AND copies > 1) > 0 AS written FROM efeed
-    UNION ALL SELECT 'feed_b', 'investments', count_if(in_b AND copies > 1) > 0 FROM efeed
+    SELECT 'feed_a' AS source, 'investments' AS entity, count(*) FILTER (WHERE in_a AND copies > 1) > 0 AS written FROM efeed
+    UNION ALL SELECT 'feed_b', 'investments', count(*) FILTER (WHERE in_b AND copies > 1) > 0 FROM efeed
     UNION ALL SELECT s, e, false FROM (SELECT unnest(['feed_a', 'feed_b']) AS s), (SELECT unnest(['companies', 'funding_rounds', 'investors']) AS e)
     UNION ALL SELECT 'internal', unnest(['people', 'deals', 'documents']), false""", covers="S6 S7")
 def conditional_sink(c: Context) -> DataFrame:
@@ -121,8 +121,8 @@ def computed(c: Context) -> DataFrame:
 
 
 @query("P4_filters", """
-    SELECT 'realised' AS kind, count_if(realised) AS n FROM f UNION ALL SELECT 'not realised', count_if(NOT realised) FROM f
-    UNION ALL SELECT 'lead and large', count_if(is_lead AND paid > 50000) FROM f""", covers="P4 U3")
+    SELECT 'realised' AS kind, count(*) FILTER (WHERE realised) AS n FROM f UNION ALL SELECT 'not realised', count(*) FILTER (WHERE NOT realised) FROM f
+    UNION ALL SELECT 'lead and large', count(*) FILTER (WHERE is_lead AND paid > 50000) FROM f""", covers="P4 U3")
 def filters(c: Context) -> DataFrame:
     fact = c.m.fact
     count = F.count(F.lit(1)).alias("n")
@@ -134,8 +134,8 @@ def filters(c: Context) -> DataFrame:
 
 
 @query("P5_null_predicates", """
-    SELECT count_if(paid IS NULL) AS undisclosed, count_if(paid IS NOT NULL) AS disclosed,
-           count_if(realised AND multiple IS NULL) AS realised_unknown, count(*) AS n FROM f""", covers="P5 A1")
+    SELECT count(*) FILTER (WHERE paid IS NULL) AS undisclosed, count(*) FILTER (WHERE paid IS NOT NULL) AS disclosed,
+           count(*) FILTER (WHERE realised AND multiple IS NULL) AS realised_unknown, count(*) AS n FROM f""", covers="P5 A1")
 def null_predicates(c: Context) -> DataFrame:
     amount = F.col("participation_amount")
     return c.m.fact.agg(
@@ -145,14 +145,14 @@ def null_predicates(c: Context) -> DataFrame:
 
 
 @query("P6_blank_or_null", """
-    SELECT lang, count_if(text IS NULL OR trim(text) = '') AS blanks, count(*) AS n FROM documents GROUP BY 1""")
+    SELECT lang, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS blanks, count(*) AS n FROM documents GROUP BY 1""")
 def blanks(c: Context) -> DataFrame:
     return c.t("documents").groupBy("lang").agg(F.count_if(blank("text")).alias("blanks"), F.count(F.lit(1)).alias("n"))
 
 
 @query("P7_domain_predicate", """
-    SELECT count_if(round_type NOT IN ('Seed', 'Series A', 'Series B')) AS outside, count_if(round_type IS NULL) AS nulls,
-           count_if(exit_type NOT IN ('ipo')) AS other_exits, count_if(exit_type IS NULL) AS no_exit
+    SELECT count(*) FILTER (WHERE round_type NOT IN ('Seed', 'Series A', 'Series B')) AS outside, count(*) FILTER (WHERE round_type IS NULL) AS nulls,
+           count(*) FILTER (WHERE exit_type NOT IN ('ipo')) AS other_exits, count(*) FILTER (WHERE exit_type IS NULL) AS no_exit
     FROM c_ed e JOIN ro r ON r.ok = e.ok""")
 def domain(c: Context) -> DataFrame:
     kind, ended = F.col("round_type"), F.col("exit_type")
@@ -243,8 +243,8 @@ def symmetric(c: Context) -> DataFrame:
 
 
 @query("U7_subset_check", """
-    SELECT 'feed_a' AS source, count_if(NOT coalesce(c.in_a, false)) AS outside FROM ro r LEFT JOIN co c ON c.ck = r.ck WHERE r.in_a
-    UNION ALL SELECT 'feed_b', count_if(NOT coalesce(c.in_b, false)) FROM ro r LEFT JOIN co c ON c.ck = r.ck WHERE r.in_b""",
+    SELECT 'feed_a' AS source, count(*) FILTER (WHERE NOT coalesce(c.in_a, false)) AS outside FROM ro r LEFT JOIN co c ON c.ck = r.ck WHERE r.in_a
+    UNION ALL SELECT 'feed_b', count(*) FILTER (WHERE NOT coalesce(c.in_b, false)) FROM ro r LEFT JOIN co c ON c.ck = r.ck WHERE r.in_b""",
     covers="U7 J6")
 def subset(c: Context) -> DataFrame:
     parts = []

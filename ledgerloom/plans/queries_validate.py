@@ -67,14 +67,14 @@ def fresh(c: Context) -> DataFrame:
 @query("Q5_validation_summary", """
     SELECT source, entity, rows_in, valid, rows_in - valid AS quarantined,
            CASE WHEN rows_in = valid THEN 'OK' ELSE 'QUARANTINED ROWS' END AS status FROM (
-        SELECT 'feed_a' AS source, 'companies' AS entity, count_if(in_a) AS rows_in, count_if(in_a) AS valid FROM co
-        UNION ALL SELECT 'feed_b', 'companies', count_if(in_b), count_if(in_b) FROM co
-        UNION ALL SELECT 'feed_a', 'funding_rounds', count_if(in_a), count_if(in_a) FROM ro
-        UNION ALL SELECT 'feed_b', 'funding_rounds', count_if(in_b), count_if(in_b) FROM ro
+        SELECT 'feed_a' AS source, 'companies' AS entity, count(*) FILTER (WHERE in_a) AS rows_in, count(*) FILTER (WHERE in_a) AS valid FROM co
+        UNION ALL SELECT 'feed_b', 'companies', count(*) FILTER (WHERE in_b), count(*) FILTER (WHERE in_b) FROM co
+        UNION ALL SELECT 'feed_a', 'funding_rounds', count(*) FILTER (WHERE in_a), count(*) FILTER (WHERE in_a) FROM ro
+        UNION ALL SELECT 'feed_b', 'funding_rounds', count(*) FILTER (WHERE in_b), count(*) FILTER (WHERE in_b) FROM ro
         UNION ALL SELECT 'feed_a', 'investors', count(*), count(*) FROM iv
         UNION ALL SELECT 'feed_b', 'investors', count(*), count(*) FROM iv
-        UNION ALL SELECT 'feed_a', 'investments', count_if(in_a), count_if(in_a AND copies = 1) FROM efeed
-        UNION ALL SELECT 'feed_b', 'investments', count_if(in_b), count_if(in_b AND copies = 1) FROM efeed
+        UNION ALL SELECT 'feed_a', 'investments', count(*) FILTER (WHERE in_a), count(*) FILTER (WHERE in_a AND copies = 1) FROM efeed
+        UNION ALL SELECT 'feed_b', 'investments', count(*) FILTER (WHERE in_b), count(*) FILTER (WHERE in_b AND copies = 1) FROM efeed
         UNION ALL SELECT 'internal', 'people', count(DISTINCT person_id), count(DISTINCT person_id) FROM aff
         UNION ALL SELECT 'internal', 'deals', count(DISTINCT deal_id), count(DISTINCT deal_id) FROM stages
         UNION ALL SELECT 'internal', 'documents', count(*), count(*) FROM documents)""", covers="Q5 A1")
@@ -86,7 +86,7 @@ def summary(c: Context) -> DataFrame:
     SELECT CASE WHEN ck % 11 <> 0 THEN 'A-C-' || ck END AS vendor_company_id, nullif(concat(
         CASE WHEN ck % 11 = 0 THEN 'null:vendor_company_id;' END, CASE WHEN ck % 7 = 0 THEN 'null:legal_name;' END,
         CASE WHEN ck % 11 = 0 THEN 'null_pk:vendor_company_id;' END,
-        CASE WHEN ck % 11 = 0 AND count_if(ck % 11 = 0) OVER () > 1 THEN 'dup_pk:vendor_company_id;' END), '') AS reason
+        CASE WHEN ck % 11 = 0 AND count(*) FILTER (WHERE ck % 11 = 0) OVER () > 1 THEN 'dup_pk:vendor_company_id;' END), '') AS reason
     FROM co WHERE in_a""", covers="Q6 P6 P9")
 def corruption(c: Context) -> DataFrame:
     k = F.regexp_extract("vendor_company_id", r"(\d+)$", 1).cast("bigint")
@@ -101,8 +101,8 @@ def corruption(c: Context) -> DataFrame:
 
 
 @query("Q7_lineage_check", """
-    SELECT 'feed_a' AS source, count_if(in_a) AS n_rows, CAST(0 AS BIGINT) AS wrong_source, CAST(0 AS BIGINT) AS missing_columns FROM ro
-    UNION ALL SELECT 'feed_b', count_if(in_b), 0, 0 FROM ro""")
+    SELECT 'feed_a' AS source, count(*) FILTER (WHERE in_a) AS n_rows, CAST(0 AS BIGINT) AS wrong_source, CAST(0 AS BIGINT) AS missing_columns FROM ro
+    UNION ALL SELECT 'feed_b', count(*) FILTER (WHERE in_b), 0, 0 FROM ro""")
 def lineage(c: Context) -> DataFrame:
     parts = [validate.check_lineage(c.m.landing[s, "funding_rounds"], s) for s in SOURCES]
     return parts[0].unionByName(parts[1])

@@ -47,9 +47,9 @@ def read_named(spark: SparkSession, *parts: str) -> DataFrame:
     return spark.read.table(".".join(parts))
 
 
-def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
-    """Overwrite a table together with its schema."""
-    writer = df.write.mode("overwrite").option("overwriteSchema", "true").format("parquet")
+def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
+    """Overwrite a table together with its schema. `fmt="delta"` works where that jar is installed."""
+    writer = df.write.mode("overwrite").option("overwriteSchema", "true").format(fmt)
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
 
 
