@@ -85,3 +85,27 @@ MEMO_PATTERN = (
     r"effective (\d{4}-\d{2}-\d{2}), returning ([\d.]+)x cost\."
 )
 NUMBER_PATTERN = r"-?\d[\d,]*\.?\d*"
+
+# Names and details of the checks, in the order of the reports.
+CHECK_ONE_CURRENT = "envelope one-current-per-key [%s]"
+CHECK_NO_NULLS = "envelope no-nulls [%s]"
+CHECK_ORDERED = "envelope valid_from<=valid_to [%s]"
+CHECK_ROW_COUNT = "rowcount reconcile [%s]"
+CHECK_STATUS = "status domain [%s]"
+CHECK_TEMPORAL = "temporal effective<=ingestion [%s]"
+CHECK_FACT_COMPANY = "FK fact_investment.company_sk -> dim_company"
+CHECK_FACT_INVESTOR = "FK fact_investment.investor_sk -> dim_investor"
+CHECK_PIT_COMPANY = "no unmatched point-in-time company join"
+CHECK_PIT_INVESTOR = "no unmatched point-in-time investor join"
+CHECK_FACT_ROWS = "rowcount reconcile fact_investment vs conformed_investments"
+DETAIL_REFERENCE = "%s unresolved of %s distinct"
+DETAIL_ONE_CURRENT = "%s keys >1 current; %s/%s keys have a current row"
+DETAIL_NO_NULLS = "%s null envelope rows"
+DETAIL_ORDERED = "%s inverted ranges"
+DETAIL_ROW_COUNT = "%s distinct keys vs %s expected"
+DETAIL_STATUS = "%s rows outside allowed set, %s null"
+DETAIL_TEMPORAL = "%s rows effective > ingestion (disclosure-lag expected)"
+DETAIL_PIT_COMPANY = "%s fact rows with no matching dim_company version"
+DETAIL_PIT_INVESTOR = "%s fact rows with no matching dim_investor version"
+DETAIL_FACT_ROWS = "%s fact rows vs %s current conformed investments"
+DETAIL_DIM_CURRENT = "%s keys with >1 current row"

@@ -42,8 +42,9 @@ def evaluate(counts: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def sentence(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+def said(text: str, *counts: Column) -> Column:
+    """The detail text with the counts filled in."""
+    return F.format_string(text, *[F.coalesce(c.cast("string"), F.lit("none")) for c in counts])
 
 
 def reference_counts(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -60,7 +61,7 @@ def check_reference(
     """C2."""
     missing, n = F.col("missing"), F.col("n")
     counts = reference_counts(child, child_key, parent, parent_key)
-    return evaluate(counts, [Check(name, missing == 0, sentence(missing, " unresolved of ", n, " distinct"), hard)])
+    return evaluate(counts, [Check(name, missing == 0, said(v.DETAIL_REFERENCE, missing, n), hard)])
 
 
 def entity_counts(df: DataFrame, key: str) -> DataFrame:
@@ -91,21 +92,17 @@ def check_entity(name: str, df: DataFrame, key: str, expected: DataFrame, tempor
     c = F.col
     counts = entity_counts(df, key).select("*", expected.select("expected_keys").scalar().alias("expected_keys"))
     checks = [
-        Check(f"envelope one-current-per-key [{name}]", (c("multi") == 0) & (c("with_current") == c("n_groups")),
-              sentence(c("multi"), " keys >1 current; ", c("with_current"), "/", c("n_groups"),
-                       " keys have a current row")),
-        Check(f"envelope no-nulls [{name}]", c("null_env") == 0, sentence(c("null_env"), " null envelope rows")),
-        Check(f"envelope valid_from<=valid_to [{name}]", c("inverted") == 0, sentence(c("inverted"), " inverted ranges")),
-        Check(f"rowcount reconcile [{name}]", c("n_groups") == c("expected_keys"),
-              sentence(c("n_groups"), " distinct keys vs ", F.coalesce(c("expected_keys"), F.lit(0)), " expected")),
+        Check(v.CHECK_ONE_CURRENT % name, (c("multi") == 0) & (c("with_current") == c("n_groups")),
+              said(v.DETAIL_ONE_CURRENT, c("multi"), c("with_current"), c("n_groups"))),
+        Check(v.CHECK_NO_NULLS % name, c("null_env") == 0, said(v.DETAIL_NO_NULLS, c("null_env"))),
+        Check(v.CHECK_ORDERED % name, c("inverted") == 0, said(v.DETAIL_ORDERED, c("inverted"))),
+        Check(v.CHECK_ROW_COUNT % name, c("n_groups") == c("expected_keys"),
+              said(v.DETAIL_ROW_COUNT, c("n_groups"), c("expected_keys"))),
         # A NULL status passes the domain test, so its count is shown.
-        Check(f"status domain [{name}]", c("outside") == 0,
-              sentence(c("outside"), " rows outside allowed set, ", c("no_status"), " null")),
+        Check(v.CHECK_STATUS % name, c("outside") == 0, said(v.DETAIL_STATUS, c("outside"), c("no_status"))),
     ]
     if temporal:
-        checks.append(
-            Check(f"temporal effective<=ingestion [{name}]", c("late") == 0,
-                  sentence(c("late"), " rows effective > ingestion (disclosure-lag expected)"), hard=False))
+        checks.append(Check(v.CHECK_TEMPORAL % name, c("late") == 0, said(v.DETAIL_TEMPORAL, c("late")), hard=False))
     return evaluate(counts, checks)
 
 

@@ -51,7 +51,7 @@ class Lazy(Mapping):
         return len(self._names)
 
 
-# Columns of the feeds kept by the bitemporal load.
+# Columns of the feeds kept by the bitemporal load, keys, and the names of the reference checks.
 ROUND_COLUMNS = ["round_type", "currency", "instrument_type", "pre_money_valuation", "post_money_valuation"]
 INVESTOR_COLUMNS = ["investor_type", "legal_name", "vintage_year", "geographic_focus", "sector_focus", "stage_focus"]
 EDGE_COLUMNS = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import blank, surrogate_key
+from ledgerloom.functions.scalars import blank, date_key, numbers_in, surrogate_key
 from ledgerloom.operators.measures import members
 from ledgerloom.operators.validate import empty_like
 from ledgerloom.plans.registry import Context, query
@@ -260,6 +260,34 @@ def hash_keys(c: Context) -> DataFrame:
     return c.t("orders").select(surrogate_key("o_orderkey", "o_custkey").alias("sk"), "o_orderkey")
 
 
+@query("F_date_functions", """
+    SELECT o_orderkey, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, last_day(o_orderdate) AS month_end, strftime(o_orderdate, '%B') AS month_name,
+           CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS day_of_week, CAST(datediff('day', DATE '1995-01-01', o_orderdate) AS INTEGER) AS days,
+           CAST(CAST(o_orderdate AS DATE) + 90 AS DATE) AS due, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_sk,
+           CAST(len(generate_series(CAST(o_orderdate AS DATE), last_day(o_orderdate), INTERVAL 1 DAY)) AS INTEGER) AS days_left FROM orders""", covers="F")
+def date_functions(c: Context) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    return c.t("orders").select(
+        "o_orderkey", F.quarter(day).alias("quarter"), F.last_day(day).alias("month_end"), F.date_format(day, "MMMM").alias("month_name"),
+        F.dayofweek(day).alias("day_of_week"), F.datediff(day, F.lit("1995-01-01").cast("date")).alias("days"),
+        F.date_add(day, 90).alias("due"), date_key(day).alias("date_sk"), F.size(F.sequence(day, F.last_day(day))).alias("days_left"))
+
+
+@query("F_text_and_math_functions", r"""
+    SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS price, regexp_extract(o_orderpriority, '(\d)-(\w+)', 2) AS word,
+           concat_ws('/', o_orderstatus, lower(o_orderpriority)) AS label, contains(lower(o_orderpriority), 'low') AS is_low,
+           greatest(o_totalprice, 100000.0::DOUBLE) AS top, least(o_totalprice, 100000.0::DOUBLE) AS bottom,
+           CASE WHEN o_custkey % 7 <> 0 THEN CAST(o_orderkey AS DOUBLE) / (o_custkey % 7) END AS share,
+           TRY_CAST(regexp_extract(o_orderpriority, '-?\d[\d,]*\.?\d*') AS DOUBLE) AS number FROM orders""", covers="F")
+def text_functions(c: Context) -> DataFrame:
+    price, priority = F.col("o_totalprice"), F.col("o_orderpriority")
+    return c.t("orders").select(
+        "o_orderkey", F.format_number(price, 2).alias("price"), F.regexp_extract(priority, r"(\d)-(\w+)", 2).alias("word"),
+        F.concat_ws("/", "o_orderstatus", F.lower(priority)).alias("label"), F.contains(F.lower(priority), F.lit("low")).alias("is_low"),
+        F.greatest(price, F.lit(100000.0)).alias("top"), F.least(price, F.lit(100000.0)).alias("bottom"),
+        F.try_divide(F.col("o_orderkey").cast("double"), F.col("o_custkey") % 7).alias("share"), F.get(numbers_in(priority), F.lit(0)).alias("number"))
+
+
 @query("M12_member_list", "SELECT DISTINCT sector_group FROM c_co WHERE sector_group IS NOT NULL", covers="M12 A7 L1")
 def member_list(c: Context) -> DataFrame:
     return members(c.star)
