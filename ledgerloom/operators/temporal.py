@@ -16,12 +16,13 @@ ENVELOPE = ["valid_from", "valid_to", "is_current"]
 
 
 def day(c: str | Column) -> Column:
-    return F.to_date(F.col(c) if isinstance(c, str) else c)
+    """As a date; text that is none gives NULL, which the checks report, and does not stop the job."""
+    return (F.col(c) if isinstance(c, str) else c).try_cast("date")
 
 
 def with_axes(df: DataFrame, *effective: str | Column, ingestion: str = "_ingestion_ts") -> DataFrame:
     """`effective_date` is the first non-null of the given dates, else the ingestion date."""
-    ingested = F.to_timestamp(ingestion)
+    ingested = F.col(ingestion).try_cast("timestamp")
     return df.withColumns(
         {"effective_date": F.coalesce(*[day(c) for c in effective], ingested.cast("date")), "ingestion_date": ingested}
     )

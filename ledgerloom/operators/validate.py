@@ -116,7 +116,7 @@ def check_references(df: DataFrame, fk: str, parent: DataFrame, parent_key: str)
 def freshness(feeds: dict[tuple[str, str], DataFrame], as_of: str, max_age_days: int) -> DataFrame:
     """Q4: age of the newest row of each feed against `as_of`."""
     parts = [
-        df.agg(F.max(F.to_timestamp("_ingestion_ts")).alias("newest")).select(
+        df.agg(F.max(F.col("_ingestion_ts").try_cast("timestamp")).alias("newest")).select(
             F.lit(source).alias("source"), F.lit(entity).alias("entity"), "newest"
         )
         for (source, entity), df in feeds.items()

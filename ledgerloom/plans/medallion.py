@@ -147,6 +147,7 @@ class Medallion:
         return self.gates[source, entity].valid
 
     def validation_summary(self) -> DataFrame:
+        self.gates.build()
         return summarize(dict(self.gates.items()))
 
     # --- stage B ---
@@ -341,6 +342,8 @@ def run(spark: SparkSession, provider, out: str, resolved_at: str, sector_groups
     keep("validation_summary", m.validation_summary())
     for (source, entity), gate in m.gates.items():
         save_if_any(gate.quarantine, f"{out}/stg_quarantine_{source}_{entity}")
+        if entity in ENTITY_KEYS:
+            save_if_any(m.unmapped(source, entity), f"{out}/stg_unmapped_{source}_{entity}")
     quality.enforce(keep("dq_assertions_report", m.assertions()))
     quality.enforce(keep("gold_dq_assertions_report", m.gold_assertions()))
     return m

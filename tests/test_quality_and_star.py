@@ -101,6 +101,19 @@ def test_run_writes_every_stage_and_certifies(spark, sf_dir, tmp_path):
     assert m.fact.count() == 3402
 
 
+def test_run_sets_unmapped_rows_apart(spark, sf_dir, tmp_path):
+    class Partial(Fixtures):
+        def mapping(self, entity_type=None):
+            return super().mapping(entity_type).filter("vendor_id <> 'B-I-3'")
+
+    # Investments that only feed B has lose their investor, which the gold checks must not let pass.
+    with pytest.raises(quality.QualityError, match="point-in-time investor"):
+        run(spark, Partial(spark, sf_dir), str(tmp_path), RESOLVED_AT, groups_of_segments())
+    left = spark.read.parquet(str(tmp_path / "stg_unmapped_feed_b_investors"))
+    assert rows_of(left, "vendor_investor_id", "_quarantine_reason") == [("B-I-3", "unmapped")]
+    assert not (tmp_path / "stg_unmapped_feed_a_investors").exists()
+
+
 def test_run_stops_on_a_hard_failure(spark, sf_dir, tmp_path):
     class Broken(Fixtures):
         def deals(self):

@@ -110,6 +110,14 @@ def test_axes_fall_back_to_ingestion(frame):
     assert rows_of(temporal.with_axes(df, "day"), "effective_date") == [(date(2020, 1, 1),), (date(2021, 5, 5),)]
 
 
+def test_dates_that_are_none_do_not_stop_the_job(frame):
+    df = frame([("soon", "never"), ("2020-02-30", "2021-05-05T10:00:00+00:00")], "day string, _ingestion_ts string")
+    out = temporal.with_axes(df, "day")
+    assert rows_of(out, "effective_date") == sorted([(None,), (date(2021, 5, 5),)], key=repr)
+    row = temporal.null_audit({"t": out}).first()
+    assert (row["n_rows"], row["effective_null"], row["ingestion_null"]) == (2, 1, 1)
+
+
 DIM = "k string, sk string, valid_from date, valid_to date"
 
 
