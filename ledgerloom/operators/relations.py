@@ -187,7 +187,7 @@ def stage_steps(deals: DataFrame) -> DataFrame:
         "seconds", F.timestamp_diff("SECOND", F.col("at"), F.col("next_at")))
 
 
-def pipeline_report(steps: DataFrame) -> DataFrame:
+def stage_report(steps: DataFrame) -> DataFrame:
     """H9: per stage the deals that entered, moved on and their mean hours; the slowest stage is the bottleneck."""
     per = steps.groupBy("stage").agg(
         F.count(F.lit(1)).alias("entered"), F.count("next_stage").alias("moved_on"), (F.avg("seconds") / 3600).alias("avg_hours"))

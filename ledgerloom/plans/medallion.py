@@ -340,10 +340,15 @@ def run(spark: SparkSession, provider, out: str, resolved_at: str, sector_groups
     m = Medallion(provider, resolved_at, sector_groups, keep)
     m.build()
     keep("validation_summary", m.validation_summary())
-    for (source, entity), gate in m.gates.items():
-        save_if_any(gate.quarantine, f"{out}/stg_quarantine_{source}_{entity}")
-        if entity in ENTITY_KEYS:
-            save_if_any(m.unmapped(source, entity), f"{out}/stg_unmapped_{source}_{entity}")
+
+    def set_apart(feed: tuple[str, str]) -> None:
+        name = f"{feed[0]}_{feed[1]}"
+        save_if_any(m.gates[feed].quarantine, f"{out}/stg_quarantine_{name}")
+        if feed[1] in ENTITY_KEYS:
+            save_if_any(m.unmapped(*feed), f"{out}/stg_unmapped_{name}")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(set_apart, FEEDS))
     quality.enforce(keep("dq_assertions_report", m.assertions()))
     quality.enforce(keep("gold_dq_assertions_report", m.gold_assertions()))
     return m

@@ -154,12 +154,12 @@ def steps(c: Context) -> DataFrame:
     return relations.stage_steps(c.m.conformed["deals"]).select("deal_id", "stage", "next_stage", "seconds")
 
 
-@query("H9_pipeline_report", """
+@query("H9_stage_report", """
     SELECT stage, count(*) AS entered, count(next_stage) AS moved_on, round(avg(h), 4) AS avg_hours, round(count(next_stage) / count(*), 6) AS conversion,
            avg(h) = max(avg(h)) OVER () AS is_bottleneck FROM (SELECT stage, next_stage, (us // 1000000) / 3600 AS h FROM steps) GROUP BY stage""",
     covers="H9 A9")
-def pipeline_health(c: Context) -> DataFrame:
-    df = relations.pipeline_report(relations.stage_steps(c.m.conformed["deals"]))
+def stage_health(c: Context) -> DataFrame:
+    df = relations.stage_report(relations.stage_steps(c.m.conformed["deals"]))
     return df.withColumns({"avg_hours": F.round("avg_hours", 4), "conversion": F.round("conversion", 6)})
 
 
