@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -249,9 +250,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     keys = (plan[:, 0] << 44) | plan[:, 1]
 
     @F.pandas_udf("struct<sequence_id:bigint,offset:bigint>")
-    def spot(length, rank):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def spot(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
         row = np.searchsorted(keys, (n << 44) | r, side="right") - 1
         k, each = r - plan[row, 1], plan[row, 3]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import near_dup, packing, quality, url_filter
+from ledgerloom.llm import html_text, near_dup, packing, pii, quality, url_filter
 from ledgerloom.llm.scratch import table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,14 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_semi_markov_pii")
+def semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2(F.col("base").cast("binary"), 256)).drop("base")
+
+
+@query("op3_page_differencing")
+def page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
