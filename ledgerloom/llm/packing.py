@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import Scratch, keyed, only
+from ledgerloom.llm.scratch import Scratch, groups, keyed, only
 
 #: Encodings a worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 700_000
@@ -84,7 +84,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for group in _groups(texts):
+        for group in groups(texts):
             split = [None if _ODD_SPACE.search(t) else t.split() for t in group]
             need = set().union(*(s for s in split if s))
             need = {x for x in need if x not in self.known}
@@ -96,19 +96,6 @@ class WordTokenizer:
         return out
 
 
-def _groups(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters, so that what is held at once does not follow the batch."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -134,7 +121,7 @@ def token_pieces(
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
-            for group in _groups([t or "" for t in texts]):
+            for group in groups([t or "" for t in texts]):
                 rows, piece, start, length, ids, place = [], [], [], [], [], []
                 for k, raw in enumerate(tk.encode(group), at):
                     raw += end

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,3 +83,16 @@ def vocabulary(name: str) -> str:
     if not Path(place).exists():
         raise FileNotFoundError(place)
     return place
+
+
+def groups(texts: list, size: int = 4_000_000) -> Iterator[list]:
+    """Runs of texts of about that size, so that what is held at once does not follow the batch."""
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t)
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
