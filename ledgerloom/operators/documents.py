@@ -158,28 +158,30 @@ def index_text(docs: DataFrame) -> DataFrame:
 
 
 def corpus_audit(corpus: DataFrame, attached: DataFrame, key: str) -> DataFrame:
-    """Per index status the number of files, plus corpus documents missing and files that are extra.
+    """One row on corpus documents missing and files that are extra, with the verdict.
 
-    `attached` has one row per file with the document key and a status. The verdict row is complete when
-    nothing is missing or extra and completed files equal the corpus.
+    `attached` has one row per file with the document key and a status. The verdict is complete when nothing is
+    missing or extra and completed files equal the corpus. `status_counts` has the files of each status.
     """
-    per = corpus.select(key, F.lit(1).alias("_c"), F.lit(None).cast("string").alias("status")).unionByName(
-        attached.select(key, F.lit(0).alias("_c"), "status"))
+    per = corpus.select(key, F.lit(1).alias("_c"), F.lit(None).cast("string").alias("status"), F.lit(0).alias("_f")).unionByName(
+        attached.select(key, F.lit(0).alias("_c"), "status", F.lit(1).alias("_f")))
     per = per.groupBy(key).agg(
-        F.max("_c").alias("in_corpus"),
-        F.count("status").alias("n_files"),
-        *[F.count_if(F.col("status") == s).alias(s) for s in ("completed", "failed", "in_progress")],
-    )
+        F.max("_c").alias("in_corpus"), F.sum("_f").alias("n_files"), F.count_if(F.col("status") == "completed").alias("completed"))
     return per.agg(
         F.count_if(F.col("in_corpus") == 1).alias("corpus_size"),
         F.coalesce(F.sum("n_files"), F.lit(0)).alias("attached"),
-        *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in ("completed", "failed", "in_progress")],
+        F.coalesce(F.sum("completed"), F.lit(0)).alias("completed"),
         F.count_if((F.col("in_corpus") == 1) & (F.col("n_files") == 0)).alias("missing"),
         F.count_if(F.col("in_corpus") == 0).alias("extra"),
     ).withColumn(
         "complete", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("completed") == F.col("corpus_size")))
 
 
+def status_counts(attached: DataFrame) -> DataFrame:
+    """Files of every status that occurs, whatever it is called; NULL is a status of its own."""
+    return attached.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def corpus_differences(corpus: DataFrame, attached: DataFrame, key: str) -> DataFrame:
     """The ids themselves: missing, extra or failed."""
     have = attached.select(key).distinct()

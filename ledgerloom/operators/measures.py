@@ -68,13 +68,34 @@ KEYS = {"company": ("company_sk", "company_sk"), "investor": ("investor_sk", "in
         "date": ("effective_date_sk", "date_sk"), "exit": ("exit_date_sk", "date_sk")}
 
 
+def _values(value: object) -> list:
+    return list(value) if isinstance(value, (list, tuple, set)) else [value]
+
+
+def wanted(where: dict[str, object]) -> Column:
+    """Every column has one of its wanted values; None stands for NULL."""
+    cond = F.lit(True)
+    for name, value in where.items():
+        known = [x for x in _values(value) if x is not None]
+        hit = F.coalesce(F.col(name).isin(known), F.lit(False)) if known else F.lit(False)
+        cond = cond & (hit | F.col(name).isNull() if None in _values(value) else hit)
+    return cond
+
+
+def _by_date(star: Star, where: dict[str, object] | None) -> tuple[dict[str, object], dict[str, object]]:
+    """Conditions on the date dimension, and the others."""
+    on = {c: x for c, x in (where or {}).items() if _owner(star, c) == "date"}
+    return on, {c: x for c, x in (where or {}).items() if c not in on}
+
+
 def slice_sums(
     star: Star, by: Sequence[str], where: dict[str, object] | None, as_of: str, date_role: str = "date"
 ) -> DataFrame:
     """The additive sums per group. `where` maps columns to a wanted value, or to a list of them.
 
     Columns may come from any dimension or the fact; only the dimensions named are joined. Facts without a
-    matching member stay, in the NULL group. `date_role="exit"` joins the date dimension on the exit date.
+    matching member stay, in the NULL group, and a wanted None selects them (the blank member).
+    `date_role="exit"` joins the date dimension on the exit date.
     """
     where = where or {}
     used = {c: _owner(star, c) for c in [*by, *where]}
@@ -82,15 +103,8 @@ def slice_sums(
     fact_cols = sorted({c for c, d in used.items() if d == "fact"})
     keys = {d: KEYS[date_role if d == "date" else d] for d in dims}
 
-    def wanted(names: list[str]) -> Column:
-        cond = F.lit(True)
-        for name in names:
-            value = where[name]
-            cond = cond & (F.col(name).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(name) == value)
-        return cond
-
     fact = star.fact
-    on_fact = [c for c in where if used[c] == "fact"]
+    on_fact = {c: x for c, x in where.items() if used[c] == "fact"}
     if on_fact:
         fact = fact.filter(wanted(on_fact))
     out = fact.groupBy(*fact_cols, *[fk for fk, _ in keys.values()]).agg(*fact_sums(as_of))
@@ -98,10 +112,13 @@ def slice_sums(
         fk, pk = keys[dim]
         columns = sorted({c for c, d in used.items() if d == dim})
         members = getattr(star, dim).select(F.col(pk).alias("_pk"), *columns)
-        filtered = [c for c in where if used[c] == dim]
-        if filtered:
+        filtered = {c: x for c, x in where.items() if used[c] == dim}
+        blank = all(None in _values(x) for x in filtered.values())  # facts without a member are wanted too
+        if filtered and not blank:
             members = members.filter(wanted(filtered))
-        out = out.join(members, out[fk] == members["_pk"], "inner" if filtered else "left").drop("_pk")
+        out = out.join(members, out[fk] == members["_pk"], "left" if blank else "inner").drop("_pk")
+        if filtered and blank:
+            out = out.filter(wanted(filtered))
     return out.groupBy(*by).agg(*_resum())
 
 
@@ -122,37 +139,43 @@ def sector_concentration(
 ) -> DataFrame:
     """Share of the invested total with only the sector filter removed, and M4 beside it."""
     where = dict(where or {})
+    limited = sector in where
     chosen = where.pop(sector, None)
     sums = slice_sums(star, [*outer, sector], where, as_of)
-    # One row per sector and outer group, so the window is small.
+    # One row per sector and outer group. `sector` must be a column of few values: one task holds an outer group's.
     total = F.sum("total_invested").over(Window.partitionBy(*(outer or [F.lit(1)])))
     out = sums.withColumns({**ratios(), "concentration": F.try_divide("total_invested", F.when(total != 0, total))})
-    if chosen is not None:
-        out = out.filter(F.col(sector).isin(list(chosen) if isinstance(chosen, (list, tuple, set)) else [chosen]))
+    if limited:
+        out = out.filter(wanted({sector: chosen}))
     return out.select(*outer, sector, "total_invested", "moic", "concentration")
 
 
 def cumulative_nav(star: Star, where: dict[str, object] | None = None, as_of: str = "", grain: str = "date") -> DataFrame:
-    """NAV of all facts dated up to each day, or up to the end of each year, of the calendar.
+    """NAV of all facts dated up to each day, or up to the last day of each step, of the calendar.
 
-    Facts are summed per day first, so the running window holds one row per calendar day.
+    Conditions on dates choose the steps that are returned, and the last day within a step; they never cut the
+    facts before it. Facts are summed per day first, so the running window holds one row per calendar day.
     """
-    daily = slice_sums(star, ["effective_date"], where, as_of).select(F.col("effective_date").alias("_d"), "nav")
-    spine = star.date.select("date", *([grain] if grain != "date" else []))
-    steps = spine.join(daily, spine["date"] == daily["_d"], "left").groupBy(grain).agg(F.sum("nav").alias("_nav"))
-    running = Window.partitionBy(F.lit(1)).orderBy(grain).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(grain, F.sum("_nav").over(running).alias("cumulative_nav"))
+    dates, rest = _by_date(star, where)
+    daily = slice_sums(star, ["effective_date"], rest, as_of).select(F.col("effective_date").alias("_d"), "nav")
+    spine = star.date.select(*dict.fromkeys(["date", grain, *dates]))
+    steps = spine.join(daily, spine["date"] == daily["_d"], "left")
+    running = Window.partitionBy(F.lit(1)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("_upto", F.sum("nav").over(running)).filter(wanted(dates))
+    return steps.groupBy(grain).agg(F.max_by("_upto", "date").alias("cumulative_nav"))
 
 
 def cumulative_nav_at(star: Star, day: str, where: dict[str, object] | None = None, as_of: str = "") -> DataFrame:
-    """One row; NULL when the day is outside the calendar, told apart by `in_calendar`."""
-    known = star.date.filter(F.col("date") == F.lit(day).cast("date")).agg((F.count(F.lit(1)) > 0).alias("in_calendar"))
+    """One row; NULL when the day is outside the calendar, told apart by `in_calendar`, or outside the conditions on
+    dates. Those only say whether the day is asked for; all facts up to it count."""
+    dates, rest = _by_date(star, where)
+    known = star.date.filter(F.col("date") == F.lit(day).cast("date")).agg(
+        (F.count(F.lit(1)) > 0).alias("in_calendar"), (F.count_if(wanted(dates)) > 0).alias("asked"))
     upto = Star(star.fact.filter(F.col("effective_date") <= F.lit(day).cast("date")), star.company, star.investor, star.date)
-    nav = slice_sums(upto, [], where, as_of).select("nav", known.scalar().alias("in_calendar"))
+    nav = slice_sums(upto, [], rest, as_of).select(
+        "nav", known.select("in_calendar").scalar().alias("in_calendar"), known.select("asked").scalar().alias("asked"))
     return nav.select(
-        F.lit(day).cast("date").alias("date"), F.when(F.col("in_calendar"), F.col("nav")).alias("cumulative_nav"),
-        "in_calendar",
-    )
+        F.lit(day).cast("date").alias("date"), F.when(F.col("asked"), F.col("nav")).alias("cumulative_nav"), "in_calendar")
 
 
 def members(star: Star, column: str = "sector_group") -> DataFrame:

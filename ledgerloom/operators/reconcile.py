@@ -252,19 +252,21 @@ def expected_ledger(
     da, db = F.col(f"announced_date_{a}"), F.col(f"announced_date_{b}")
     ma, mb = F.col(f"amount_raised_{a}"), F.col(f"amount_raised_{b}")
     apart = F.abs(F.datediff(F.try_to_date(da, "yyyy-MM-dd"), F.try_to_date(db, "yyyy-MM-dd")))
-    out.append(rows(rp, "funding_round", F.abs(ma - mb) > v.AMOUNT_TOLERANCE * F.greatest(ma, mb), v.VALUE_CONFLICT,
+    out.append(rows(rp, "funding_round", relative_gap(ma, mb) > v.AMOUNT_TOLERANCE, v.VALUE_CONFLICT,
                     none, _versus("amount_raised", ma, mb)))
     out.append(rows(rp, "funding_round", apart > v.DAYS_TOLERANCE, v.TEMPORAL_CONFLICT, none, _versus("announced", da, db)))
     ip = pairs("investor", investors, "vendor_investor_id", ["fund_size"])
     fa, fb = F.col(f"fund_size_{a}"), F.col(f"fund_size_{b}")
-    out.append(rows(ip, "investor", (fa > 0) & (fb > 0) & (F.abs(fa - fb) > v.AMOUNT_TOLERANCE * F.greatest(fa, fb)),
+    out.append(rows(ip, "investor", (fa != 0) & (fb != 0) & (relative_gap(fa, fb) > v.AMOUNT_TOLERANCE),
                     v.VALUE_CONFLICT, none, _versus("fund_size", fa, fb)))
-    covered = spread.filter((F.col("entity_type") == "company") & ~alone).select(
-        F.col("canonical_id").alias("company_id"), F.lit(True).alias("_both"))
+    seen = F.concat_ws(",", *[F.when(F.col(s).isNotNull(), F.lit(s)) for s in sources])
+    covered = spread.filter(F.col("entity_type") == "company").select(
+        F.col("canonical_id").alias("company_id"), (~alone).alias("_both"), seen.alias("_seen"))
     lone = spread.filter((F.col("entity_type") == "investment") & alone).join(edge_company, "canonical_id", "left")
     lone = lone.join(covered, "company_id", "left")
     out.append(rows(lone, "investment", F.lit(True), v.EXISTENCE_CONFLICT,
-                    F.when(F.col("_both"), v.GENUINE).otherwise(v.COVERAGE_GAP), only))
+                    F.when(F.col("_both"), v.GENUINE).otherwise(v.COVERAGE_GAP),
+                    F.concat(F.lit("edge "), only, F.lit("; company covered by "), F.coalesce("_seen", F.lit("")))))
     return reduce(DataFrame.unionByName, out)
 
 

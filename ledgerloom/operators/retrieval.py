@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,6 @@ from ledgerloom.functions.scalars import json_tags
 from ledgerloom.sources.landing import materialize
 
 K1, B = 1.2, 0.75
-MAX_QUERY_VECTORS = 1000
 
 
 def tokens(text: str | Column) -> Column:
@@ -62,36 +63,59 @@ def bm25(
     return top_k(scored, [question_id], "score", doc_id, k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _unit(c: Column) -> Column:
+    """The vector over its length, in double precision; NULL where it has none or holds a NULL."""
+    x = F.transform(c, lambda e: e.cast("double"))
+    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e))
+    return F.when(length > 0, F.transform(x, lambda e: e / length))
 
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding",
-    query_id: str = "query_id", query: str = "query", digits: int = 6,
+    query_id: str = "query_id", query: str = "query", digits: int = 6, chunk: int = 4096, block: int = 4096,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
-    """The best k vectors per query by cosine, exact.
+    """The best k vectors per query by cosine, exact, for any number of queries.
 
-    The query vectors, at most `MAX_QUERY_VECTORS`, travel as one literal to every task; larger sets must be
-    asked in parts. Each stored vector is read once and Spark keeps k per query and partition.
+    Vectors are dealt by a hash into chunks of about `chunk` rows and queries into blocks of about `block`. A chunk meets
+    a block in one task of bounded size, which multiplies two matrices of unit vectors and returns k rows per query; no
+    (query, vector) pair becomes a row before that. Vectors without a cosine (NULL, zero, NULL or NaN inside) are not
+    ranked, and vectors of unlike length are not compared. Ids must be unique.
     """
-    asked = queries.select(query_id, query).limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(asked) > MAX_QUERY_VECTORS:
-        raise ValueError(f"more than {MAX_QUERY_VECTORS} query vectors: ask in parts")
-    if not asked:
-        return vectors.select(F.lit(None).alias(query_id), vec_id, F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    literal = F.array(*[
-        F.struct(F.lit(r[query_id]).cast(queries.schema[query_id].dataType).alias("id"), F.array(*[F.lit(float(x)) for x in r[query]]).alias("vec")) for r in asked
-    ])
-    pairs = vectors.select(vec_id, embedding, F.explode(literal).alias("q"))
-    scored = pairs.select(F.col("q.id").alias(query_id), vec_id, F.round(cosine(F.col(embedding), F.col("q.vec")), digits).alias("score"))
+    held = keep(vectors.select(F.col(vec_id).alias("_v"), _unit(F.col(embedding)).alias("_x"))).filter("_x is not null")
+    asked = keep(queries.select(F.col(query_id).alias("_q"), _unit(F.col(query)).alias("_y"))).filter("_y is not null")
+    n_chunks, n_blocks = (max(1, -(-df.count() // n)) for df, n in ((held, chunk), (asked, block)))
+
+    def dealt(df: DataFrame, key: str, vec: str, n: int, own: str, other: str, copies: int) -> DataFrame:
+        return df.select(key, vec, F.size(vec).alias("_dim"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own),
+                         F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other))
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, v = left.column("_q"), right.column("_v")
+        score = _rows(left.column("_y")) @ _rows(right.column("_x")).T if len(left) and len(right) else np.zeros((0, 0))
+        score = np.round(score, digits)
+        best = [np.lexsort((np.asarray(v), -s))[:k] for s in score]  # ties by id
+        row = [i for i, b in enumerate(best) for _ in b]
+        at = np.concatenate(best) if best else np.zeros(0, int)
+        return pa.table({"q": q.take(pa.array(row, pa.int64())), "v": v.take(pa.array(at, pa.int64())),
+                         "score": pa.array(score[row, at] if row else [], pa.float64())})
+
+    by = ["_dim", "_chunk", "_block"]
+    grid = dealt(asked, "_q", "_y", n_blocks, "_block", "_chunk", n_chunks).groupBy(*by).cogroup(
+        dealt(held, "_v", "_x", n_chunks, "_chunk", "_block", n_blocks).groupBy(*by))
+    kinds = [queries.schema[query_id].dataType.simpleString(), vectors.schema[vec_id].dataType.simpleString()]
+    found = grid.applyInArrow(rank, f"q {kinds[0]}, v {kinds[1]}, score double")
+    scored = found.filter("not isnan(score)").select(
+        F.col("q").alias(query_id), F.col("v").alias(vec_id), F.round("score", digits).alias("score"))
     return top_k(scored, [query_id], "score", vec_id, k)
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of one length as a matrix."""
+    flat = np.asarray(column.combine_chunks().flatten(), dtype=np.float64)
+    return flat.reshape(len(column), -1)
+
+
 def keyword_search(docs: DataFrame, words: Sequence[str], text: str = "text", pattern: str | None = None) -> DataFrame:
     """Texts with every word, as given but for case, and matching the pattern if there is one."""
     out = docs

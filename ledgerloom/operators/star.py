@@ -75,7 +75,7 @@ def sector_bridge(companies: DataFrame) -> DataFrame:
 
 
 def pit_join(
-    fact: DataFrame, at: str, dim: DataFrame, key: str, sk: str, slices: tuple[int, int] | None = None
+    fact: DataFrame, at: str, dim: DataFrame, key: str, sk: str, slices: tuple[str, str, int] | None = None
 ) -> DataFrame:
     """Attach the dimension version valid at the fact's date, NULL when there is none.
 
@@ -83,22 +83,26 @@ def pit_join(
     condition: a small dimension is broadcast by measured size, and for a large one AQE splits the
     tasks of a hot key. Overlapping versions match more than once; the row-count check reports that.
 
-    `slices=(first_year, last_year)` is for dimensions with long histories per key. Versions are repeated
-    for each year they touch and the year joins the equality, so facts meet only the versions of their
-    own year, and a hot key is spread over the years. Dates outside the range fall in its end years, which
-    keeps the result the same.
+    `slices=(first_day, last_day, days)` is for dimensions with long histories per key. Versions are repeated
+    for each slice of so many days that they touch and the slice joins the equality, so facts meet only the
+    versions of their own slice, and a hot key is spread over the slices. Choose `days` near the usual length of a
+    version: shorter slices repeat versions, longer ones spread less. Dates outside the range fall in its end
+    slices, which keeps the result the same.
     """
     d = dim.select(F.col(key).alias("_k"), F.col(sk).alias("_sk"), F.col("valid_from").alias("_vf"),
                    F.col("valid_to").alias("_vt"))
     f = fact.drop(sk)
     on = (F.col(key) == F.col("_k")) & valid_at(F.col(at), "_vf", "_vt")
     if slices:
-        def year_of(c: Column) -> Column:
-            return F.least(F.greatest(F.year(c), F.lit(slices[0])), F.lit(slices[1]))
+        first, last = (F.lit(x).cast("date") for x in slices[:2])
+
+        def slice_of(c: Column) -> Column:
+            inside = F.least(F.greatest(c.cast("date"), first), last)  # NULL stays NULL
+            return F.when(c.isNotNull(), F.floor(F.datediff(inside, first) / slices[2]).cast("int"))
 
         d = d.filter("_vf < _vt").withColumn(
-            "_slice", F.explode(F.sequence(year_of(F.col("_vf")), year_of(F.date_sub("_vt", 1)))))
-        f = f.withColumn("_at_slice", year_of(F.col(at)))
+            "_slice", F.explode(F.sequence(slice_of(F.col("_vf")), slice_of(F.date_sub("_vt", 1)))))
+        f = f.withColumn("_at_slice", slice_of(F.col(at)))
         on = on & (F.col("_at_slice") == F.col("_slice"))
     joined = f.join(d, on, "left").withColumnRenamed("_sk", sk)
     return joined.drop("_k", "_vf", "_vt", "_slice", "_at_slice")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import vocab as v
 from ledgerloom.functions.scalars import any_of, differs, valid_at
 from ledgerloom.operators.validate import with_key_count
+from ledgerloom.sources.landing import materialize
 
 ENVELOPE = ["valid_from", "valid_to", "is_current"]
 
@@ -49,9 +50,10 @@ def as_of(df: DataFrame, valid: str | Column, known: str | Column | None = None)
     return out
 
 
-def versions(df: DataFrame, key: str, value: str) -> DataFrame:
-    """T5: all versions of one key, oldest first."""
-    return df.filter(F.col(key) == value).orderBy("valid_from", "valid_to")
+def versions(df: DataFrame, key: str, value: str | DataFrame) -> DataFrame:
+    """T5: all versions of one key, oldest first; the key as a value, or as a frame of one row that need not be known yet."""
+    own = df.filter(F.col(key) == value) if isinstance(value, str) else df.join(value, key, "left_semi")
+    return own.orderBy("valid_from", "valid_to")
 
 
 def null_audit(tables: dict[str, DataFrame]) -> DataFrame:
@@ -139,45 +141,47 @@ def scd2_apply(
     return Merge(state, counted.filter(F.col("_reject_reason").isNotNull()).unionByName(late))
 
 
-def with_neighbour(
-    df: DataFrame, key: str, order: Sequence[str], values: Sequence[str], bucket: Column, out: str, forward: bool = False
+def with_neighbours(
+    df: DataFrame, key: str, order: Sequence[str], values: Sequence[str], before: str, after: str,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
-    """The previous (or next) row's values per key as a struct, without a window over the whole key.
+    """The previous and the next row's values per key as structs, without a window over the whole key.
 
-    Rows are ordered inside (key, bucket), where `bucket` is a coarse step of the order, such as the day or
-    the hour. The edge row of each bucket takes its neighbour from the nearest filled bucket of the key, found on
-    one row per bucket. A hot key is so spread over its buckets.
+    Rows are range-partitioned by key and order, so a hot key is cut anywhere, also within one day, and neighbours are
+    taken inside each partition. Only the first and the last row of each partition travel further: one row for each
+    partition finds its neighbours in the partitions next to it that have rows. NULL keys are one key, NULL order
+    values come first; `order` must be unique within a key. The partitions are written once, since both steps must see
+    the same cuts.
     """
-    rows = df.withColumn("_bucket", bucket)
-    packed = F.struct(*[F.col(c) for c in values])
-    rank = F.struct(*[F.col(c) for c in order])
-    directed = [F.col(c).desc() if forward else F.col(c).asc() for c in order]
-    inside = Window.partitionBy(key, "_bucket").orderBy(*directed)
-    rows = rows.withColumns({"_near": F.lag(packed).over(inside), "_edge": F.row_number().over(inside) == 1})
-    last = F.min_by(packed, rank) if forward else F.max_by(packed, rank)
-    step = F.col("_b").desc() if forward else F.col("_b").asc()
-    edges = (
-        df.groupBy(F.col(key).alias("_k"), bucket.alias("_b")).agg(last.alias("_last"))
-        .withColumn("_far", F.lag("_last").over(Window.partitionBy("_k").orderBy(step)))
-        .drop("_last")
-    )
-    joined = rows.join(edges, (rows[key] == edges["_k"]) & (rows["_bucket"] == edges["_b"]), "left")
-    return joined.withColumn(out, F.when(F.col("_edge"), F.col("_far")).otherwise(F.col("_near"))).drop(
-        "_bucket", "_near", "_edge", "_far", "_k", "_b"
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keep(df.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()))
+    packed = F.struct(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in values]).alias("_values"))
+    rank = F.struct(F.col(key), *[F.col(c) for c in order])
+    ends = rows.groupBy("_part").agg(F.min_by(packed, rank).alias("_first"), F.max_by(packed, rank).alias("_last"))
+    along = Window.partitionBy(F.lit(1)).orderBy("_part")  # one row for each partition
+    ends = ends.select("_part", F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after"))
+    inside = Window.partitionBy("_part").orderBy(key, *order)
+
+    def near(step: Column, far: str) -> Column:
+        found = F.coalesce(step, F.col(far))
+        return F.when(found["_key"].eqNullSafe(F.col(key)), found["_values"])
+
+    out = rows.join(ends, "_part").withColumns({before: near(F.lag(packed).over(inside), "_before"),
+                                                after: near(F.lead(packed).over(inside), "_after")})
+    return out.drop("_part", "_before", "_after")
 
 
 def history_from_changes(
-    changes: DataFrame, key: str, attrs: Sequence[str], at: str, tie: str, grain: str = "day"
+    changes: DataFrame, key: str, attrs: Sequence[str], at: str, tie: str,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
     """Versions from an ordered change log: repeats of the same values drop out, each version ends where the
-    next starts. Equals applying the changes one by one with `scd2_apply`.
+    next starts. Equals applying the changes one by one with `scd2_apply`. NULL keys are one key.
     """
-    bucket = F.date_trunc(grain, F.col(at))
-    before = with_neighbour(changes, key, [at, tie], [*attrs, at], bucket, "_prev")
+    seen = with_neighbours(changes, key, [at, tie], [*attrs, at], "_prev", "_next", keep)
     moved = F.col("_prev").isNull() | any_of([differs(F.col(a), F.col(f"_prev.{a}")) for a in attrs])
-    starts = before.filter(moved).select(key, *attrs, at, tie)
-    after = with_neighbour(starts, key, [at, tie], [at], bucket, "_next", forward=True)
+    starts = seen.filter(moved).select(key, *attrs, at, tie)
+    after = with_neighbours(starts, key, [at, tie], [at], "_prev", "_next", keep)
     end = F.col(f"_next.{at}")
     kind = changes.schema[at].dataType
     return after.select(

@@ -207,12 +207,12 @@ class Medallion:
             part = ids.filter(F.col("canonical_id").isNotNull()).select("canonical_id", "company_id")
             edges = part if edges is None else edges.unionByName(part)
         edges = edges.groupBy("canonical_id").agg(F.min("company_id").alias("company_id"))
-        return reconcile.expected_ledger(
+        return self.keep("expected_ledger", reconcile.expected_ledger(
             self.mapping,
             {s: self.landing[s, "funding_rounds"] for s in SOURCES},
             {s: self.landing[s, "investors"] for s in SOURCES},
             edges,
-        )
+        ))
 
     # --- stage C ---
 

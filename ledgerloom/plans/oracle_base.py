@@ -163,7 +163,8 @@ BASE: dict[str, str] = {
     "lp": "SELECT * FROM lp_letter UNION ALL SELECT * FROM lp_call UNION ALL SELECT * FROM lp_memo",
     # one file per document, some failed, some never indexed, some retried, some stale
     "files": """
-        SELECT CAST(doc_id AS VARCHAR) AS doc, CASE WHEN doc_id % 13 = 0 THEN 'failed' WHEN doc_id % 41 = 5 THEN 'in_progress' ELSE 'completed' END AS status
+        SELECT CAST(doc_id AS VARCHAR) AS doc, CASE WHEN doc_id % 13 = 0 THEN 'failed' WHEN doc_id % 41 = 5 THEN 'in_progress'
+                    WHEN doc_id % 43 = 7 THEN 'cancelled' ELSE 'completed' END AS status
         FROM documents WHERE doc_id % 17 <> 3
         UNION ALL SELECT CAST(doc_id AS VARCHAR), 'completed' FROM documents WHERE doc_id % 39 = 0 AND doc_id % 17 <> 3
         UNION ALL SELECT 'old-' || doc_id, 'completed' FROM documents WHERE doc_id % 97 = 0""",

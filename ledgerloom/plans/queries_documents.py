@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import mentions_number
-from ledgerloom.operators import documents, evaluate, retrieval
+from ledgerloom.operators import documents, evaluate, measures, retrieval
 from ledgerloom.plans.registry import AS_OF, Context, query
 
 
@@ -152,6 +154,17 @@ def vector(c: Context) -> DataFrame:
     return retrieval.nearest(e, asked_vectors, 10)
 
 
+@query("X3_all_vectors", """
+    SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+            SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) /
+                   (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
+            FROM embeddings e, embeddings q)) WHERE rank <= 3""", covers="X3 L4")
+def all_vectors(c: Context) -> DataFrame:
+    e = c.t("embeddings")
+    return retrieval.nearest(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 3)
+
+
 @query("X4_keyword_search", """
     SELECT lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS chars FROM documents
     WHERE contains(lower(text), 'the') AND regexp_matches(text, '[0-9]{3}') GROUP BY 1""", covers="X4")
@@ -224,6 +237,73 @@ def report(c: Context) -> DataFrame:
     return df.withColumns({x: F.round(x, 6) for x in ("grounded_rate", "citation_accuracy", "citation_coverage")})
 
 
+# --- the metric leg: measures as expected values, answers as rows ---
+
+#: Case, measure and slice; answers are whole numbers of basis points or units, off by more than the tolerance in some cases.
+METRIC_CASES = [
+    ("overall_moic", "moic", {}), ("overall_total_invested", "total_invested", {}), ("vintage_moic", "moic", {"vintage_year": 1998}),
+    ("vintage_irr", "irr", {"vintage_year": 1998}), ("sector_nav", "nav", {"sector_group": "Mobility"}),
+    ("sector_concentration", "concentration", {"sector_group": "Industrials"}),
+]
+#: By case the factor between the measure and what the answer says: within two percent, or not.
+SAID = {"vintage_moic": 1.019, "vintage_irr": 1.05, "sector_nav": 0.985, "sector_concentration": 100.0}
+
+
+def metric_expected(c: Context) -> DataFrame:
+    parts = []
+    for name, measure, where in METRIC_CASES:
+        if measure == "concentration":
+            df = measures.sector_concentration(c.star, where=where, as_of=AS_OF)
+        else:
+            df = measures.measure(c.star, where=where, as_of=AS_OF)
+        parts.append(df.select(F.lit(name).alias("case"), F.col(measure).alias("expected_value")))
+    return c.kept("metric_expected", lambda: reduce(DataFrame.unionByName, parts))
+
+
+def metric_answers(c: Context) -> DataFrame:
+    factor = F.lit(1.0)
+    for name, x in SAID.items():
+        factor = F.when(F.col("case") == name, x).otherwise(factor)
+    value = F.format_number(F.col("expected_value") * factor, 6)
+    return metric_expected(c).select(
+        "case", "expected_value", F.lit(None).cast("string").alias("expected_text"), F.lit(None).cast("string").alias("expected_id"),
+        F.array().cast("array<string>").alias("cited_ids"), F.concat(F.lit("It is "), value, F.lit(".")).alias("answer"), F.lit("metric").alias("leg"))
+
+
+_METRICS = """
+    SELECT 'overall_moic' AS name, sum(worth) / sum(paid) AS x FROM f UNION ALL SELECT 'overall_total_invested', sum(paid) FROM f
+    UNION ALL SELECT 'vintage_moic', sum(worth) / sum(paid) FROM f WHERE vintage_year = 1998
+    UNION ALL SELECT 'vintage_irr', pow(sum(worth) / sum(paid), 1 / (sum(cost_days) / 365.25 / sum(paid))) - 1 FROM f WHERE vintage_year = 1998
+    UNION ALL SELECT 'sector_nav', sum(worth) FROM f WHERE sector_group = 'Mobility'
+    UNION ALL SELECT 'sector_concentration', sum(paid) FILTER (WHERE sector_group = 'Industrials') / sum(paid) FROM f"""
+
+
+@query("X13_metric_leg", f"""
+    SELECT name AS "case", round(x, 6) AS expected_value, name <> 'vintage_irr' AS grounded FROM ({_METRICS})""", covers="X13")
+def metric_leg(c: Context) -> DataFrame:
+    scored = evaluate.score_answers(metric_answers(c), tolerance=0.02)
+    return scored.select("case", F.round("expected_value", 6).alias("expected_value"), "grounded")
+
+
+@query("X13_both_legs", """
+    SELECT 'metric' AS leg, CAST(6 AS BIGINT) AS cases, CAST(5 AS BIGINT) AS grounded, CAST(0 AS BIGINT) AS with_citation, CAST(0 AS BIGINT) AS cited_correctly
+    UNION ALL SELECT 'document', count(*), count(*) FILTER (WHERE h % 7 <> 0), count(*) FILTER (WHERE h % 5 <> 0), count(*) FILTER (WHERE h % 5 <> 0 AND h % 3 <> 0)
+    FROM (SELECT *, CAST('0x' || substr(lp_document_id, 5, 2) AS INTEGER) AS h FROM lp WHERE stated IS NOT NULL)""", covers="X13 A9")
+def both_legs(c: Context) -> DataFrame:
+    columns = ["leg", "grounded", "any_citation", "cited_correctly"]
+    metric = evaluate.score_answers(metric_answers(c), tolerance=0.02).select(*columns)
+    document = evaluate.score_answers(document_answers(c)).withColumn("leg", F.lit("document")).select(*columns)
+    return evaluate.score_report(metric.unionByName(document), "leg").select("leg", "cases", "grounded", "with_citation", "cited_correctly")
+
+
+@query("X11_questions", """
+    SELECT document_type, count(*) AS n, count(*) AS with_investor FROM lp WHERE stated IS NOT NULL GROUP BY 1""", covers="X11")
+def asked_questions(c: Context) -> DataFrame:
+    df = evaluate.questions(evaluate.extract_facts(corpus(c)))
+    return df.groupBy("document_type").agg(
+        F.count("question").alias("n"), F.count_if(F.contains("question", "investor")).alias("with_investor"))
+
+
 # --- corpus audits over an index state derived from the document table ---
 
 
@@ -231,7 +311,7 @@ def index_state(c: Context) -> DataFrame:
     k = F.col("doc_id")
     docs = c.t("documents").select("doc_id")
     name = k.cast("string").alias("doc")
-    status = F.when(k % 13 == 0, "failed").when(k % 41 == 5, "in_progress").otherwise("completed").alias("status")
+    status = F.when(k % 13 == 0, "failed").when(k % 41 == 5, "in_progress").when(k % 43 == 7, "cancelled").otherwise("completed").alias("status")
     done = F.lit("completed").alias("status")
     indexed = docs.filter(k % 17 != 3)
     return (
@@ -247,13 +327,25 @@ def index_corpus(c: Context) -> DataFrame:
 
 @query("X14_corpus_audit", """
     SELECT (SELECT count(*) FROM documents) AS corpus_size, count(*) AS attached, count(*) FILTER (WHERE status = 'completed') AS completed,
-           count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'in_progress') AS in_progress,
            (SELECT count(*) FILTER (WHERE doc_id % 17 = 3) FROM documents) AS missing, count(*) FILTER (WHERE doc LIKE 'old-%') AS extra, false AS complete FROM files""",
     covers="X14 U5 A2")
 def audit(c: Context) -> DataFrame:
     return documents.corpus_audit(index_corpus(c), index_state(c), "doc")
 
 
+@query("X14_status_counts", "SELECT status, count(*) AS n_files FROM files GROUP BY 1", covers="X14 A2")
+def statuses(c: Context) -> DataFrame:
+    return documents.status_counts(index_state(c))
+
+
+@query("X14_complete_corpus", """
+    SELECT count(*) AS corpus_size, count(*) AS attached, count(*) AS completed, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, true AS complete
+    FROM documents""", covers="X14")
+def complete(c: Context) -> DataFrame:
+    body = index_corpus(c)
+    return documents.corpus_audit(body, body.withColumn("status", F.lit("completed")), "doc")
+
+
 @query("X14_corpus_differences", """
     SELECT CAST(doc_id AS VARCHAR) AS doc, 'missing' AS problem FROM documents WHERE doc_id % 17 = 3
     UNION ALL SELECT doc, 'extra' FROM files WHERE doc LIKE 'old-%'

@@ -156,6 +156,39 @@ def by_year(c: Context) -> DataFrame:
     return rounded(measures.cumulative_nav(c.star, as_of=AS_OF, grain="year"))
 
 
+@query("M7_cumulative_in_year", """
+    SELECT date, round(cum, 4) AS cumulative_nav FROM (
+        SELECT date, sum(nv) OVER (ORDER BY date) AS cum FROM (
+            SELECT date, sum(worth) AS nv FROM cal LEFT JOIN (SELECT * FROM f WHERE sector_group = 'Consumer') ON effective = date GROUP BY date))
+    WHERE year(date) = 1998""", covers="M7 M9 W3")
+def cumulative_in_year(c: Context) -> DataFrame:
+    return rounded(measures.cumulative_nav(c.star, {"year": 1998, "sector_group": "Consumer"}, AS_OF))
+
+
+@query("M13_at_a_day_in_context", """
+    SELECT DATE '1998-06-30' AS date, round(sum(worth), 4) AS cumulative_nav, true AS in_calendar FROM f
+    WHERE effective <= DATE '1998-06-30' AND sector_group = 'Consumer'
+    UNION ALL SELECT DATE '1999-06-30', NULL, true""", covers="M13 M9")
+def cumulative_at_in_context(c: Context) -> DataFrame:
+    where = {"year": 1998, "sector_group": "Consumer"}
+    days = [measures.cumulative_nav_at(c.star, d, where, AS_OF) for d in ("1998-06-30", "1999-06-30")]
+    return rounded(days[0].unionByName(days[1]))
+
+
+@query("M18_cumulative_year_range", """
+    SELECT year, round(cum, 4) AS cumulative_nav FROM (
+        SELECT year, sum(nv) OVER (ORDER BY year) AS cum FROM (
+            SELECT CAST(year(date) AS INTEGER) AS year, sum(worth) AS nv FROM cal LEFT JOIN f ON effective = date GROUP BY 1))
+    WHERE year IN (1997, 1998)""", covers="M18 M9")
+def by_year_range(c: Context) -> DataFrame:
+    return rounded(measures.cumulative_nav(c.star, {"year": [1997, 1998]}, AS_OF, "year"))
+
+
+@query("M9_blank_member", grouped("sector_group", "sector_group IS NULL OR sector_group = 'Mobility'"), covers="M9 M14")
+def blank_member(c: Context) -> DataFrame:
+    return rounded(measures.measure(c.star, ["sector_group"], {"sector_group": [None, "Mobility"]}, AS_OF))
+
+
 @query("J10_star_join", grouped("country, investor_type"), covers="J10")
 def star_join(c: Context) -> DataFrame:
     return rounded(measures.measure(c.star, ["country", "investor_type"], as_of=AS_OF))

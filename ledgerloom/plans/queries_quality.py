@@ -173,7 +173,7 @@ def _versions(c: Context) -> DataFrame:
 
     daily = c.fixtures.changes().groupBy("key", F.col("ts").cast("date").alias("d")).agg(
         F.max_by("attr", F.struct("ts", "event_id")).alias("attr"))
-    h = temporal.with_neighbour(daily, "key", ["d"], ["d"], F.date_trunc("month", "d"), "n", forward=True)
+    h = temporal.with_neighbours(daily, "key", ["d"], ["d"], "p", "n")
     return h.select(
         "key", "attr", F.col("d").alias("valid_from"),
         F.coalesce(F.col("n.d"), F.lit("9999-12-31").cast("date")).alias("valid_to")).withColumn(
@@ -192,5 +192,5 @@ def pit(c: Context) -> DataFrame:
 
 @query("J7_point_in_time_sliced", _PIT, covers="J7")
 def pit_sliced(c: Context) -> DataFrame:
-    return star.pit_join(_probes(c), "day", _versions(c), "key", "version_sk", slices=(2000, 2030)).select(
+    return star.pit_join(_probes(c), "day", _versions(c), "key", "version_sk", slices=("2024-01-01", "2024-02-15", 1)).select(
         "event_id", "version_sk")

@@ -134,6 +134,47 @@ def score(c: Context) -> DataFrame:
     return reconcile.score_log(c.m.log, c.m.ledger)
 
 
+@query("R12_ledger_detail", """
+    SELECT entity_type, entity_id, kind, detail FROM (
+        SELECT 'company' AS entity_type, company_id AS entity_id, 'existence' AS kind, CASE WHEN in_a THEN 'in feed_a only' ELSE 'in feed_b only' END AS detail
+        FROM co WHERE in_a <> in_b
+        UNION ALL SELECT 'funding_round', round_id, 'existence', CASE WHEN in_a THEN 'in feed_a only' ELSE 'in feed_b only' END FROM c_ro WHERE is_existence
+        UNION ALL SELECT 'funding_round', round_id, 'temporal', 'announced ' || ann_a || ' vs ' || ann_b FROM c_ro WHERE is_temporal
+        UNION ALL SELECT 'funding_round', round_id, 'value', 'amount_raised' FROM c_ro WHERE is_value
+        UNION ALL SELECT 'investor', investor_id, 'value', 'fund_size' FROM iv WHERE size_a > 0 AND size_b > 0 AND abs(size_a - size_b) / greatest(size_a, size_b) > 0.05
+        UNION ALL SELECT 'investment', investment_id, 'existence', CASE WHEN in_a THEN 'edge in feed_a only' ELSE 'edge in feed_b only' END || '; company covered by ' ||
+                  concat_ws(',', CASE WHEN ck % 8 <> 0 THEN 'feed_a' END, CASE WHEN ck % 6 <> 1 THEN 'feed_b' END) FROM ed WHERE in_a <> in_b)""", covers="R12 R9")
+def ledger_detail(c: Context) -> DataFrame:
+    """The detail of each kind; of amounts, whose text depends on how doubles are written, only the attribute, and the two
+    numbers are checked to be there."""
+    kind = F.split("conflict_type", "_")[0]
+    numbers = F.size(F.regexp_extract_all("detail", F.lit(r"[0-9][0-9.E]*"), F.lit(0))) == 2
+    detail = F.when(kind == "value", F.when(numbers, F.split("detail", " ")[0])).otherwise(F.col("detail"))
+    return c.m.ledger.select("entity_type", F.col("canonical_id").alias("entity_id"), kind.alias("kind"), detail.alias("detail"))
+
+
+@query("R13_imperfect_log", """
+    SELECT count(*) AS expected, CAST(count(*) FILTER (WHERE NOT gone) + (SELECT count(*) FROM co WHERE in_a = in_b) AS BIGINT) AS detected,
+           count(*) FILTER (WHERE NOT gone) AS matched,
+           count(*) FILTER (WHERE NOT gone AND subtype = 'genuine_dispute' AND turned) AS genuine_mishandled,
+           count(*) FILTER (WHERE NOT gone AND entity_type = 'investment' AND subtype = 'coverage_gap' AND turned) AS coverage_mishandled,
+           round(count(*) FILTER (WHERE NOT gone) / count(*), 6) AS recall,
+           round(count(*) FILTER (WHERE NOT gone) / (count(*) FILTER (WHERE NOT gone) + (SELECT count(*) FROM co WHERE in_a = in_b)), 6) AS precision, 'REVIEW' AS verdict
+    FROM (SELECT *, ascii(right(entity_id, 1)) % 5 = 0 AS gone, ascii(right(entity_id, 1)) % 3 = 0 AS turned FROM log)""", covers="R13 U4 A9")
+def imperfect(c: Context) -> DataFrame:
+    """A log that lost rows, has a conflict too many for each company in both feeds, and handles some edges the wrong way."""
+    last = F.ascii(F.right("entity_id", F.lit(1)))
+    edge = F.col("entity_type") == "investment"
+    other = F.when(F.col("resolution_action") == "auto_resolved", "flagged_for_review").otherwise("auto_resolved")
+    log = c.m.log.select("entity_type", "entity_id", "conflict_type", "resolution_action").filter(last % 5 != 0)
+    log = log.withColumn("resolution_action", F.when(edge & (last % 3 == 0), other).otherwise(F.col("resolution_action")))
+    both = c.m.reconciled["companies"].filter(~F.col("is_existence")).select(
+        F.lit("company").alias("entity_type"), F.col("canonical_id").alias("entity_id"),
+        F.lit("existence_disagreement").alias("conflict_type"), F.lit("auto_resolved").alias("resolution_action"))
+    df = reconcile.score_log(log.unionByName(both), c.m.ledger)
+    return df.withColumns({x: F.round(x, 6) for x in ("recall", "precision")})
+
+
 @query("R14_log_summary", """
     SELECT entity_type, conflict_type, resolution_action, count(*) AS n FROM log GROUP BY ALL""", covers="R14 A2 L1")
 def summary(c: Context) -> DataFrame:
@@ -270,8 +311,7 @@ def rejected(c: Context) -> DataFrame:
 def history_of_key(c: Context) -> DataFrame:
     h = history(c)
     longest = h.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "key").limit(1)
-    key = longest.first()["key"]
-    return temporal.versions(h, "key", key).select("key", "attr", "valid_from", "valid_to")
+    return temporal.versions(h, "key", longest.select("key")).select("key", "attr", "valid_from", "valid_to")
 
 
 @query("T6_as_of_snapshot", """
@@ -314,7 +354,7 @@ def passed_through(c: Context) -> DataFrame:
 
 
 def history(c: Context) -> DataFrame:
-    return temporal.history_from_changes(c.fixtures.changes(), "key", ["attr"], "ts", "event_id", grain="day")
+    return c.kept("change_history", lambda: temporal.history_from_changes(c.fixtures.changes(), "key", ["attr"], "ts", "event_id"))
 
 
 @query("T9_history_from_changes", """
@@ -328,7 +368,17 @@ def change_history(c: Context) -> DataFrame:
     SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def neighbours(c: Context) -> DataFrame:
-    hour = F.date_trunc("hour", "ts")
-    df = temporal.with_neighbour(c.fixtures.changes(), "key", ["ts", "event_id"], ["attr"], hour, "p")
-    df = temporal.with_neighbour(df, "key", ["ts", "event_id"], ["attr"], hour, "n", forward=True)
+    df = temporal.with_neighbours(c.fixtures.changes(), "key", ["ts", "event_id"], ["attr"], "p", "n")
+    return df.select("event_id", F.col("p.attr").alias("before"), F.col("n.attr").alias("after"))
+
+
+@query("W5_null_keys", """
+    SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after FROM (
+        SELECT *, CASE WHEN user_id % 3 <> 0 THEN user_id END AS k, CASE WHEN event_id % 7 <> 0 THEN ts END AS t FROM events)
+    WINDOW w AS (PARTITION BY k ORDER BY t NULLS FIRST, event_id)""", covers="W5")
+def neighbours_of_null_keys(c: Context) -> DataFrame:
+    number = F.regexp_extract("key", r"(\d+)$", 1).cast("bigint")
+    df = c.fixtures.changes().withColumn("key", F.when(number % 3 != 0, F.col("key"))).withColumn(
+        "ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+    df = temporal.with_neighbours(df, "key", ["ts", "event_id"], ["attr"], "p", "n")
     return df.select("event_id", F.col("p.attr").alias("before"), F.col("n.attr").alias("after"))

@@ -75,17 +75,18 @@ def coinvestors(c: Context) -> DataFrame:
     return relations.coinvestors(c.m.conformed["investments"], largest_funds(c))
 
 
-BOARD = """(SELECT person_id AS seed FROM (SELECT person_id, count(*) AS n FROM aff WHERE is_past GROUP BY 1) ORDER BY n DESC, person_id LIMIT 10)"""
+BOARD = f"(SELECT person_id FROM aff WHERE role = 'board' AND company_id IN {TARGETS})"
 
 
 @query("H3_former_colleagues", f"""
     SELECT DISTINCT a.person_id AS seed, b.person_id AS node FROM aff a JOIN aff b ON a.company_id = b.company_id AND a.person_id <> b.person_id
     WHERE a.is_past AND a.person_id IN {BOARD}""", covers="H3 J14")
 def colleagues(c: Context) -> DataFrame:
+    """Of the people on the boards of the largest targets."""
     people = c.m.conformed["people"]
-    past = relations.affiliations(people).filter("is_past").groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
-    start = relations.seeds(past.orderBy(F.col("n").desc(), "person_id").limit(10), "person_id")
-    return relations.former_colleagues(people, start)
+    targets = largest_targets(c).select(F.col("node").alias("company_id"))
+    board = relations.affiliations(people).filter("role = 'board'").join(targets, "company_id", "left_semi")
+    return relations.former_colleagues(people, relations.seeds(board, "person_id"))
 
 
 @query("H4_investor_tags", """

@@ -39,23 +39,31 @@ def reference_scan(c: Context) -> DataFrame:
         F.count("n_nationkey").alias("n_nations"))
 
 
+def saved(c: Context, df: DataFrame, name: str) -> str:
+    """A catalog table in the shared folder, named after the context's folder; its name."""
+    table = f"{name}_{c.dir.rsplit('-', 1)[1]}"
+    landing.save_table(df, table, path=f"{c.dir}/catalog/{table}")
+    return table
+
+
 @query("S3_named_table", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 def named_table(c: Context) -> DataFrame:
-    c.t("customer").createOrReplaceTempView("landing_customer")
-    return landing.read_named(c.spark, "landing_customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    name = saved(c, c.t("customer"), "customer")
+    return landing.read_named(c.spark, name).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S4_qualified_table", "SELECT p_type, count(*) AS n FROM part GROUP BY 1")
 def qualified_table(c: Context) -> DataFrame:
-    c.t("part").createOrReplaceGlobalTempView("landing_part")
-    return landing.read_named(c.spark, "global_temp", "landing_part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+    name = saved(c, c.t("part"), "part")
+    return landing.read_named(c.spark, c.spark.catalog.currentCatalog(), c.spark.catalog.currentDatabase(), name).groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S5_table_overwrite", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def table_overwrite(c: Context) -> DataFrame:
+    """The second write has more columns, one of another type, and takes the place of the first with its schema."""
     df = c.t("customer")
-    c.keep("s5_customer", df.select("c_custkey"))
-    return c.keep("s5_customer", df.select("c_custkey", "c_name", "c_acctbal"))
+    saved(c, df.select(F.col("c_custkey").cast("string").alias("c_custkey")), "overwritten")
+    return landing.read_named(c.spark, saved(c, df.select("c_custkey", "c_name", "c_acctbal"), "overwritten"))
 
 
 @query("S6_conditional_sink", """

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import validate
 from ledgerloom.operators.identity import attach_canonical, coverage
 from ledgerloom.plans.registry import Context, query
-from ledgerloom.sources.contracts import CONTRACTS, FEEDS, SOURCES
+from ledgerloom.sources.contracts import CONTRACTS, ENTITY_KEYS, FEEDS, SHARED_ENTITIES, SOURCES
 
 
 @query("Q1_structural_gate", """
@@ -27,6 +29,56 @@ def missing_column(c: Context) -> DataFrame:
         "vendor_round_id", F.col("_quarantine_reason").alias("reason"))
 
 
+_FEED_ROWS = """
+    SELECT 'feed_a' AS source, 'companies' AS entity, count(*) FILTER (WHERE in_a) AS n FROM co
+    UNION ALL SELECT 'feed_b', 'companies', count(*) FILTER (WHERE in_b) FROM co
+    UNION ALL SELECT 'feed_a', 'funding_rounds', count(*) FILTER (WHERE in_a) FROM ro
+    UNION ALL SELECT 'feed_b', 'funding_rounds', count(*) FILTER (WHERE in_b) FROM ro
+    UNION ALL SELECT unnest(['feed_a', 'feed_b']), 'investors', count(*) FROM iv
+    UNION ALL SELECT 'feed_a', 'investments', count(*) FILTER (WHERE in_a) FROM efeed
+    UNION ALL SELECT 'feed_b', 'investments', count(*) FILTER (WHERE in_b) FROM efeed
+    UNION ALL SELECT 'internal', 'people', count(DISTINCT person_id) FROM aff
+    UNION ALL SELECT 'internal', 'deals', count(DISTINCT deal_id) FROM stages
+    UNION ALL SELECT 'internal', 'documents', count(*) FROM documents"""
+
+
+@query("Q2_all_contracts", f"""
+    SELECT source, entity, n AS n_rows, CAST(0 AS BIGINT) AS flagged, CASE WHEN entity IN ('companies', 'people') THEN 0 ELSE n END AS spoiled_flagged
+    FROM ({_FEED_ROWS})""", covers="Q2")
+def all_domains(c: Context) -> DataFrame:
+    """Every feed against its contract as delivered, and with an unknown word in its first enumerated column."""
+    parts = []
+    for source, entity in FEEDS:
+        contract, df = CONTRACTS[entity], c.m.landing[source, entity]
+        enum = next(iter(contract.enums), None)
+        flagged = F.count_if(F.col("_quarantine_reason").isNotNull())
+        plain = validate.check_domains(df, contract).tagged.agg(F.count(F.lit(1)).alias("n_rows"), flagged.alias("flagged"))
+        spoiled = validate.check_domains(df.withColumn(enum, F.lit("no such word")) if enum else df, contract).tagged.agg(flagged.alias("f"))
+        parts.append(plain.select(F.lit(source).alias("source"), F.lit(entity).alias("entity"), "n_rows", "flagged",
+                                  spoiled.scalar().alias("spoiled_flagged")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("Q3_map_completeness", """
+    SELECT 'companies' AS entity, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS unmapped
+    UNION ALL SELECT 'funding_rounds', 0, 0 UNION ALL SELECT 'investors', 0, 0
+    UNION ALL SELECT 'investments', 0, (count(*) FILTER (WHERE in_a AND copies > 1)) + (count(*) FILTER (WHERE in_b AND copies > 1)) FROM efeed""", covers="Q3 R1 U7")
+def map_completeness(c: Context) -> DataFrame:
+    """Map rows whose canonical id no feed row has, and feed rows whose vendor id the map lacks."""
+    parts = []
+    for entity in SHARED_ENTITIES:
+        kind, key = ENTITY_KEYS[entity]
+        vendor = CONTRACTS[entity].pk
+        own = c.m.mapping.filter(F.col("entity_type") == kind)
+        ids = reduce(DataFrame.unionByName, [
+            c.m.landing[s, entity].select(F.lit(s).alias("source_system"), F.col(vendor).alias("vendor_id")) for s in SOURCES])
+        on = ["source_system", "vendor_id"]
+        outside = own.join(ids, on, "left_anti").agg(F.count(F.lit(1)).alias("outside"))
+        parts.append(outside.select(F.lit(entity).alias("entity"), "outside",
+                                    ids.join(own, on, "left_anti").agg(F.count(F.lit(1)).alias("n")).scalar().alias("unmapped")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("Q2_domain_checks", """
     SELECT 'A-R-' || ok AS vendor_round_id, nullif(concat(
         CASE WHEN ok % 31 = 0 THEN 'domain:round_type;' END, CASE WHEN ok % 17 = 0 THEN 'domain:currency;' END,
@@ -100,12 +152,11 @@ def corruption(c: Context) -> DataFrame:
         "vendor_company_id", F.col("_quarantine_reason").alias("reason"))
 
 
-@query("Q7_lineage_check", """
-    SELECT 'feed_a' AS source, count(*) FILTER (WHERE in_a) AS n_rows, CAST(0 AS BIGINT) AS wrong_source, CAST(0 AS BIGINT) AS missing_columns FROM ro
-    UNION ALL SELECT 'feed_b', count(*) FILTER (WHERE in_b), 0, 0 FROM ro""")
+@query("Q7_lineage_check", f"""
+    SELECT source, entity, n AS n_rows, CAST(0 AS BIGINT) AS wrong_source, CAST(0 AS BIGINT) AS missing_columns FROM ({_FEED_ROWS})""")
 def lineage(c: Context) -> DataFrame:
-    parts = [validate.check_lineage(c.m.landing[s, "funding_rounds"], s) for s in SOURCES]
-    return parts[0].unionByName(parts[1])
+    parts = [validate.check_lineage(c.m.landing[s, e], s).withColumn("entity", F.lit(e)) for s, e in FEEDS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("R1_attach_canonical", """

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.operators.measures import Star
 from ledgerloom.plans.medallion import Medallion, write_stages
 from ledgerloom.plans.oracle_base import with_base
-from ledgerloom.session import shared_dir, tune
+from ledgerloom.session import shared_dir
 from ledgerloom.sources.fixtures import AS_OF, SEGMENT_GROUPS, Fixtures
 
 RESOLVED_AT = "2002-01-01 00:00:00"
@@ -28,7 +28,7 @@ class Context:
     """One data folder in one session. Stages are written to the shared folder once and read by every query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = tune(spark)
+        self.spark = spark
         self.sf_dir = sf_dir
         self.fixtures = Fixtures(spark, sf_dir)
 

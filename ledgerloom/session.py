@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -18,8 +17,10 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "ledgerloom") -> SparkSession:
-    """A local session for tests and the bench; on a cluster use the session it gives you."""
+def local_session(
+    cpus: int | str = "*", partitions: int = 8, app: str = "ledgerloom", folder: str | None = None
+) -> SparkSession:
+    """A local session for tests and the bench; on a cluster use the session it gives you. `folder` holds all it writes."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -30,21 +31,23 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "ledger
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if folder:
+        builder = builder.config("spark.sql.warehouse.dir", f"{folder}/warehouse").config("spark.checkpoint.dir", f"{folder}/scratch")
     return builder.getOrCreate()
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply `SETTINGS` to a session made elsewhere."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
+def untuned(spark: SparkSession) -> dict[str, str | None]:
+    """The settings in which a session made elsewhere differs from `SETTINGS`. They are its owner's to change; results need
+    UTC only where text becomes a timestamp, and skew splitting only for speed."""
+    return {k: spark.conf.get(k, None) for k, value in SETTINGS.items() if spark.conf.get(k, None) != value}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the shared folder the session names in spark.checkpoint.dir."""
+    """A fresh folder under the shared folder the session names in spark.checkpoint.dir.
+
+    A session that names none gets one beside its warehouse, which all executors share too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import vocab as v
-from ledgerloom.sources.landing import spread, stamp_lineage
+from ledgerloom.sources.landing import stamp_lineage
 
 AS_OF = "2002-01-01"
 INGESTED = "2002-01-01T00:00:00+00:00"
@@ -61,7 +61,7 @@ class Fixtures:
 
     def texts(self) -> DataFrame:
         """The documents, read by all cores: tokenising is the costly part."""
-        return spread(self.t("documents").select("doc_id", "text"), "doc_id")
+        return self.t("documents").select("doc_id", "text")
 
     # --- canonical bases: one row per real-world entity, with coverage by feed -------------------
 
@@ -86,7 +86,7 @@ class Fixtures:
         k, c = F.col("o_orderkey"), F.col("o_custkey")
         day = F.col("o_orderdate").cast("date")
         amount = cents("o_totalprice")
-        return spread(self.t("orders"), "o_orderkey").select(
+        return self.t("orders").select(
             k.alias("ok"),
             c.alias("ck"),
             day.alias("order_date"),
@@ -137,7 +137,7 @@ class Fixtures:
         both = (F.col("ck") % 8 != 0) & (F.col("ck") % 6 != 1)
         drop_a = both & ((ok * 3 + ln) % 10 == 3)
         drop_b = both & ((ok + 5 * ln) % 12 == 5)
-        lines = spread(self.t("lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+        lines = self.t("lineitem")
         return lines.join(orders, "l_orderkey").select(
             ok.alias("ok"), ln.alias("ln"), pk.alias("pk"), sk.alias("sk"), "ck", "order_date",
             tag("V", ok.cast("string"), ln.cast("string")).alias("investment_id"),

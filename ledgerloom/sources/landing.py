@@ -33,23 +33,18 @@ def read_feed(spark: SparkSession, base: str, name: str, schema: StructType | st
     raise FileNotFoundError(f"no parquet or csv feed at {root}")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table that would be read by few tasks one partition per core; larger ones stay as they are.
-
-    A file of one row group is one task however many cores there are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_named(spark: SparkSession, *parts: str) -> DataFrame:
     """A table by name; several parts are joined to a qualified name."""
     return spark.read.table(".".join(parts))
 
 
-def save_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
-    """Overwrite a table together with its schema. `fmt="delta"` works where that jar is installed."""
+def save_table(
+    df: DataFrame, name: str, partition_by: Sequence[str] = (), fmt: str = "parquet", path: str | None = None
+) -> None:
+    """Overwrite a table together with its schema, at `path` or in the warehouse. `fmt="delta"` works where that jar
+    is installed."""
     writer = df.write.mode("overwrite").option("overwriteSchema", "true").format(fmt)
+    writer = writer.option("path", path) if path else writer
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
 
 

@@ -11,8 +11,8 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, partitions=4)
+def spark(tmp_path_factory):
+    session = local_session(8, partitions=4, folder=str(tmp_path_factory.mktemp("spark")))
     session.sparkContext.setLogLevel("ERROR")
     return session
 

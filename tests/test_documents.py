@@ -63,7 +63,9 @@ def test_audit(frame):
     body = frame([("a",), ("b",), ("c",)], "doc string")
     state = frame([("a", "completed"), ("b", "failed"), ("b", "completed"), ("x", "completed")], "doc string, status string")
     row = documents.corpus_audit(body, state, "doc").first()
-    assert (row["corpus_size"], row["attached"], row["missing"], row["extra"], row["failed"], row["complete"]) == (3, 4, 1, 1, 1, False)
+    assert (row["corpus_size"], row["attached"], row["missing"], row["extra"], row["completed"], row["complete"]) == (3, 4, 1, 1, 3, False)
+    more = state.unionByName(frame([("y", "cancelled"), ("z", None)], "doc string, status string"))
+    assert rows_of(documents.status_counts(more)) == sorted([("completed", 3), ("failed", 1), ("cancelled", 1), (None, 1)], key=repr)
     whole = frame([("a", "completed"), ("b", "completed"), ("c", "completed")], "doc string, status string")
     assert documents.corpus_audit(body, whole, "doc").first()["complete"] is True
     assert rows_of(documents.orphaned_failures(state, "doc")) == [("b", "failed")]
@@ -115,6 +117,19 @@ def test_nearest_against_brute_force(frame):
     assert rows_of(got, "query_id", "vec_id", "rank") == sorted(want, key=repr)
 
 
+def test_nearest_for_more_queries_than_a_block(frame):
+    """Every vector asks, in several blocks and chunks; NULL, zero and shorter vectors are not compared."""
+    vecs = [(i, [math.sin((i + 1) * (j + 1)) for j in range(4)]) for i in range(1001)] + [(2000, None), (2001, [0.0] * 4), (2002, [1.0, 2.0])]
+    df = frame(vecs, "vec_id bigint, embedding array<double>")
+    asked = df.selectExpr("vec_id as query_id", "embedding as query")
+    got = retrieval.nearest(df, asked, 2, chunk=300, block=400).collect()
+    assert len(got) == 1001 * 2 + 1 and {r["vec_id"] for r in got if r["query_id"] == 2002} == {2002}
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v in vecs[:1001]}
+    for q in range(0, 1001, 100):
+        best = sorted((-round(sum(a * b for a, b in zip(unit[q], u)), 6), i) for i, u in unit.items())[:2]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in best]
+
+
 def test_nearest_without_queries(frame):
     vecs = frame([(1, [1.0])], "vec_id int, embedding array<float>")
     assert retrieval.nearest(vecs, frame([], "query_id int, query array<float>"), 5).count() == 0

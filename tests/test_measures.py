@@ -97,6 +97,25 @@ def test_cumulative_at_a_day(star):
     assert (row["cumulative_nav"], row["in_calendar"]) == (None, False)
 
 
+def test_conditions_on_dates_do_not_cut_earlier_facts(star):
+    in_2021 = {r["year"]: r["cumulative_nav"] for r in measures.cumulative_nav(star, {"year": [2021, 2022]}, AS_OF, "year").collect()}
+    assert in_2021 == {2021: 240.0, 2022: 240.0}
+    days = measures.cumulative_nav(star, {"year": 2021, "sector_group": "Tech"}, AS_OF).collect()
+    assert len(days) == 365 and {r["cumulative_nav"] for r in days} == {200.0}
+    row = one(measures.cumulative_nav_at(star, "2021-06-01", {"year": 2021}, AS_OF))
+    assert (row["cumulative_nav"], row["in_calendar"]) == (240.0, True)
+    row = one(measures.cumulative_nav_at(star, "2021-06-01", {"year": 2020}, AS_OF))
+    assert (row["cumulative_nav"], row["in_calendar"]) == (None, True)
+
+
+def test_blank_member(star):
+    """Facts whose company has no sector, and facts without a company, are the blank member."""
+    assert one(measures.measure(star, where={"sector_group": None}, as_of=AS_OF))["total_invested"] == 50.0
+    assert one(measures.measure(star, where={"sector_group": [None, "Tech"]}, as_of=AS_OF))["total_invested"] == 200.0
+    shares = measures.sector_concentration(star, where={"sector_group": None}, as_of=AS_OF).collect()
+    assert [(r["sector_group"], r["total_invested"]) for r in shares] == [(None, 50.0)]
+
+
 def test_exit_date_role(star):
     rows = {r["year"]: r["matched_rows"] for r in measures.measure(star, ["year"], as_of=AS_OF, date_role="exit").collect()}
     assert rows == {2021: 4, None: 2}

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from ledgerloom.plans import load
 from tools.compare import compare, database
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(load())
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +21,8 @@ def test_matches_sql(spark, con, sf_dir, name):
     assert "types" not in note, note
 
 
-def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+def test_every_query_of_the_library_has_sql():
+    assert {n for n, q in load().items() if not q.sql} == set()
 
 
 def test_entry(spark):

@@ -133,3 +133,21 @@ def test_counts_of_the_fixture(ctx):
                    (False, False, True): 372, (False, True, True): 98}
     edges_row = ctx.m.reconciled["investments"].agg(F.count_if("is_genuine"), F.count_if("is_coverage"), F.count("*")).first()
     assert tuple(edges_row) == (364, 1016, 3402)
+
+
+def test_ledger_and_log_agree_at_the_threshold(frame):
+    """Exactly five percent apart is no conflict, amounts below zero are compared by neither side."""
+    pairs = {"R1": (100.0, 95.0), "R2": (100.0, 94.9), "R3": (-100.0, -200.0), "R4": (0.0, 10.0), "R5": (None, 5.0), "R6": (1.05, 1.0), "R7": (300.0, 285.0)}
+    mapping = frame([("funding_round", k, s, f"{s}-{k}") for k in pairs for s in ("feed_a", "feed_b")],
+                    "entity_type string, canonical_id string, source_system string, vendor_id string")
+    feeds = {s: frame([(f"{s}-{k}", "2000-01-01", p[i]) for k, p in pairs.items()], "vendor_round_id string, announced_date string, amount_raised double")
+             for i, s in enumerate(("feed_a", "feed_b"))}
+    none = frame([], "vendor_investor_id string, fund_size double")
+    ledger = reconcile.expected_ledger(mapping, feeds, {s: none for s in feeds}, frame([], "canonical_id string, company_id string"))
+    aligned = frame([(k, (date(2000, 1, 1), a), (date(2000, 1, 1), b)) for k, (a, b) in pairs.items()],
+                    "canonical_id string, feed_a struct<announced_date:date,amount_raised:double>, feed_b struct<announced_date:date,amount_raised:double>")
+    log = reconcile.conflict_log({"funding_round": reconcile.reconcile_rounds(aligned)}, "2002-01-01 00:00:00")
+    want = sorted((k,) for k, (a, b) in pairs.items() if a and b and max(a, b) > 0 and abs(a - b) / max(a, b) > 0.05)
+    want += [("R4",)]  # the larger is positive
+    assert rows_of(ledger, "canonical_id") == sorted(want) == rows_of(log, "entity_id")
+    assert reconcile.score_log(log, ledger).first()["verdict"] == "PASS"

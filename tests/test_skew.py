@@ -5,6 +5,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.landing import materialize
 from ledgerloom.operators import quality, reconcile, relations, star, temporal
 from ledgerloom.operators.identity import remap
 from ledgerloom.operators.validate import with_key_count
@@ -72,7 +73,7 @@ def test_point_in_time_join_splits_a_hot_key(spark, big):
         assert "skew=true" in final_plan(out)
         assert out.count() == N
         assert out.filter(F.col("sk") != F.concat("k", F.lit("-"), F.year("at") - 2020)).count() == 0
-        sliced = star.pit_join(big, "at", dim, "k", "sk", slices=(2020, 2022))
+        sliced = star.pit_join(big, "at", dim, "k", "sk", slices=("2020-01-01", "2022-12-31", 30))
         assert sliced.exceptAll(out.select(sliced.columns)).count() == 0 and sliced.count() == N
 
 
@@ -112,7 +113,7 @@ def test_edges_in_both_feeds_do_not_pile_up_under_a_company(spark, big):
 
 def test_history_of_a_hot_key(spark, big):
     changes = big.select("k", (F.col("id") % 7).alias("attr"), F.timestamp_seconds(F.col("id") * 61).cast("timestamp_ntz").alias("ts"), "id")
-    out = temporal.history_from_changes(changes, "k", ["attr"], "ts", "id", grain="day")
+    out = temporal.history_from_changes(changes, "k", ["attr"], "ts", "id")
     hot = out.filter("k = 'hot'")
     # Every third id: the attribute moves on each row, so each row is a version that ends where the next starts.
     assert hot.count() == N // 3
@@ -120,6 +121,20 @@ def test_history_of_a_hot_key(spark, big):
     assert hot.filter("not is_current and unix_seconds(cast(valid_to as timestamp)) - unix_seconds(cast(valid_from as timestamp)) <> 183").count() == 0
 
 
+def test_one_key_on_one_day_is_cut(spark, big):
+    """A third of the rows have one key and one day; no task reads a tenth of all rows."""
+    parts = 32
+    changes = big.select("k", (F.col("id") % 7).alias("attr"), F.timestamp_seconds(F.col("id") % 80_000).cast("timestamp_ntz").alias("ts"), "id")
+    written = []
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        out = temporal.with_neighbours(changes, "k", ["ts", "id"], ["id"], "p", "n", keep=lambda df: written.append(materialize(df)) or written[-1])
+        assert out.count() == N and out.filter("p is null").count() == out.select("k").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert written[0].groupBy("_part").count().agg(F.max("count")).first()[0] < N / 10
+
+
 def test_key_checks_combine_before_the_shuffle(spark, big):
     df = big.selectExpr("k", "at valid_from", "date'9999-12-31' valid_to", "id < 3 is_current")
     plan = quality.entity_counts(df, "k")._jdf.queryExecution().executedPlan().toString()

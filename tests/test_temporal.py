@@ -91,10 +91,20 @@ def test_merged_batches_have_no_gaps_or_overlaps(frame, batches):
 
 def test_neighbours_of_a_hot_key(frame):
     rows = [("hot", datetime(2020, 1, 1) + timedelta(minutes=13 * i), i) for i in range(400)] + [("one", datetime(2020, 1, 1), 999)]
+    rows += [(None, None if i < 3 else datetime(2020, 1, 1 + i), 1000 + i) for i in range(20)]
     df = frame(rows, "key string, ts timestamp_ntz, n int")
-    out = temporal.with_neighbour(df, "key", ["ts", "n"], ["n"], F.date_trunc("hour", "ts"), "p")
-    assert {(r["n"], r["p"]["n"] if r["p"] else None) for r in out.collect()} == (
-        {(i, i - 1 if i else None) for i in range(400)} | {(999, None)})
+    out = temporal.with_neighbours(df, "key", ["ts", "n"], ["n"], "p", "x")
+    n = lambda x: x["n"] if x else None
+    want = {(i, i - 1 if i else None, i + 1 if i < 399 else None) for i in range(400)} | {(999, None, None)}
+    want |= {(1000 + i, 999 + i if i else None, 1001 + i if i < 19 else None) for i in range(20)}
+    assert {(r["n"], n(r["p"]), n(r["x"])) for r in out.collect()} == want
+
+
+def test_versions_of_a_null_key(frame):
+    rows = [(None, "a", datetime(2020, 1, 1), 1), (None, "a", datetime(2020, 1, 2), 2), (None, "b", datetime(2020, 1, 3), 3)]
+    out = temporal.history_from_changes(frame(rows, "key string, attr string, ts timestamp_ntz, n int"), "key", ["attr"], "ts", "n")
+    assert rows_of(out, "attr", "is_current") == [("a", False), ("b", True)]
+    assert temporal.history_from_changes(frame([], "key string, attr string, ts timestamp_ntz, n int"), "key", ["attr"], "ts", "n").count() == 0
 
 
 def test_as_of_bounds(frame):
@@ -121,7 +131,7 @@ def test_dates_that_are_none_do_not_stop_the_job(frame):
 DIM = "k string, sk string, valid_from date, valid_to date"
 
 
-@pytest.mark.parametrize("slices", [None, (2019, 2021), (2030, 2031), (1990, 1991)])
+@pytest.mark.parametrize("slices", [None, ("2019-01-01", "2021-12-31", 30), ("2030-01-01", "2031-12-31", 7), ("1990-01-01", "1991-12-31", 400)])
 def test_point_in_time_join(frame, slices):
     dim = frame([("a", "a1", d(0), d(10)), ("a", "a2", d(10), d(800)), ("a", "a3", d(800), END), ("b", "b1", date(1900, 1, 1), END),
                  ("a", "none", d(3), d(3))], DIM)
