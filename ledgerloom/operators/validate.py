@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -61,12 +60,12 @@ def _tag(df: DataFrame, reasons: list[Column]) -> DataFrame:
 
 
 def validate_feed(
-    df: DataFrame, contract: FeedContract, lineage: bool = True, keep: Callable[[DataFrame], DataFrame] | None = None
+    df: DataFrame, contract: FeedContract, lineage: bool = True, repeated: DataFrame | None = None
 ) -> Gate:
     """Q1: required columns, non-null columns, key present and unique.
 
-    A missing required column fails the whole feed; otherwise each row gets its own reasons. `keep` may write
-    the repeated keys and read them back, see `with_key_count`.
+    A missing required column fails the whole feed; otherwise each row gets its own reasons. `repeated` are the
+    feed's repeated keys read from a written table, see `with_key_count`.
     """
     need = set(contract.required) | (set(v.LINEAGE_REQUIRED) if lineage else set())
     missing = sorted(need - set(df.columns))
@@ -76,8 +75,7 @@ def validate_feed(
     reasons = [F.when(blank(c), F.lit(f"null:{c};")) for c in contract.non_null]
     reasons.append(F.when(F.col(contract.pk).isNull(), F.lit(f"null_pk:{contract.pk};")))
     reasons.append(F.when(F.col("_copies") > 1, F.lit(f"dup_pk:{contract.pk};")))
-    repeated = repeated_keys(df, contract.pk)
-    counted = with_key_count(df, contract.pk, repeated=keep(repeated) if keep else repeated)
+    counted = with_key_count(df, contract.pk, repeated=repeated)
     return Gate(_tag(counted, reasons).drop("_copies"), [])
 
 

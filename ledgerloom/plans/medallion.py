@@ -9,7 +9,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import vocab as v
 from ledgerloom.operators import quality, reconcile, star, temporal
 from ledgerloom.operators.identity import attach_canonical, coverage, remap, split_unmapped
-from ledgerloom.operators.validate import Gate, summarize, validate_feed
+from ledgerloom.operators.validate import Gate, repeated_keys, summarize, validate_feed
 from ledgerloom.sources.contracts import CONTRACTS, ENTITY_KEYS, FEEDS, INTERNAL, INTERNAL_ENTITIES, SHARED_ENTITIES, SOURCES
 from ledgerloom.sources.landing import save_if_any
 
@@ -123,8 +123,8 @@ class Medallion:
 
     @cached_property
     def landing(self) -> Mapping[tuple[str, str], DataFrame]:
-        """The feeds as delivered; they are read where they lie, not copied."""
-        return Lazy(FEEDS, lambda f: self.provider.feed(*f))
+        """The feeds as delivered, written once: the key count, the gate and the ledger read them again."""
+        return Lazy(FEEDS, lambda f: self.keep(f"landing_{f[0]}_{f[1]}", self.provider.feed(*f)))
 
     @cached_property
     def mapping(self) -> DataFrame:
@@ -133,12 +133,25 @@ class Medallion:
 
     # --- stage A ---
 
+    @cached_property
+    def repeated(self) -> DataFrame:
+        """Keys that occur more than once, of all feeds in one table: (feed, key, copies). One job counts them all."""
+        self.landing.build()
+        parts = [
+            repeated_keys(self.landing[f], CONTRACTS[f[1]].pk).select(
+                F.lit(f"{f[0]}_{f[1]}").alias("feed"), F.col("_k").cast("string").alias("_k"), "_copies")
+            for f in FEEDS if CONTRACTS[f[1]].pk in self.landing[f].columns
+        ]
+        return self.keep("stg_repeated", reduce(DataFrame.unionByName, parts))
+
     @cached_property
     def gates(self) -> Mapping[tuple[str, str], Gate]:
+        repeated = self.repeated
+
         def build(feed):
             name = f"{feed[0]}_{feed[1]}"
-            gate = validate_feed(
-                self.landing[feed], CONTRACTS[feed[1]], keep=lambda df: self.keep(f"stg_repeated_{name}", df))
+            own = repeated.filter(F.col("feed") == name).select("_k", "_copies")
+            gate = validate_feed(self.landing[feed], CONTRACTS[feed[1]], repeated=own)
             return Gate(self.keep(f"stg_tagged_{name}", gate.tagged), gate.missing)
 
         return Lazy(FEEDS, build)

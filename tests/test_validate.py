@@ -36,7 +36,8 @@ def test_null_keys_count_as_repeats_of_each_other(frame):
 
 def test_hot_key_keeps_every_row(frame):
     rows = [("hot", str(i)) for i in range(500)] + [(str(i), "x") for i in range(1000)]
-    gate = validate.validate_feed(frame(rows, SCHEMA), SIMPLE, lineage=False, keep=landing.materialize)
+    df = frame(rows, SCHEMA)
+    gate = validate.validate_feed(df, SIMPLE, lineage=False, repeated=landing.materialize(validate.repeated_keys(df, SIMPLE.pk)))
     assert (gate.valid.count(), gate.quarantine.count()) == (1000, 500)
 
 
