@@ -28,30 +28,35 @@ def top_k(scored: DataFrame, group: Sequence[str], score: str, tie: str, k: int)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25(
-    docs: DataFrame, questions: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text",
-    question_id: str = "question_id", question: str = "question", digits: int = 6,
-    keep: Callable[[DataFrame], DataFrame] = materialize,
+def postings(
+    docs: DataFrame, questions: DataFrame, doc_id: str = "doc_id", text: str = "text", question: str = "question",
+    labels: Sequence[str] = (),
 ) -> DataFrame:
-    """The best k documents per question by BM25 over whole texts.
+    """(_doc, labels, _len, term, _tf) for the terms that some question uses, and one row per document under the empty
+    term, which carries the corpus size and mean length. Every text is split once, and its tokens meet the question
+    terms at once. Write the result: any part of the corpus that the labels tell apart can then be ranked from it.
+    """
+    vocabulary = questions.select(F.explode(F.array_distinct(tokens(question))).alias("term"))
+    vocabulary = vocabulary.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    split = docs.select(F.col(doc_id).alias("_doc"), *labels, tokens(text).alias("_tokens"))
+    split = split.select("_doc", *labels, F.size("_tokens").alias("_len"), F.explode(F.array_append("_tokens", F.lit(""))).alias("term"))
+    return split.join(vocabulary, "term").groupBy("_doc", *labels, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
+
 
-    Every text is split once. Its tokens meet the question terms at once, so only terms some question uses
-    are counted, and each document adds one row under the empty term, which carries the corpus size and mean
-    length. These counts are written and read back: the weights then have a known size when the scores
-    are planned, so they, and not the postings, are what may be broadcast.
+def ranked_by_bm25(
+    held: DataFrame, questions: DataFrame, k: int, doc_id: str = "doc_id", question_id: str = "question_id",
+    question: str = "question", digits: int = 6, keep: Callable[[DataFrame], DataFrame] = materialize,
+) -> DataFrame:
+    """The best k documents per question from written postings, or the part of them that passes a filter, whose own
+    statistics then count. The weights are written and read back: they have a known size when the scores are
+    planned, so they, and not the postings, are what may be broadcast.
     """
     asked = questions.select(question_id, F.explode(F.array_distinct(tokens(question))).alias("term"))
-    vocabulary = asked.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    split = docs.select(F.col(doc_id).alias("_doc"), tokens(text).alias("_tokens"))
-    split = split.select("_doc", F.size("_tokens").alias("_len"), F.explode(F.array_append("_tokens", F.lit(""))).alias("term"))
-    postings = keep(split.join(vocabulary, "term").groupBy("_doc", "_len", "term").agg(F.count(F.lit(1)).alias("_tf")))
-
-    corpus = postings.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"))
-    used = postings.filter("term <> ''")
+    corpus = held.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"))
+    used = held.filter("term <> ''")
     n, df = corpus.select("n").scalar(), F.col("_df")
-    weights = asked.join(used.groupBy("term").agg(F.count(F.lit(1)).alias("_df")), "term").select(
-        question_id, "term", F.log1p((n - df + 0.5) / (df + 0.5)).alias("_idf"))
-    weights = keep(weights)
+    weights = keep(asked.join(used.groupBy("term").agg(F.count(F.lit(1)).alias("_df")), "term").select(
+        question_id, "term", F.log1p((n - df + 0.5) / (df + 0.5)).alias("_idf")))
     mean = corpus.select("mean").scalar()
     tf = F.col("_tf")
     gain = used.withColumn("_gain", tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / mean)))
@@ -63,6 +68,16 @@ def bm25(
     return top_k(scored, [question_id], "score", doc_id, k)
 
 
+def bm25(
+    docs: DataFrame, questions: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text",
+    question_id: str = "question_id", question: str = "question", digits: int = 6,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
+) -> DataFrame:
+    """The best k documents per question by BM25 over whole texts."""
+    held = keep(postings(docs, questions, doc_id, text, question))
+    return ranked_by_bm25(held, questions, k, doc_id, question_id, question, digits, keep)
+
+
 def _unit(c: Column) -> Column:
     """The vector over its length, in double precision; NULL where it has none or holds a NULL."""
     x = F.transform(c, lambda e: e.cast("double"))

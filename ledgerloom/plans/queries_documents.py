@@ -130,8 +130,13 @@ def asked(c: Context) -> DataFrame:
     return c.t("benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
+def held(c: Context) -> DataFrame:
+    """Postings of all labelled texts, shared by both rankings."""
+    return c.kept("bm25_postings", lambda: retrieval.postings(c.fixtures.labelled_texts(), asked(c), labels=["sensitivity_label"]))
+
+
 def ranked(c: Context) -> DataFrame:
-    return c.kept("bm25_top", lambda: retrieval.bm25(c.fixtures.texts(), asked(c), 5))
+    return c.kept("bm25_top", lambda: retrieval.ranked_by_bm25(held(c), asked(c), 5))
 
 
 @query("X2_lexical_top_k", "SELECT item_id AS question_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm25 WHERE rank <= 5",
@@ -186,8 +191,7 @@ def entity_search(c: Context) -> DataFrame:
     FROM (SELECT b.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, b.doc_id) AS r2
           FROM bm25v b) WHERE r2 <= 3""", covers="X5")
 def filtered(c: Context) -> DataFrame:
-    allowed = retrieval.visible(c.fixtures.labelled_texts(), "Internal").select("doc_id", "text")
-    return retrieval.bm25(allowed, asked(c), 3).select("question_id", "doc_id", "rank")
+    return retrieval.ranked_by_bm25(retrieval.visible(held(c), "Internal"), asked(c), 3).select("question_id", "doc_id", "rank")
 
 
 def answers(c: Context) -> DataFrame:
