@@ -6,23 +6,31 @@ the seeds reach. Nothing pairs up all members of a group: counts over a whole ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import json_tags
 from ledgerloom.operators.temporal import as_of
+from ledgerloom.sources.landing import materialize
 
 AFFILIATION = "array<struct<company_id:string,role:string,start_date:string,end_date:string,reason:string>>"
 STAGE = "array<struct<at:string,stage:string>>"
 
 
 def backing(investments: DataFrame) -> DataFrame:
-    """Edge table investor, round, company."""
+    """Edge table investor, round, company; given back as it is if it is one already, so write it once and pass it."""
+    if "is_current" not in investments.columns:
+        return investments
     return investments.filter("is_current").select("investor_id", "round_id", "company_id")
 
 
 def affiliations(people: DataFrame) -> DataFrame:
-    """Edge table person, company, role, past or present, from the nested arrays."""
+    """Edge table person, company, role, past or present, from the nested arrays; given back as it is if it is one already,
+    so that the arrays need not be parsed for each hop."""
+    if "is_past" in people.columns:
+        return people
     def side(column: str, past: bool) -> DataFrame:
         return people.filter("is_current").select(
             "person_id", F.explode(F.from_json(column, AFFILIATION)).alias("a"), F.lit(past).alias("is_past"))
@@ -113,11 +121,12 @@ def comparables(dim_company: DataFrame, rounds: DataFrame, start: DataFrame) ->
 
 
 def backed_by_comparables_investors(
-    dim_company: DataFrame, rounds: DataFrame, investments: DataFrame, start: DataFrame
+    dim_company: DataFrame, rounds: DataFrame, investments: DataFrame, start: DataFrame,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
     """H5: target, comparables, their investors, the other companies those back."""
     edges = backing(investments)
-    near = comparables(dim_company, rounds, start)
+    near = keep(comparables(dim_company, rounds, start))
     backers = hop(near, edges, "company_id", "investor_id", keep_start=True)
     reached = hop(backers, edges, "investor_id", "company_id")
     return reached.join(near, ["seed", "node"], "left_anti")

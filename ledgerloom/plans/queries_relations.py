@@ -43,21 +43,29 @@ TARGETS = """(SELECT arg_max(company_id, (raised, company_id)) AS seed FROM (
 PORTFOLIO = f"(SELECT DISTINCT company_id FROM c_ed WHERE investor_id IN {FUNDS})"
 
 
+def seats(c: Context) -> DataFrame:
+    return c.kept("edges_backing", lambda: relations.backing(c.m.conformed["investments"]))
+
+
+def links(c: Context) -> DataFrame:
+    return c.kept("edges_affiliations", lambda: relations.affiliations(c.m.conformed["people"]))
+
+
 @query("H1_company_backers", """
     SELECT company_id, count(DISTINCT sk) AS n_investors, count(DISTINCT ok) AS n_rounds FROM c_ed GROUP BY 1""", covers="H1")
 def backers(c: Context) -> DataFrame:
-    return relations.company_backers(c.m.conformed["investments"])
+    return relations.company_backers(seats(c))
 
 
 @query("H1_investor_portfolios", "SELECT investor_id, count(DISTINCT ck) AS n_companies FROM c_ed GROUP BY 1", covers="H1")
 def portfolios(c: Context) -> DataFrame:
-    return relations.portfolios(c.m.conformed["investments"])
+    return relations.portfolios(seats(c))
 
 
 @query("H1_person_companies", """
     SELECT person_id, company_id, count(*) FILTER (WHERE NOT is_past) > 0 AS is_active, count(*) AS n_links FROM aff GROUP BY 1, 2""", covers="H1")
 def person_companies(c: Context) -> DataFrame:
-    return relations.person_companies(c.m.conformed["people"])
+    return relations.person_companies(links(c))
 
 
 @query("H2_coinvestment_degree", """
@@ -65,14 +73,14 @@ def person_companies(c: Context) -> DataFrame:
         SELECT DISTINCT investor_id, ok FROM c_ed) JOIN (SELECT ok, count(DISTINCT sk) AS n FROM c_ed GROUP BY 1) USING (ok) GROUP BY 1""",
     covers="H2 J14")
 def degree(c: Context) -> DataFrame:
-    return relations.coinvestment_degree(c.m.conformed["investments"])
+    return relations.coinvestment_degree(seats(c))
 
 
 @query("H2_coinvestors", f"""
     SELECT a.investor_id AS seed, b.investor_id, count(DISTINCT a.ok) AS shared_rounds FROM c_ed a JOIN c_ed b ON a.ok = b.ok AND a.sk <> b.sk
     WHERE a.investor_id IN {FUNDS} GROUP BY 1, 2""", covers="H2 J14")
 def coinvestors(c: Context) -> DataFrame:
-    return relations.coinvestors(c.m.conformed["investments"], largest_funds(c))
+    return relations.coinvestors(seats(c), largest_funds(c))
 
 
 BOARD = f"(SELECT person_id FROM aff WHERE role = 'board' AND company_id IN {TARGETS})"
@@ -83,7 +91,7 @@ BOARD = f"(SELECT person_id FROM aff WHERE role = 'board' AND company_id IN {TAR
     WHERE a.is_past AND a.person_id IN {BOARD}""", covers="H3 J14")
 def colleagues(c: Context) -> DataFrame:
     """Of the people on the boards of the largest targets."""
-    people = c.m.conformed["people"]
+    people = links(c)
     targets = largest_targets(c).select(F.col("node").alias("company_id"))
     board = relations.affiliations(people).filter("role = 'board'").join(targets, "company_id", "left_semi")
     return relations.former_colleagues(people, relations.seeds(board, "person_id"))
@@ -93,7 +101,7 @@ def colleagues(c: Context) -> DataFrame:
     SELECT investor_id, tag, count(*) AS n_companies FROM (SELECT DISTINCT investor_id, ck FROM c_ed)
     JOIN (SELECT ck, tag1 AS tag FROM c_co UNION ALL SELECT ck, tag2 FROM c_co) USING (ck) WHERE tag IS NOT NULL GROUP BY ALL""")
 def tags(c: Context) -> DataFrame:
-    return relations.investor_tags(c.m.conformed["investments"], c.m.conformed["companies"])
+    return relations.investor_tags(seats(c), c.m.conformed["companies"])
 
 
 _SIMILAR = f"""
@@ -114,7 +122,7 @@ def similar(c: Context) -> DataFrame:
     covers="H5 J14")
 def reached(c: Context) -> DataFrame:
     t = c.m.conformed
-    return relations.backed_by_comparables_investors(c.m.dim_company, t["funding_rounds"], t["investments"], largest_targets(c))
+    return relations.backed_by_comparables_investors(c.m.dim_company, t["funding_rounds"], seats(c), largest_targets(c))
 
 
 @query("H6_warm_intros", f"""
@@ -125,7 +133,7 @@ def reached(c: Context) -> DataFrame:
     WHERE o.company_id IN {PORTFOLIO} AND NOT EXISTS (SELECT 1 FROM aff z WHERE z.company_id = n.seed AND z.person_id = n.person_id)
     GROUP BY 1, 2""", covers="H6 J14")
 def intros(c: Context) -> DataFrame:
-    return relations.warm_intros(c.m.conformed["people"], portfolio(c), largest_targets(c))
+    return relations.warm_intros(links(c), portfolio(c), largest_targets(c))
 
 
 @query("H7_funds_sharing_board", f"""
@@ -137,7 +145,7 @@ def intros(c: Context) -> DataFrame:
 def sharing(c: Context) -> DataFrame:
     t = c.m.conformed
     return relations.funds_sharing_board(
-        t["investments"], t["funding_rounds"], c.m.dim_company, t["people"], "Consumer", "Series B", 1998, portfolio(c))
+        seats(c), t["funding_rounds"], c.m.dim_company, links(c), "Consumer", "Series B", 1998, portfolio(c))
 
 
 @query("H8_screening", """
