@@ -67,8 +67,8 @@ def edited(words, n, rng):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_documents_match_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hundredths"), [(1, 85), (2, 80), (3, 95)])
+def test_documents_match_brute_force(spark, seed, hundredths):
     """Chains of edits around the threshold, one large group of near copies, a passage that many share, and odd texts."""
     rng = random.Random(seed)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
@@ -85,8 +85,8 @@ def test_documents_match_brute_force(spark, seed):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id bigint, text string, n int, id string")
-    got = near_dup.near_duplicates(df)
-    assert found(got, rows) == brute(rows)
+    got = near_dup.near_duplicates(df, hundredths=hundredths)
+    assert found(got, rows) == brute(rows, hundredths)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect())
 
 
@@ -96,6 +96,13 @@ def test_documents_of_the_table(spark, sf_dir):
     assert found(near_dup.near_duplicates(df), rows) == brute(rows)
 
 
+def test_bounds_follow_from_the_threshold(spark):
+    assert near_dup.least_shared(0.8) < near_dup.least_shared(0.85) < 0.85 * near_dup.SKETCH
+    assert near_dup.most_differing(0.85) < near_dup.most_differing(0.8)
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"), hundredths=79)
+
+
 def test_no_documents(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
