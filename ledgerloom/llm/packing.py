@@ -62,37 +62,41 @@ class WordTokenizer:
                 known[w] = raw[4 * start : 4 * end]
                 start = end
 
-    def learn(self, parts: set[str]) -> None:
-        known = self.known
-        if len(known) + len(parts) > REMEMBERED:
-            known.clear()
-        two, words = [], set()
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Adds what the parts consist of to `known`: lower-case words, tails of punctuation, and parts of another kind.
+        Words with capitals or a tail are not kept there, but returned."""
+        known, several, words, other = self.known, [], set(), set()
         for x in parts:
-            m = _PLAIN.fullmatch(x)
-            if m is None or len(x) > 100:
-                known[x] = self._ids(x)
-            elif not m[2]:
-                words.add(x)
-            else:
-                two.append((x, m[1], m[2]))
-                words.add(m[1])
-                if m[2] not in known:
-                    known[m[2]] = self._ids(m[2])
-        self._learn_words([w for w in words if w not in known])
-        for x, a, b in two:
-            known[x] = known[a] + known[b]
+            m = _PLAIN.fullmatch(x) if len(x) <= 100 else None
+            if m is None:
+                other.add(x)
+                continue
+            word = m[1].lower()
+            words.add(word)
+            if word != x:
+                several.append((x, word, m[2]))
+                if m[2]:
+                    other.add(m[2])
+        for x in other.difference(known):
+            known[x] = self._ids(x)
+        known[""] = b""
+        self._learn_words(list(words.difference(known)))
+        return {x: known[a] + known[b] for x, a, b in several if x not in known}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for group in groups(texts):
             split = [None if _ODD_SPACE.search(t) else t.split() for t in group]
-            need = set().union(*(s for s in split if s))
-            need = {x for x in need if x not in self.known}
-            if need:
-                fresh = len(self.known) + len(need) > REMEMBERED
-                self.learn(set().union(*(s for s in split if s)) if fresh else need)
+            parts = set().union(*(s for s in split if s))
+            new = parts.difference(self.known)
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known, new = {}, parts
+            several = self.learn(new)
+            self.known.update(several)
             get = self.known.__getitem__
             out += [self._ids(t) if s is None else b"".join(map(get, s)) for t, s in zip(group, split)]
+            for x in several:
+                del self.known[x]
         return out
 
 
