@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.scratch import groups, keyed, only
 
 LONG = 160
-REMEMBERED = 800_000
+REMEMBERED = 900_000
 GROUP = 3_000_000
 MEMORY = "350MB"
 
@@ -124,15 +124,22 @@ class Codec:
         last = np.searchsorted(np.asarray(got.column("w")), np.arange(len(words)), side="right").tolist()
         return [ids[4 * a : 4 * b] for a, b in zip([0, *last], last)]
 
-    def _learn(self, parts: Iterable[str]) -> None:
+    def _learn(self, parts: Iterable[str]) -> dict[str, bytes]:
+        """Adds the pre-tokens of the parts to `known`. Parts of several are not kept there, but returned."""
         known, cut, new = self.known, [], set()
         for x in parts:
             m = _PLAIN.fullmatch(x)
-            tokens = [t for t in m.groups() if t] if m else self.pattern.findall(x)
+            if m is None:
+                tokens = self.pattern.findall(x)
+            elif m[2]:
+                tokens = m.groups()
+            else:
+                new.add(x)
+                continue
             cut.append((x, tokens))
-            new.update(t for t in tokens if t not in known)
+            new.update(tokens)
         short = []
-        for t in new:
+        for t in new.difference(known):
             raw = t.encode("utf-8")
             if raw in self.ranks:
                 known[t] = self.ranks[raw].to_bytes(4, "little")
@@ -141,9 +148,7 @@ class Codec:
             else:
                 short.append((t, raw))
         known.update(zip([t for t, _ in short], self._merge([raw for _, raw in short])))
-        for x, tokens in cut:
-            if len(tokens) != 1 or tokens[0] != x:
-                known[x] = b"".join([known[t] for t in tokens])
+        return {x: b"".join([known[t] for t in tokens]) for x, tokens in cut if x not in known}
 
     @staticmethod
     def _parts(text: str) -> list[str]:
@@ -158,12 +163,15 @@ class Codec:
         for group in groups(texts, GROUP):
             split = [self._parts(t) for t in group]
             all_parts = set().union(*split)
-            if len(self.known) + 2 * len(all_parts.difference(self.known)) > REMEMBERED:
-                self.known.clear()
-            if new := all_parts.difference(self.known):
-                self._learn(new)
+            new = all_parts.difference(self.known)
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known, new = {}, all_parts
+            several = self._learn(new)
+            self.known.update(several)
             get = self.known.__getitem__
             out += [b"".join(map(get, s)) for s in split]
+            for x in several:
+                del self.known[x]
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
