@@ -100,6 +100,32 @@ def test_lines_of_the_site_go_and_copies_of_articles_stay(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def cut_into(spark, n):
+    """Settings under which rows are dealt over n partitions, which stay as they are."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true" if n == 4 else "false")
+
+
+def test_unmarked_copies_keep_their_text(spark):
+    frame = "<p>Home</p>{}<p>All rights reserved</p>"
+    a, b = (frame.format(f"<p>{x} of an article long enough</p><p>and its end {x}</p>") for x in ("text one", "text two"))
+    near = a.replace("Home</p>", "Home</p><p>7</p>")
+    rows = [(1, "http://h.org/a", a), (2, "http://h.org/a?page=2", a), (3, "http://h.org/a#x", a), (4, "http://h.org/a2", a),
+            (4, "http://h.org/a2", a), (5, "http://h.org/a3", near), (6, "http://h.org/b", b), (7, "http://h.org/b?p", b),
+            (8, "http://only.org/a", a), (9, "http://only.org/b", a), (10, None, a), (11, None, b), (12, "http://h.org/c", None)]
+    one, two = ("\n".join(f"{x} of an article long enough|and its end {x}".split("|")) for x in ("text one", "text two"))
+    whole = lambda text: f"Home\n{text}\nAll rights reserved"
+    want = {1: one, 2: one, 3: one, 4: one, 5: f"7\n{one}", 6: two, 7: two, 8: whole(one), 9: whole(one), 10: whole(one), 11: whole(two), 12: ""}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for n in (1, 9):
+        cut_into(spark, n)
+        try:
+            got = html_text.extract(df).collect()
+        finally:
+            cut_into(spark, 4)
+        assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_articles_of_the_table(spark, sf_dir):
     import html
     import re
