@@ -126,6 +126,21 @@ def test_unmarked_copies_keep_their_text(spark):
         assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want
 
 
+def test_cuts_between_partitions_change_nothing(spark):
+    frame = "<p>Home</p><p>{}</p><p>All rights reserved by {}</p>"
+    rows = [(k, f"http://h{k // 40}.org/{k % 40:02}", frame.format(f"only {k // 12 if k % 40 > 20 else k}", k // 40)) for k in range(120)]
+    # Of 12 copies the neighbours are beyond the group, which fills whole partitions.
+    want = {k: f"only {k // 12 if k % 40 > 20 else k}" for k, *_ in rows}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for n in (1, 7, 60):
+        cut_into(spark, n)
+        try:
+            got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+        finally:
+            cut_into(spark, 4)
+        assert got == want
+
+
 def test_articles_of_the_table(spark, sf_dir):
     import html
     import re
