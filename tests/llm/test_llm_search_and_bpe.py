@@ -121,6 +121,18 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, whole.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "ids_crc32").collect()))
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, sf_dir):
+    """Null ids, repeated rows, and one id with two texts of which one has a near copy."""
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(60))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2) + " end"), (1, text(2)), (2, text(3)), (2, text(3)),
+            (3, text(4)), (3, text(5)), (4, text(4) + " end"), (5, text(5)), (6, text(6)), (7, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, more string")
+    got = corpus_pipeline.distinct(spark, docs, sf_dir)
+    want = [(None, text(0)), (None, text(1)), (1, text(2)), (2, text(3)), (3, text(4)), (3, text(5)), (6, text(6)), (7, None)]
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.select("doc_id", "text").collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline_without_documents(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
