@@ -207,6 +207,28 @@ def test_mixing_learns(spark):
     assert mixer.bits([word() for _ in range(300)]).mean() < before < 40
 
 
+def test_tails_are_those_of_the_running_text():
+    words = [b"a", b"bc", b"", b"long word".replace(b" ", b"-"), b"xyz", b"wxyz"]
+    texts = [[0, 0, 0, 1, 0, 2], [2], [3, 4, 0, 5, 1, 1, 2]]
+    before, tail = lm.running(np.array(sum(texts, [])), np.array([0, 6, 7]), words)
+    at = 0
+    for ids in texts:
+        for k in range(len(ids)):
+            ahead = b"\n\n\n\n" if not k else (b"\n\n\n\n " + b" ".join(words[i] for i in ids[:k]))[-4:]
+            assert before[at] == (ids[k - 1] if k else -1) and int(tail[at]).to_bytes(4, "big") == ahead
+            at += 1
+
+
+def test_order_of_words_counts(spark):
+    """A held-out text in the training texts' order against the same words turned round."""
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 10 == 0]
+    chain = [f"w{k * 7919 % 97}" for k in range(97)]
+    turn = lambda k: " ".join((chain[k % 97 :] + chain[: k % 97])[:40])
+    rows = [(k, turn(k)) for k in range(400) if k not in held] + [(held[0], turn(5)), (held[1], " ".join(reversed(turn(5).split())))]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[held[0]] > 0.5 * got[held[1]]
+
+
 def test_repeats():
     assert lm.repeats(np.array([3, 1, 3, 3, 1, 2])).tolist() == [0, 0, 1, 2, 1, 0]
 
