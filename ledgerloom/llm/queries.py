@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, byte_bpe, html_text, lm, near_dup, packing, pii, quality, url_filter, vector_dedup
+from ledgerloom.llm import (
+    ann, byte_bpe, html_text, lm, near_dup, packing, pii, prefix_trie, quality, token_alignment, toxicity, url_filter, vector_dedup,
+)
 from ledgerloom.llm.scratch import table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +79,19 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_context_mixing_lm")
 def context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_trie", prefix_trie.SQL)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_token_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op13_toxicity")
+def toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
