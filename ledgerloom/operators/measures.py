@@ -25,11 +25,17 @@ class Star:
     date: DataFrame
 
 
+def row_worth() -> Column:
+    """NAV of one fact."""
+    amount = F.col("participation_amount")
+    return F.when(F.col("is_realized"), amount * F.col("realised_return_multiple")).otherwise(amount)
+
+
 def fact_sums(as_of: str) -> list[Column]:
     """A10: the additive parts of all measures. NULL amounts add nothing; a realised row without a multiple
     adds nothing to NAV. `as_of` stands for today."""
     amount = F.col("participation_amount")
-    worth = F.when(F.col("is_realized"), amount * F.col("realised_return_multiple")).otherwise(amount)
+    worth = row_worth()
     until = F.when(F.col("is_realized"), F.col("exit_date")).otherwise(F.lit(as_of).cast("date"))
     return [
         F.sum(amount).alias("total_invested"),
@@ -88,6 +94,19 @@ def _by_date(star: Star, where: dict[str, object] | None) -> tuple[dict[str, obj
     return on, {c: x for c, x in (where or {}).items() if c not in on}
 
 
+def select_facts(star: Star, by: Sequence[str], where: dict[str, object] | None = None) -> DataFrame:
+    """Single facts with the columns of `by` and under the conditions of `where`, wherever these columns are. A dimension is
+    joined on its key; facts without a member have NULL there."""
+    where = where or {}
+    used = {c: _owner(star, c) for c in [*by, *where]}
+    out = star.fact
+    for dim in sorted({d for d in used.values() if d != "fact"}):
+        fk, pk = KEYS[dim]
+        columns = sorted({c for c, d in used.items() if d == dim})
+        out = out.join(getattr(star, dim).select(F.col(pk).alias("_pk"), *columns), F.col(fk) == F.col("_pk"), "left").drop("_pk")
+    return out.filter(wanted(where))
+
+
 def slice_sums(
     star: Star, by: Sequence[str], where: dict[str, object] | None, as_of: str, date_role: str = "date"
 ) -> DataFrame:

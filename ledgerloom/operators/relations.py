@@ -150,6 +150,63 @@ def warm_intros(people: DataFrame, portfolio: DataFrame, start: DataFrame) -> Da
     )
 
 
+def intro_paths(
+    people: DataFrame, portfolio: DataFrame, start: DataFrame, k: int = 3, people_between: int = 2,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
+) -> DataFrame:
+    """H6: the ways from each seed company to each portfolio company, as arrays of ids: company, person, company, ..., company.
+
+    Breadth first: a level holds the nodes that a seed reaches for the first time, with the `k` first of the shortest paths
+    to each, in the order of their ids. The k first paths to a node go through k first paths to the nodes before it, so
+    cutting there loses none. Over the last link somebody must be at the portfolio company now, and no way passes through the
+    company it leads to; so for each portfolio company on a kept path, the k first paths that avoid it are kept too. Rows are
+    bounded by the distinct (seed, node) of a level: with p people on the way at most k * (1 + k * p) for each.
+
+    Gives seed, company_id, hops (links), rank and path, for the fewest hops only, up to `people_between` people on the
+    way. Ties are broken by the ids on the path, from the seed on.
+    """
+    links = affiliations(people).select("person_id", "company_id", "is_past").distinct()
+    links = keep(links)
+    ours = portfolio.select(F.col(portfolio.columns[0]).alias("_to")).distinct()
+    last_link = links.filter("not is_past").select(F.col("person_id").alias("_from"), F.col("company_id").alias("_to")).distinct()
+    last_link = keep(last_link.join(ours, "_to", "left_semi"))
+    edges = links.select("person_id", "company_id").distinct()
+
+    def step(level: DataFrame, source: str, target: str, seen: DataFrame) -> DataFrame:
+        out = level.join(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")), F.col("node") == F.col("_from"))
+        out = out.select("seed", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"))
+        out = out.join(seen, ["seed", "node"], "left_anti")
+        first = keep(_first_paths(out, k))
+        on_path = first.select("seed", "node", F.explode("path").alias("_to")).filter("_to <> seed and _to <> node")
+        on_path = on_path.join(ours, "_to", "left_semi").distinct()
+        around = out.join(on_path, ["seed", "node"]).filter(~F.array_contains("path", F.col("_to")))
+        return first.unionByName(_first_paths(around, k, "_to").drop("_to")).distinct()
+
+    level = keep(start.select("seed", "node", F.array("node").alias("path")).distinct())
+    companies, persons, found = level.select("seed", "node"), None, None
+    for n in range(people_between):
+        level = keep(step(level, "company_id", "person_id", persons if persons is not None else companies.limit(0)))
+        reached = level.select("seed", "node").distinct()
+        persons = reached if persons is None else persons.unionByName(reached)
+        done = level.join(last_link, F.col("node") == F.col("_from")).filter(~F.array_contains("path", F.col("_to"))).select(
+            "seed", F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"))
+        if found is not None:
+            done = done.join(found.select("seed", "node").distinct(), ["seed", "node"], "left_anti")
+        done = keep(_first_paths(done, k))
+        found = done if found is None else found.unionByName(done)
+        if n + 1 < people_between:
+            level = keep(step(level, "person_id", "company_id", companies))
+            companies = companies.unionByName(level.select("seed", "node").distinct())
+    rank = F.row_number().over(Window.partitionBy("seed", "node").orderBy("path"))
+    return found.select("seed", F.col("node").alias("company_id"), (F.size("path") - 1).alias("hops"), rank.alias("rank"), "path")
+
+
+def _first_paths(paths: DataFrame, k: int, *also: str) -> DataFrame:
+    """The k first paths of each (seed, node), by their ids; Spark trims each task's rows before they are shuffled."""
+    order = Window.partitionBy("seed", "node", *also).orderBy("path")
+    return paths.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+
+
 def funds_sharing_board(
     investments: DataFrame, rounds: DataFrame, dim_company: DataFrame, people: DataFrame, sector_group: str,
     round_type: str, year: int, portfolio: DataFrame,

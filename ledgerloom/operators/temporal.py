@@ -14,6 +14,7 @@ from ledgerloom.operators.validate import with_key_count
 from ledgerloom.sources.landing import materialize
 
 ENVELOPE = ["valid_from", "valid_to", "is_current"]
+KNOWLEDGE = ["known_from", "known_to"]
 
 
 def day(c: str | Column) -> Column:
@@ -42,9 +43,17 @@ def envelope_from_genesis(df: DataFrame) -> DataFrame:
 
 
 def as_of(df: DataFrame, valid: str | Column, known: str | Column | None = None) -> DataFrame:
-    """Rows true at `valid`, and, with `known`, already ingested by then."""
+    """Rows true at `valid` as known at `known`, or as known now.
+
+    A table with a knowledge interval (`bitemporal.learn`) answers for any past `known`. Of a table without one, rows that
+    were already ingested by then; closed versions of it carry later knowledge in their end.
+    """
     at = F.lit(valid).cast("date") if isinstance(valid, str) else valid
     out = df.filter(valid_at(at))
+    if set(KNOWLEDGE) <= set(df.columns):
+        if known is None:
+            return out.filter(F.col("known_to") == F.lit(v.OPEN_END).cast(df.schema["known_to"].dataType))
+        return out.filter(valid_at(F.lit(known).cast("timestamp_ntz") if isinstance(known, str) else known, *KNOWLEDGE))
     if known is not None:
         out = out.filter(F.col("ingestion_date") <= (F.lit(known).cast("timestamp") if isinstance(known, str) else known))
     return out

@@ -136,6 +136,26 @@ def intros(c: Context) -> DataFrame:
     return relations.warm_intros(links(c), portfolio(c), largest_targets(c))
 
 
+@query("H6_intro_paths", f"""
+    SELECT * FROM (WITH RECURSIVE links AS (SELECT DISTINCT person_id, company_id FROM aff),
+    walks AS (
+        SELECT seed, seed AS node, [seed] AS path, 0 AS hops FROM {TARGETS}
+        UNION ALL
+        SELECT w.seed, CASE WHEN hops % 2 = 0 THEN l.person_id ELSE l.company_id END,
+               list_append(path, CASE WHEN hops % 2 = 0 THEN l.person_id ELSE l.company_id END), hops + 1
+        FROM walks w JOIN links l ON w.node = CASE WHEN hops % 2 = 0 THEN l.company_id ELSE l.person_id END
+        WHERE hops < 3 AND NOT list_contains(path, CASE WHEN hops % 2 = 0 THEN l.person_id ELSE l.company_id END)),
+    ends AS (
+        SELECT DISTINCT seed, o.company_id, hops + 1 AS hops, list_append(path, o.company_id) AS path FROM walks w JOIN aff o ON o.person_id = w.node
+        WHERE hops % 2 = 1 AND NOT o.is_past AND o.company_id <> seed AND o.company_id IN {PORTFOLIO} AND NOT list_contains(path, o.company_id))
+    SELECT seed, company_id, CAST(hops AS INTEGER) AS hops, CAST(rank AS INTEGER) AS rank, array_to_string(path, ' > ') AS path FROM (
+        SELECT *, row_number() OVER (PARTITION BY seed, company_id ORDER BY hops, path) AS rank, min(hops) OVER (PARTITION BY seed, company_id) AS fewest FROM ends)
+    WHERE hops = fewest AND rank <= 3)""", covers="H6 J14")
+def intro_paths(c: Context) -> DataFrame:
+    out = relations.intro_paths(links(c), portfolio(c), largest_targets(c))
+    return out.withColumn("path", F.array_join("path", " > "))
+
+
 @query("H7_funds_sharing_board", f"""
     SELECT investor_id, count(DISTINCT ck) AS n_companies FROM c_ed
     WHERE ok IN (SELECT ok FROM c_ro WHERE round_type = 'Series B' AND year(announced) = 1998)
