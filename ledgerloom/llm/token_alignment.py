@@ -10,8 +10,9 @@ block writes its distinct pairs once, and each of its texts as places in that li
 highest count of each B id, and joins the sums back to the blocks' lists, so a pair met in every text is one row a block.
 Each block then adds up its texts. Nothing is broadcast, and a task holds one block.
 
-Long texts are cut for the tokenizers before a single space between other characters: neither tokenizer joins bytes across
-that place, so ids are those of the whole text, and what the tokenizers hold does not follow the longest text.
+A text is cut into segments at single spaces between other characters. Neither tokenizer joins bytes across that place, so both
+have a token end there, ids are those of the whole text, and no group crosses it. A segment met again is looked up: a worker
+remembers what the intervals of at most `REMEMBERED` segments gave, then starts anew. Memory does not follow the longest text.
 
 Defined cases: a null or empty text, and one whose joined A or B bytes differ from space and text (for example with U+2581),
 has no tokens, zeros and an empty hash; special tokens inside texts are plain text; repeated rows count as often as they
@@ -39,9 +40,10 @@ from ledgerloom.llm.scratch import Scratch, groups, keyed, only
 
 #: Tokens of side A that a block holds, about; a longer text is a block of its own.
 BLOCK = 2_000_000
-#: Characters that the tokenizers are given at once, about.
-PART = 400_000
+#: Characters that the tokenizers are given at once, about, and segments that a worker remembers.
+PART, REMEMBERED = 400_000, 500_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = re.compile(r" (?:(?=\s|\Z)|(?<=\s )|(?<=\A ))")
 
 
 class Tokenizers:
@@ -88,15 +90,6 @@ def _byte_of() -> dict[str, int]:
     return {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(rest)}
 
 
-_loaded: dict[tuple[str, str], Tokenizers] = {}
-
-
-def tokenizers(byte_level: str, pieces: str) -> Tokenizers:
-    if (byte_level, pieces) not in _loaded:
-        _loaded[byte_level, pieces] = Tokenizers(byte_level, pieces)
-    return _loaded[byte_level, pieces]
-
-
 @dataclass
 class Alignment:
     """Groups of tokens and overlapping pairs. `order` lists all tokens (A's, then B's numbers) in the order of their groups."""
@@ -127,77 +120,106 @@ def coalesce(a_ends: np.ndarray, b_ends: np.ndarray, a_starts: np.ndarray, b_sta
     return Alignment(group, order, (a, b), (a[together], b[together]))
 
 
-def _parts(text: str) -> list[str]:
-    """A text in parts of about `PART` characters. The space before a part after the first is the one that is added to it."""
-    out, at = [], 0
-    while len(text) - at > PART:
-        m = _CUT.search(text, at + PART)
-        if m is None:
-            break
-        out.append(text[at : m.start()])
-        at = m.end()
-    return [*out, text[at:]]
-
-
-class _Writer:
-    """Strings of groups: the text of an id with each mark that can follow it, looked up."""
-
-    def __init__(self, size: int):
-        self.size, self.strings = size, [f"{k}{mark}".encode() for mark in ",|;" for k in range(size)]
-
-    def write(self, ids: np.ndarray, mark: np.ndarray) -> list[bytes]:
-        return list(map(self.strings.__getitem__, (mark * self.size + ids).tolist()))
-
-
-_writers: dict[int, _Writer] = {}
-
-
-def aligned(tk: Tokenizers, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray]]:
-    """For each text n_a, n_b, n_groups, n_overlaps, groups_sha256 and its links, as A id * 2^32 + B id."""
-    parts, owner = [], []
-    for k, t in enumerate(texts):
-        if t:
-            new = _parts(t)
-            parts += new
-            owner += [k] * len(new)
-    coded = [x for group in groups(parts, PART) for x in tk.encode(group)]
-    bad = {k for k, (a, _) in zip(owner, coded) if not a}
-    coded = [x if k not in bad else ([], []) for k, x in zip(owner, coded)]
-    ids = [np.fromiter(chain.from_iterable(x[s] for x in coded), dtype=np.int64) for s in (0, 1)]
-    ends = [np.cumsum(tk.lengths[s][ids[s]]) for s in (0, 1)]  # texts end to end: no group crosses from one to the next
-    starts = [e - tk.lengths[s][ids[s]] for s, e in enumerate(ends)]
-    got = coalesce(ends[0], ends[1], starts[0], starts[1])
-
-    size = max(len(tk.a_bytes), len(tk.b_bytes))
-    writer = _writers.setdefault(size, _Writer(size))
-    side = (got.order >= len(ids[0])).astype(np.int64)
-    group = got.group[got.order]
-    last = np.ones(len(group), bool)
-    last[:-1] = (group[1:] != group[:-1]) | (side[1:] != side[:-1])
-    written = writer.write(np.concatenate(ids)[got.order], np.where(last, 1 + side, 0))
-
-    totals = np.zeros((2, len(texts)), np.int64)
-    for s in (0, 1):
-        np.add.at(totals[s], owner, [len(x[s]) for x in coded])
-    n_a, n_b = totals
-    text_of_a = np.repeat(np.arange(len(texts)), n_a)
-    n_links = np.bincount(text_of_a[got.links[0]], minlength=len(texts))
-    n_groups = np.bincount(text_of_a[np.unique(got.group[: len(ids[0])], return_index=True)[1]], minlength=len(texts))
-    n_overlaps = np.bincount(text_of_a[got.pairs[0]], minlength=len(texts))
-    codes = (ids[0][got.links[0]] << 32) | ids[1][got.links[1]]
-    token, link = 0, 0
-    for k in range(len(texts)):
-        n, m = int(n_a[k] + n_b[k]), int(n_links[k])
-        sha = hashlib.sha256(b"".join(written[token : token + n])[:-1]).hexdigest() if n else ""
-        yield int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(n_overlaps[k]), sha, codes[link : link + m]
-        token, link = token + n, link + m
+def segments(text: str) -> list[str]:
+    """The text cut at single spaces between other characters; these spaces are the ones that come before a segment."""
+    return _CUT.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
+
+
+class Segments:
+    """What the alignment of each segment met so far gave."""
+
+    def __init__(self, tk: Tokenizers):
+        self.tk = tk
+        size = max(len(tk.a_bytes), len(tk.b_bytes))
+        self.size, self.text_of = size, [f"{k}{mark}".encode() for mark in ",|;" for k in range(size)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.strings: list[bytes] = []
+        self.counts = np.zeros((4, 0), np.int64)  # tokens of A and B, groups, overlapping pairs
+        self.codes, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """Aligns segments. Those without white space at their ends are given to the tokenizers in one text, others alone."""
+        plain = [x for x in new if not (x[0].isspace() or x[-1].isspace())]
+        units = list(groups(plain, PART)) + [[x] for x in new if x[0].isspace() or x[-1].isspace()]
+        for unit in units:
+            coded = self.tk.encode([" ".join(unit)])[0]
+            if not coded[0] and len(unit) > 1:  # some segment's bytes do not come back
+                for x in unit:
+                    self._add([x], self.tk.encode([x])[0])
+            else:
+                self._add(unit, coded)
+
+    def _add(self, unit: list[str], coded: tuple[list[int], list[int]]) -> None:
+        for k, x in enumerate(unit, len(self.strings)):
+            self.known[x] = k
+        ids = [np.array(x, dtype=np.int64) for x in coded]
+        ends = [np.cumsum(n[i]) for n, i in zip(self.tk.lengths, ids)]
+        starts = [e - n[i] for n, i, e in zip(self.tk.lengths, ids, ends)]
+        got = coalesce(ends[0], ends[1], starts[0], starts[1])
+        upto = np.cumsum([len(x.encode()) + 1 for x in unit])
+        if len(ids[0]) and not all(np.isin(upto, e).all() for e in ends):
+            raise ValueError("a token crosses the end of a segment")
+
+        side = (got.order >= len(ids[0])).astype(np.int64)
+        group = got.group[got.order]
+        last = np.ones(len(group), bool)
+        last[:-1] = (group[1:] != group[:-1]) | (side[1:] != side[:-1])
+        mark = np.where(last, 1 + side, 0)
+        written = list(map(self.text_of.__getitem__, (mark * self.size + np.concatenate(ids)[got.order]).tolist()))
+
+        def per(at: np.ndarray) -> np.ndarray:
+            return np.bincount(np.searchsorted(upto, at), minlength=len(unit))
+
+        first = np.unique(got.group[: len(ids[0])], return_index=True)[1]
+        counts = np.array([per(ends[0]), per(ends[1]), per(ends[0][first]), per(ends[0][got.pairs[0]])])
+        token = 0
+        for n in (counts[0] + counts[1]).tolist():
+            self.strings.append(b"".join(written[token : token + n])[:-1])
+            token += n
+        self.counts = np.concatenate([self.counts, counts], axis=1)
+        self.codes = np.concatenate([self.codes, (ids[0][got.links[0]] << 32) | ids[1][got.links[1]]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(per(ends[0][got.links[0]]))])
+
+    def aligned(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray]]:
+        """For each text n_a, n_b, n_groups, n_overlaps, groups_sha256 and its links, as A id * 2^32 + B id."""
+        cut = [segments(t) if t else [] for t in texts]
+        every = dict.fromkeys(chain.from_iterable(cut))
+        new = [x for x in every if x not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(every)
+        if new:
+            self.learn(new)
+        for parts in cut:
+            at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+            counts = self.counts[:, at]
+            if not len(at) or not counts[0].all():
+                yield 0, 0, 0, 0, "", np.zeros(0, np.int64)
+                continue
+            sha = hashlib.sha256(b";".join(map(self.strings.__getitem__, at.tolist()))).hexdigest()
+            begin, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+            place = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield *counts.sum(axis=1).tolist(), sha, self.codes[place]
+
+
+_remembered: dict[tuple[str, str], Segments] = {}
+
+
+def remembered(byte_level: str, pieces: str) -> Segments:
+    """One for each worker process; what it remembers serves all tasks that the process runs."""
+    if (byte_level, pieces) not in _remembered:
+        _remembered[byte_level, pieces] = Segments(Tokenizers(byte_level, pieces))
+    return _remembered[byte_level, pieces]
 
 
 _BLOCK = "block bigint, places binary, pairs array<bigint>, counts array<bigint>"
 _COUNTS = "n_a bigint, n_b bigint, n_groups bigint, n_overlaps bigint, groups_sha256 string"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], tk: Tokenizers, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], known: Segments, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows of texts; the first row of each block also has the block's distinct pairs and how many links hold each."""
     number, rows, held, key_type = TaskContext.get().partitionId() << 32, [], 0, None
     long, longs = pa.int64(), pa.list_(pa.int64())
@@ -214,7 +236,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], tk: Tokenizers, names: list[str])
         key_type = batch.schema.field(0).type
         keys, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
         for group in groups([t or "" for t in texts], 4 * PART):
-            for key, row in zip(keys[at : at + len(group)], aligned(tk, group)):
+            for key, row in zip(keys[at : at + len(group)], known.aligned(group)):
                 rows.append((key, *row))
                 held += row[0] + 1
                 if held >= BLOCK:
@@ -233,7 +255,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id", te
     schema = StructType([*StructType.fromDDL(_BLOCK).fields, *keyed(source, key, _COUNTS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _blocks(batches, tokenizers(byte_level, pieces), schema.names)
+        yield from _blocks(batches, remembered(byte_level, pieces), schema.names)
 
     texts = scratch.keep(source.mapInArrow(run, schema), "texts")
     lists = texts.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "x"))

@@ -141,12 +141,16 @@ def test_alignment_matches_the_tokenizers_and_a_plain_walk(frame):
     assert sorted(tuple(r) for r in got.select(*ALIGNED).collect()) == brute_alignment(TEXTS)
 
 
-def test_alignment_in_many_blocks_and_parts_is_the_same(frame, monkeypatch):
-    monkeypatch.setattr(token_alignment, "PART", 9)
-    tk = token_alignment.tokenizers(A, B)
-    assert len(token_alignment._parts(TEXTS[-1])) > 50
-    want = brute_alignment(TEXTS)
-    got = list(token_alignment.aligned(tk, [t or "" for t in TEXTS]))
+@pytest.mark.parametrize("part,remembered", [(9, 4), (400_000, 500_000)])
+def test_alignment_of_remembered_segments_is_that_of_whole_texts(monkeypatch, part, remembered):
+    monkeypatch.setattr(token_alignment, "PART", part)
+    monkeypatch.setattr(token_alignment, "REMEMBERED", remembered)
+    known = token_alignment.Segments(token_alignment.Tokenizers(A, B))
+    rng = np.random.default_rng(1)
+    parts = ["a", "The", "fox\n", "\t", "  ", "é漢", "▁", "x" * 60, " ", "\n\n", "end.", "'s", "1234", "\u3000", "🙂"]
+    texts = TEXTS + ["".join(rng.choice(parts, 12)) for _ in range(60)] + [" ".join(rng.choice(parts, 12)) for _ in range(60)]
+    want = brute_alignment(texts)
+    got = [g for k in range(0, len(texts), 7) for g in known.aligned([t or "" for t in texts[k : k + 7]])]
     assert [(g[0], g[1], g[2], len(g[5]), g[4]) for g in got] == [(w[1], w[2], w[3], w[4], w[7]) for w in want]
 
 
