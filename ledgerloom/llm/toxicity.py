@@ -7,10 +7,11 @@ least one letter in what was written, so numbers are no words. Hits inside an ex
 that begin at one place the heaviest counts. A text's evidence is the sum of its weights, normalised by its length; a
 logistic curve over it gives the score.
 
-Weights come from `SEED` and from the labelled rows outside the held-out fold: Spark counts the toxic texts that have a word
-or stem, keeps the `CANDIDATES` most frequent ones (a bound on the model), and counts those in the texts of both labels. An
-entry's weight is the lower confidence limit of its smoothed log odds; entries that chance may have made are left out. The curve is fitted on at most `FIT_ROWS` labelled
-rows, each scored with weights that its own third of the rows had no part in. Counting covers all labelled rows.
+Weights come from `SEED` and from at most `FIT_ROWS` labelled rows outside the held-out fold, those with the least hash of
+the id; their texts are written once and counted by Spark. It counts the toxic texts that have a word or stem, keeps the
+`CANDIDATES` most frequent ones (a bound on the model), and counts those in the texts of both labels. An entry's weight is the
+lower confidence limit of its smoothed log odds; entries that chance may have made are left out. The curve is fitted on the
+same rows, each scored with weights that its own third of them had no part in. No text reaches the driver.
 
 Defined cases: a null text scores as an empty one; an empty text has no evidence and gets a score like any other; rows with
 a null label are not learned from; without toxic or without clean training rows the seed's weights and a fixed curve are
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.scratch import fold, only
+from ledgerloom.llm.scratch import Scratch, fold, only
 
 FIT_ROWS = 20_000
 CANDIDATES = 20_000
@@ -172,10 +173,13 @@ class Lexicon:
         return _logistic(self.curve[0] + sum(c * x for c, x in zip(self.curve[1:], self.evidence(text))))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, folds: int, held_out: int) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
+    """t, y and third of the rows that are learned from, in a table of their own."""
     known = only(labels, [key, label]).where(F.col(label).isNotNull() & (fold(key, folds) != held_out))
+    chosen = known.orderBy(F.xxhash64(key), key, label).limit(rows)
     third = F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int").alias("third")
-    return known.join(only(docs, [key, text]), key).select(F.col(key).alias("k"), F.col(text).alias("t"), (F.col(label) > 0).cast("int").alias("y"), third)
+    texts = chosen.join(only(docs, [key, text]), key).select(F.col(text).alias("t"), (F.col(label) > 0).cast("int").alias("y"), third)
+    return Scratch(docs.sparkSession, "toxicity").keep(texts, "labelled")
 
 
 def _counted(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
@@ -265,7 +269,7 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...
 def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
            folds: int = 4, held_out: int = 2, rows: int = FIT_ROWS, candidates: int = CANDIDATES) -> Lexicon:
     """The lexicon that the labelled rows outside the held-out fold give."""
-    known = _labelled(docs, labels, key, text, label, folds, held_out)
+    known = _labelled(docs, labels, key, text, label, folds, held_out, rows)
     totals = np.zeros((FOLDS, 2))
     for r in known.groupBy("third", "y").count().collect():
         totals[r["third"], r["y"]] = r["count"]
@@ -286,8 +290,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     def evidence(texts: pd.Series, third: pd.Series) -> pd.Series:
         return pd.Series([list(without[k].evidence(t)) for t, k in zip(texts, third)])
 
-    chosen = known.orderBy(F.xxhash64("k"), "k", "y").limit(rows)
-    got = chosen.select(evidence("t", "third").alias("x"), "y").collect()
+    got = known.select(evidence("t", "third").alias("x"), "y").collect()
+    got.sort()  # sums in one order, however the rows were dealt out
     whole.curve = _curve(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], dtype=float))
     return whole
 
