@@ -7,12 +7,14 @@ not fact rows, and a fund or company holding a third of the fact is combined bef
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.landing import materialize
+
 DAYS_PER_YEAR = 365.25
 SUMS = ["total_invested", "nav", "cost_days", "matched_rows"]
 
@@ -152,6 +154,39 @@ def measure(
     return sums.withColumns(ratios()).select(*by, "total_invested", "nav", "years_held", "moic", "irr", "matched_rows")
 
 
+def measure_slices(
+    star: Star, slices: dict[str, Sequence[str]], where: dict[str, object] | None = None, as_of: str = "",
+    keep: Callable[[DataFrame], DataFrame] = materialize,
+) -> DataFrame:
+    """M8-M11, M15-M17 together: the measures of every slice from one scan of the fact.
+
+    `slices` names sets of columns, () for the total. The fact is summed per dimension key once, and one aggregation over
+    grouping sets gives the sums of all slices; ratios are applied at each grain. A column that a slice does not have is NULL
+    there; the name of the slice tells that from the blank member. `concentration` is the share of the invested total
+    under `where`. The sums are written once, and the total is read from them.
+    """
+    columns = list(dict.fromkeys(c for by in slices.values() for c in by))
+    names = {_set_id(columns, by): name for name, by in slices.items()}
+    if len(names) < len(slices):
+        raise ValueError("two slices have the same columns")
+    sets = [[F.col(c) for c in by] for by in {(): (), **{tuple(b): b for b in slices.values()}}.values()]
+    base = slice_sums(star, columns, where, as_of) if columns else slice_sums(star, [], where, as_of).withColumn("_one", F.lit(1))
+    grouped = base.groupingSets(sets, *(columns or ["_one"])).agg(F.grouping_id().cast("long").alias("_set"), *_resum())
+    sums = keep(grouped)
+    everything = _set_id(columns, ()) if columns else sums.agg(F.max("_set")).first()[0]
+    total = sums.filter(F.col("_set") == everything).agg(F.max("total_invested").alias("t")).scalar()
+    label = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    out = sums.withColumn("slice", F.try_element_at(label, F.col("_set"))).filter("slice is not null")
+    out = out.withColumn("matched_rows", F.coalesce("matched_rows", F.lit(0)))
+    out = out.withColumns({**ratios(), "concentration": F.try_divide("total_invested", F.when(total != 0, total))})
+    return out.select("slice", *columns, "total_invested", "nav", "years_held", "moic", "irr", "concentration", "matched_rows")
+
+
+def _set_id(columns: Sequence[str], by: Sequence[str]) -> int:
+    """Grouping id of a set: a bit for each column that it leaves out, the first column's the highest."""
+    return sum(1 << (len(columns) - 1 - k) for k, c in enumerate(columns) if c not in by)
+
+
 def sector_concentration(
     star: Star, outer: Sequence[str] = (), where: dict[str, object] | None = None, as_of: str = "",
     sector: str = "sector_group",

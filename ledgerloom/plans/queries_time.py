@@ -1,4 +1,4 @@
-"""Queries over knowledge intervals, as-of merges and running totals."""
+"""Queries over knowledge intervals, as-of merges, running totals, layouts and slices."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import bitemporal, ordered, relations, temporal
+from ledgerloom.operators import bitemporal, buckets, measures, ordered, relations, temporal
 from ledgerloom.plans.queries_quality import _PIT, _probes, _versions
-from ledgerloom.plans.queries_reconcile import change_state
-from ledgerloom.plans.registry import Context, query
+from ledgerloom.plans.queries_measures import rounded
+from ledgerloom.plans.queries_reconcile import _MERGED, change_batch, change_state
+from ledgerloom.plans.registry import AS_OF, Context, query
 from ledgerloom.sources.fixtures import tag
 from ledgerloom.sources.landing import materialize
+from ledgerloom.sources.layout import cluster, files_touched, read_buckets, write_buckets
 
 #: Batch b becomes known at this moment; queries ask half a day after each, and once before all.
 KNOWN = [f"2024-02-0{b + 1} 00:00:00" for b in range(4)]
@@ -201,3 +203,73 @@ def running_lines(c: Context) -> DataFrame:
 def running_nav(c: Context) -> DataFrame:
     out = ordered.running_nav(c.star, ["investor_type"], ["effective_date", "investment_id"])
     return out.withColumns({n: F.col(n).cast("double") for n in ("invested_so_far", "nav_so_far")})
+
+
+BUCKETS = 32
+
+
+@query("T4_bucket_merge", _MERGED, covers="T4 J9")
+def bucket_merge(c: Context) -> DataFrame:
+    """The merge in place, twice: the second time changes nothing."""
+    path = f"{c.dir}/t4_buckets"
+    write_buckets(change_state(c), path, "key", BUCKETS)
+    for _ in range(2):
+        buckets.merge_buckets(path, change_batch(c), "key", ["attr"], "changed", BUCKETS)
+    return read_buckets(c.spark, path)
+
+
+_FEW = _MERGED.replace("TIMESTAMP '2024-01-16' GROUP BY 1) n", "TIMESTAMP '2024-01-16' AND user_id < 4 GROUP BY 1) n")
+
+
+@query("T4_bucket_merge_of_few", f"SELECT *, true AS untouched FROM ({_FEW})", covers="T4")
+def bucket_merge_of_few(c: Context) -> DataFrame:
+    """Four keys change: files of other buckets are the same before and after."""
+    path = f"{c.dir}/t4_few"
+    write_buckets(change_state(c), path, "key", BUCKETS)
+    files = lambda: {r[0] for r in c.spark.read.parquet(path).select("_metadata.file_path").distinct().collect()}
+    before = files()
+    few = change_batch(c).filter(F.substring_index("key", "-", -1).cast("int") < 4)
+    done = buckets.merge_buckets(path, few, "key", ["attr"], "changed", BUCKETS)
+    gone = before - files()
+    same = 0 < len(done.rewritten) <= 4 and all(any(f"_bucket={b}/" in x for b in done.rewritten) for x in gone)
+    return read_buckets(c.spark, path).withColumn("untouched", F.lit(same))
+
+
+SLICES = {"total": (), "vintage": ("vintage_year",), "sector": ("sector_group",), "vintage by sector": ("vintage_year", "sector_group"),
+          "country": ("country",)}
+_SLICE = """
+    SELECT '{name}' AS slice, {cols}, round(ti, 2) AS total_invested, round(nav, 4) AS nav, round(cd / 365.25 / ti, 6) AS years_held, round(nav / ti, 6) AS moic,
+           round(pow(nav / ti, 1 / (cd / 365.25 / ti)) - 1, 6) AS irr, round(ti / (SELECT sum(paid) FROM f), 6) AS concentration, n AS matched_rows
+    FROM (SELECT {by}sum(paid) AS ti, sum(worth) AS nav, sum(cost_days) AS cd, count(*) AS n FROM f {group})"""
+
+
+def _slices_sql() -> str:
+    columns = ["vintage_year", "sector_group", "country"]
+    kinds = {"vintage_year": "INTEGER"}
+    parts = []
+    for name, by in SLICES.items():
+        cols = ", ".join(c if c in by else f"CAST(NULL AS {kinds.get(c, 'VARCHAR')}) AS {c}" for c in columns)
+        parts.append(_SLICE.format(name=name, cols=cols, by="".join(f"{c}, " for c in by), group=f"GROUP BY {', '.join(by)}" if by else ""))
+    return " UNION ALL ".join(parts)
+
+
+@query("M15_all_slices", _slices_sql(), covers="M8 M9 M11 M15 M16 M17")
+def all_slices(c: Context) -> DataFrame:
+    return rounded(measures.measure_slices(c.star, SLICES, as_of=AS_OF))
+
+
+@query("S10_clustered_on_two", """
+    SELECT 'l_shipdate' AS filtered, count(*) AS n_rows, CAST(sum(l_quantity) AS DOUBLE) AS quantity, true AS under_a_third FROM lineitem
+    WHERE l_shipdate BETWEEN DATE '1995-03-01' AND DATE '1995-03-31'
+    UNION ALL SELECT 'l_partkey', count(*), CAST(sum(l_quantity) AS DOUBLE), true FROM lineitem WHERE l_partkey BETWEEN 11 AND 14""", covers="S10")
+def clustered(c: Context) -> DataFrame:
+    """Rows under a filter on either column, and whether it leaves less than a third of the files to be read."""
+    columns = ["l_shipdate", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity"]
+    df = cluster(c.t("lineitem").select(*columns), f"{c.dir}/s10_clustered_on_two", ["l_shipdate", "l_partkey"], 36)
+    kind = df.schema["l_shipdate"].dataType
+    parts = []
+    for column, low, high in (("l_shipdate", F.lit("1995-03-01").cast(kind), F.lit("1995-03-31").cast(kind)), ("l_partkey", F.lit(11), F.lit(14))):
+        seen = files_touched(df, column, low, high).select((F.col("n_read") * 3 < F.col("n_files")).alias("ok")).scalar()
+        parts.append(df.filter(F.col(column).between(low, high)).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").cast("double").alias("quantity")).select(
+            F.lit(column).alias("filtered"), "n_rows", "quantity", seen.alias("under_a_third")))
+    return parts[0].unionByName(parts[1])
