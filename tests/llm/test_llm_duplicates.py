@@ -90,6 +90,42 @@ def test_documents_match_brute_force(spark, seed, hundredths):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect())
 
 
+@pytest.mark.parametrize("edits", [7, 10])
+def test_a_large_group_of_near_copies_makes_about_as_many_pairs_as_members(spark, monkeypatch, edits):
+    """1,000 copies of one text; at 10 edits the worst lie around 0.8 of the text itself and below it of each other; the rows of pairs whose sketches are compared are counted."""
+    rng = random.Random(edits)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = [(k, edited(base, rng.randint(0, edits), rng)) for k in range(1000)]
+    made = []
+    similarity = near_dup._similarity
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return similarity(pairs, *rest)
+
+    monkeypatch.setattr(near_dup, "_similarity", counted)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), hundredths=80)
+    near = [(r["doc_id"], r["component_id"]) for r in got.collect()]
+    assert dict(near) == {k: c for k, (_, c) in brute_fast(rows, 80).items()}
+    assert sum(made) <= 4 * len(rows), made
+
+
+def brute_fast(rows, hundredths):
+    """As `brute`, by matrix products."""
+    sets = [shingles(t) for _, t in rows]
+    at = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(rows), len(at)), np.float32)
+    for k, x in enumerate(sets):
+        held[k, [at[y] for y in x]] = 1
+    size = held.sum(axis=1)
+    common = held @ held.T
+    links = np.argwhere(100 * common >= hundredths * (size[:, None] + size[None, :] - common))
+    groups = Groups([k for k, _ in rows])
+    for a, b in links.tolist():
+        groups.join(rows[a][0], rows[b][0])
+    return {k: (int(n), groups.find(k)) for (k, _), n in zip(rows, size)}
+
+
 def test_documents_of_the_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
