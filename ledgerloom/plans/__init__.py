@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "validate", "reconcile", "quality", "measures", "documents", "relations", "time")
+MODULES = ("sources", "validate", "reconcile", "quality", "measures", "documents", "relations", "time", "search")
 
 
 def load() -> dict:
