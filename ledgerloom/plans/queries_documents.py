@@ -159,12 +159,15 @@ def vector(c: Context) -> DataFrame:
     return retrieval.nearest(e, asked_vectors, 10)
 
 
-@query("X3_all_vectors", """
+ALL_VECTORS = """
     SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (
         SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
             SELECT q.vec_id AS query_id, e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) /
                    (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
-            FROM embeddings e, embeddings q)) WHERE rank <= 3""", covers="X3 L4")
+            FROM embeddings e, embeddings q)) WHERE rank <= 3"""
+
+
+@query("X3_all_vectors", ALL_VECTORS, covers="X3 L4")
 def all_vectors(c: Context) -> DataFrame:
     e = c.t("embeddings")
     return retrieval.nearest(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 3)

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import search_index
-from ledgerloom.plans.queries_documents import asked, held
+from ledgerloom.operators import search_index, vector_cells
+from ledgerloom.plans.queries_documents import ALL_VECTORS, asked, held
 from ledgerloom.plans.registry import Context, query
 
 
@@ -61,3 +61,19 @@ def texts_read(c: Context) -> DataFrame:
     read = search_index.indexed_search(docs, index(c), ["token"], pattern="[0-9a-f]{8}")[1].agg(F.count(F.lit(1)).alias("n"))
     every = docs.agg(F.count(F.lit(1)).alias("n"))
     return read.select(F.lit("a pattern behind a word").alias("search"), (F.col("n") < every.scalar()).alias("fewer"))
+
+
+def _all_vectors(c: Context) -> tuple[DataFrame, DataFrame]:
+    e = c.t("embeddings")
+    return vector_cells.nearest_in_cells(e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 3)
+
+
+@query("X3_all_vectors_in_cells", ALL_VECTORS, covers="X3")
+def all_in_cells(c: Context) -> DataFrame:
+    return _all_vectors(c)[0].select("query_id", "vec_id", "score", "rank")
+
+
+@query("X3_products_done", "SELECT count(*) * count(*) AS n_all, true AS counted FROM embeddings", covers="X3")
+def products(c: Context) -> DataFrame:
+    """All pairs, and whether no more of them were multiplied."""
+    return _all_vectors(c)[1].select("n_all", (F.col("n_products") <= F.col("n_all")).alias("counted"))

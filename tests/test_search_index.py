@@ -3,10 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import retrieval, search_index
+from ledgerloom.operators import retrieval, search_index, vector_cells
 from ledgerloom.session import shared_dir
 from ledgerloom.sources.landing import materialize
 from tests.conftest import rows_of
@@ -83,3 +84,31 @@ def test_a_gram_that_all_texts_have_lies_in_many_files(spark):
     assert sum(r["count"] for r in files) == 4000
     whole = index.groupBy(F.col("_metadata.file_path")).count().agg(F.max("count"), F.sum("count")).first()
     assert whole[0] < whole[1] / 20
+
+
+def test_cells_change_no_row_and_save_products(spark):
+    """Clustered vectors, ties, repeated rows, two lengths, and vectors that have no cosine."""
+    rng = np.random.default_rng(1)
+    middles = rng.normal(size=(12, 8))
+    x = (middles[rng.integers(12, size=900)] + 0.05 * rng.normal(size=(900, 8))).round(3)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, x[k % 5].tolist()) for k in range(40)]
+    rows += [(2000 + k, [1.0, float(k)]) for k in range(5)] + [(3000, None), (3001, [0.0] * 8), (3002, [float("nan")] * 8), (3003, [])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>").repartition(4)
+    asks = df.filter("vec_id % 10 = 0 or vec_id >= 2000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    want = retrieval.nearest(df, asks, 4)
+    got, counted = vector_cells.nearest_in_cells(df, asks, 4)
+    assert rows_of(got, "query_id", "vec_id", "score", "rank") == rows_of(want, "query_id", "vec_id", "score", "rank")
+    n = counted.first()
+    assert 0 < n["n_products"] < n["n_all"] / 3
+    assert vector_cells.nearest_in_cells(df.limit(0), asks, 4)[0].count() == 0
+    assert vector_cells.nearest_in_cells(df, asks.limit(0), 4)[0].count() == 0
+    more = vector_cells.nearest_in_cells(df, asks, 2000)[0]  # more than there are
+    assert rows_of(more, "query_id", "vec_id") == rows_of(retrieval.nearest(df, asks, 2000), "query_id", "vec_id")
+
+
+def test_a_large_cell_is_dealt_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vector_cells, "CHUNK", 50)
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.when(F.col("id") % 3 > 0, F.lit(0.5)).otherwise(F.col("id") / 10)).alias("embedding"))
+    asks = df.filter("vec_id < 30").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = vector_cells.nearest_in_cells(df, asks, 5)[0]
+    assert rows_of(got, "query_id", "vec_id", "rank") == rows_of(retrieval.nearest(df, asks, 5), "query_id", "vec_id", "rank")
