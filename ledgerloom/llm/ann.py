@@ -14,9 +14,10 @@ Each task returns ten rows for each query at most; the nearest of these are the
 With `BOUND` = 2.5 a true neighbour is missed with a chance of about 0.6 %; the recall measured against brute force is in
 the README.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components are neither queries nor
-candidates; vectors of unlike length are not compared; equal distances go to the smaller id; fewer than k candidates
-are all returned; ids must be distinct and not null; an empty table gives no rows; other columns are ignored.
+Defined cases: rows without an id, and vectors that are null, empty, zero or hold null or non-finite components, are neither
+queries nor candidates; vectors of unlike length are not compared; equal distances go to the smaller id; fewer than k
+candidates are all returned; repeated rows are candidates of their own, but none is one for a query of its id; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def search(vectors: DataFrame, asks: Callable[[Column], Column], k: int = 10, ke
     """query_id, rank (from 1), key and score (Euclidean distance) of the k nearest rows found for each query: the rows whose
     key `asks` accepts."""
     scratch = Scratch(vectors.sparkSession, "ann")
-    rows = as_doubles(vectors, key, vector).withColumnsRenamed({key: "id", vector: "v"}).where(usable(F.col("v")))
+    rows = as_doubles(vectors, key, vector).withColumnsRenamed({key: "id", vector: "v"}).where(F.col("id").isNotNull() & usable(F.col("v")))
     coded, mean = index(rows, seed)
     coded = scratch.keep(coded.withColumn("asks", asks(F.col("id"))), "index")
     tally = coded.agg(F.count("*"), F.count_if("asks")).first()

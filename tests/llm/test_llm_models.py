@@ -242,3 +242,35 @@ def test_odd_rows(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
     alone = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string")).first()
     assert (alone["train_tokens"], alone["n_known"], alone["base_score"]) == (0, 0, 0.0) and alone["score"] < 0
+
+
+# ---- quality: features by hand
+
+
+def test_pooled_vectors_and_output_follow_from_the_definition():
+    """Sums over plain loops: places of words and shapes, context vectors, pooling and the two layers."""
+    texts = ["Good words here, good words", "BAD!! stuff 123", "", "one"]
+    model = quality.fit(texts * 3, [1, 0, 1, 0] * 3)
+
+    def places(text):
+        out = []
+        for x in text.split():
+            word = "".join(c for c in x if c.isalpha()).lower()
+            shape, last = "", ""
+            for c in x:
+                k = "a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c
+                shape += k if not shape.endswith(k * 2) else ""
+            out.append((quality._place(word), quality._place(shape, 1)))
+        return out
+
+    for text in texts:
+        want = []
+        for side in (0, 1):
+            at = [p[side] for p in places(text)]
+            mean = sum((model.vectors[side][k].astype(float) for k in at), np.zeros(quality.DIMS)) / max(len(at), 1)
+            want += [*mean, np.linalg.norm(mean), len(set(at)) / max(len(at), 1), np.log1p(len(at))]
+        assert np.allclose(model.pooled(text), want, atol=1e-6)
+        w1, b1, w2, b2 = model.layers
+        z = np.tanh((np.array(want) - model.mean) / model.scale @ w1 + b1) @ w2 + b2
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-z / model.temperature)), abs=1e-5)
+

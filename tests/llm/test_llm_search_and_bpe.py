@@ -100,6 +100,13 @@ def test_bpe_over_rows(spark, both):
     assert byte_bpe.encode_and_decode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_vectors_without_an_id_take_no_part(spark):
+    rows = [(None, [1.0, 0.1]), (0, [1.0, 0.0]), (1, [1.0, 0.2]), (1, [1.0, 0.2]), (2, [0.0, 1.0]), (None, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, lambda key: key % 100 == 0, k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 1), (0, 3, 2)]  # repeated rows are candidates of their own
+
+
 def test_pipeline(spark, sf_dir, tmp_path):
     """Each stage against its own input: columns stay, rejected and repeated documents go, spans are masked, the rest is packed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("more", F.lit("x"))
