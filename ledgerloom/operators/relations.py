@@ -112,9 +112,14 @@ def latest_stage(rounds: DataFrame) -> DataFrame:
     return rounds.filter("is_current").groupBy("company_id").agg(last.alias("stage"))
 
 
+def _placed(dim_company: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Sector group and latest stage of each company."""
+    return dim_company.filter("is_current").select("company_id", "sector_group").join(latest_stage(rounds), "company_id")
+
+
 def comparables(dim_company: DataFrame, rounds: DataFrame, start: DataFrame) -> DataFrame:
     """H5: companies of the seed's sector group and latest stage."""
-    facts = dim_company.filter("is_current").select("company_id", "sector_group").join(latest_stage(rounds), "company_id")
+    facts = _placed(dim_company, rounds)
     target = start.join(facts, start["node"] == facts["company_id"]).select("seed", "sector_group", "stage")
     return target.join(facts, ["sector_group", "stage"]).filter(F.col("company_id") != F.col("seed")).select(
         "seed", F.col("company_id").alias("node"))
@@ -124,12 +129,23 @@ def backed_by_comparables_investors(
     dim_company: DataFrame, rounds: DataFrame, investments: DataFrame, start: DataFrame,
     keep: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
-    """H5: target, comparables, their investors, the other companies those back."""
-    edges = backing(investments)
-    near = keep(comparables(dim_company, rounds, start))
-    backers = hop(near, edges, "company_id", "investor_id", keep_start=True)
-    reached = hop(backers, edges, "investor_id", "company_id")
-    return reached.join(near, ["seed", "node"], "left_anti")
+    """H5: target, comparables, their investors, the other companies those back.
+
+    Worked out once for each sector group and stage that some seed is in, and only then paired with the seeds. An investor
+    counts for a seed if it backs a company of the group that is not the seed: any of several, or its only one there.
+    """
+    group = ["sector_group", "stage"]
+    facts = _placed(dim_company, rounds)
+    target = keep(start.join(facts, start["node"] == facts["company_id"]).select("seed", *group).distinct())
+    members = keep(facts.join(target.select(*group).distinct(), group, "left_semi"))
+    edges = backing(investments).select("investor_id", "company_id").distinct()
+    backers = edges.join(members, "company_id").groupBy(*group, "investor_id").agg(
+        (F.count(F.lit(1)) > 1).alias("several"), F.min("company_id").alias("one"))
+    reached = backers.join(edges, "investor_id").groupBy(*group, F.col("company_id").alias("node")).agg(
+        F.bool_or("several").alias("several"), F.min("one").alias("first"), F.max("one").alias("last"))
+    others = reached.join(members.withColumnRenamed("company_id", "node"), [*group, "node"], "left_anti")
+    other_than_seed = F.col("several") | (F.col("first") != F.col("seed")) | (F.col("last") != F.col("seed"))
+    return target.join(others, group).filter(other_than_seed).select("seed", "node").distinct()
 
 
 def warm_intros(people: DataFrame, portfolio: DataFrame, start: DataFrame) -> DataFrame:
