@@ -38,7 +38,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), rounds=0)
 
 
 @query("op5_quality_classifier")

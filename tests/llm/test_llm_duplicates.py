@@ -67,8 +67,8 @@ def edited(words, n, rng):
     return " ".join(words)
 
 
-@pytest.mark.parametrize(("seed", "hundredths"), [(1, 85), (2, 80), (3, 95)])
-def test_documents_match_brute_force(spark, seed, hundredths):
+@pytest.mark.parametrize(("seed", "hundredths", "rounds"), [(1, 85, 0), (2, 80, 2), (3, 95, 1), (2, 80, 0)])
+def test_documents_match_brute_force(spark, seed, hundredths, rounds):
     """Chains of edits around the threshold, one large group of near copies, a passage that many share, and odd texts."""
     rng = random.Random(seed)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
@@ -85,7 +85,7 @@ def test_documents_match_brute_force(spark, seed, hundredths):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id bigint, text string, n int, id string")
-    got = near_dup.near_duplicates(df, hundredths=hundredths)
+    got = near_dup.near_duplicates(df, hundredths=hundredths, rounds=rounds)
     assert found(got, rows) == brute(rows, hundredths)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect())
 
