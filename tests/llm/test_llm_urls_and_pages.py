@@ -158,3 +158,31 @@ def test_odd_pages_take_no_longer():
         html_text.page_lines(page)
     same = ["x"] * 9_000
     assert len(html_text.shared_lines([*same, "a"], ["b", *same])) == 9_000
+    for tag in ("<a '>' ", '<a ">" ', "<a \"'> ", "<b x='\"' y=\">' "):
+        html_text.page_lines(tag * 60_000)
+
+
+def test_tags_of_any_length_end_outside_quotes():
+    """Also beyond the number of parts that the pattern reads, and where no end is outside quotes."""
+    for n in (1, 80, 120, 5_000):
+        tag = "<div " + " ".join(f"a{k}='x>{k}'" for k in range(n)) + ">"
+        assert html_text.page_lines(f"{tag}<p>one</p></div>two") == [("one", html_text.OUTSIDE), ("two", html_text.OUTSIDE)]
+        frame = "<div " + "".join(f'a{k}=">" ' for k in range(n)) + "class='sidebar'>"
+        assert html_text.page_lines(f"{frame}<p>one</p></div>two") == [("one", html_text.FRAME), ("two", html_text.OUTSIDE)]
+        assert html_text.page_lines("<div " + "a=1 b='2' " * n + "c='>one") == [("one", html_text.OUTSIDE)]
+
+
+def test_long_alignments_are_exact(monkeypatch):
+    """4,100 lines in the same order behind 9,000 others that both have too; and small tables that are halved."""
+    same, other = [f"s{k}" for k in range(4_100)], [f"o{k}" for k in range(9_000)]
+    a, b = [*same, *other], [*other[::-1], *same]
+    assert len(html_text.shared_lines(a, b)) >= 4_100
+    assert html_text.shared_lines(a, b) >= set(range(1, 4_100))
+    rng = random.Random(5)
+    for stretch in (1, 2, 3):
+        monkeypatch.setattr(html_text, "STRETCH", stretch)
+        for _ in range(400):
+            a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 14))] for _ in range(2))
+            found = sorted(html_text.shared_lines(a, b))
+            rest = iter(b)
+            assert len(found) == table_lcs(a, b) and all(any(a[i] == y for y in rest) for i in found)
