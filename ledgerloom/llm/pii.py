@@ -1,15 +1,19 @@
 """Personal data by a semi-Markov conditional random field (operator 6).
 
 Base spans follow four fixed patterns. Further spans come from a semi-Markov model over the atoms of a text (runs of
-letters and digits, white space, single other characters). A candidate segment of at most `LONGEST` atoms has a digit in
-it and is scored as a whole: pattern checks, lengths, mixture of character classes, checksum, the word and punctuation
+letters and digits, white space, single other characters). A candidate segment of at most `LONGEST` atoms has a digit or
+an @ in it and is scored as a whole: pattern checks, lengths, mixture of character classes, checksum, the word and punctuation
 before it. A dynamic program over the positions of a window chooses the boundaries and types that together score
 highest; its entities have a bounded length, so time and memory are linear in the window. Windows are the stretches around
 characters that an entity must have; elsewhere no segment could be an entity.
 
-The weights are fitted by maximum likelihood (forward sums over all segmentations) on the driver, on at most `FIT_WINDOWS` windows
-of at most `FIT_DOCS` documents chosen by a hash of their text, labelled with the base patterns and with secrets next to a naming
-word. The bound is a parameter. The types are the four base kinds and `secret`.
+The weights are fitted by maximum likelihood (forward sums over all segmentations) on the driver, on at most `FIT_WINDOWS`
+windows of the `FIT_DOCS` documents with the least hash of their text, labelled with the base patterns, with secrets next to
+a naming word and with mailboxes of hosts without a dot. Tasks cut the windows: those of over `FIT_ATOMS` atoms are cut
+between entities, a document gives at most `FIT_EACH` of each kind, and each kind (the first entity's, or none) has an equal
+share of the windows, those with the least hash; what kinds leave over goes to the others. So neither one long text nor one
+frequent kind takes the place of the rest, and what reaches the driver is bounded in bytes: an atom of over `FIT_CHARS`
+characters is not learned from. The bounds are parameters. The types are the four base kinds and `secret`.
 
 Defined cases: a null text is an empty one and has no spans; base spans always stay, also where two kinds overlap;
 added spans overlap no base span and no other added one; texts of any length are read whole, in time linear in it; equal rows give equal results; an empty table gives no rows and fits nothing;
@@ -25,8 +29,11 @@ from math import exp, log
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ledgerloom.llm.scratch import keyed, only
 
@@ -35,6 +42,11 @@ BASE = KINDS[:4]
 LONGEST = 16
 FIT_DOCS = 6000
 FIT_WINDOWS = 600
+FIT_EACH = 4
+FIT_ATOMS = 200
+FIT_CHARS = 4000
+#: Characters before and after a window that features look at, and some to spare.
+AROUND = 40
 
 Span = tuple[str, int, int]
 
@@ -94,6 +106,9 @@ _ATOM = re.compile(r"[^\W_]+|\s+|.", re.S)
 _JOINS = set("@.+-_%()=/: ")
 _NAMING = re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|key|auth)\W{0,3}$")
 _KEY_ID = re.compile(r"[A-Z]{4}[A-Z0-9]{12,}")
+_BOX = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+")
+#: A mailbox of a host without a dot.
+_LOCALHOST = re.compile(r"(?<![\w.%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]*[A-Za-z0-9](?![\w@-]|\.\w)")
 
 
 _STRETCH = re.compile(r"[^\s\"'<>,;|]+")
@@ -131,6 +146,7 @@ def features(text: str, start: int, end: int) -> dict[str, float]:
     out["openright"] = float(end < len(text) - 1 and text[end] in "@.-_(" and text[end + 1].isalnum())
     if "@" in x:
         out["at"] = 1.0
+        out["box"] = float(bool(_BOX.fullmatch(x)))
         out["mail"] = float(bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)))
     if not letters and "@" not in x:
         if x.count(".") == 3:
@@ -153,8 +169,12 @@ def features(text: str, start: int, end: int) -> dict[str, float]:
 
 
 def taught_spans(text: str) -> list[Span]:
-    """What the model learns from: base spans, and a mixed run of letters and digits after a naming word or like a key id."""
+    """What the model learns from: base spans, mailboxes of hosts without a dot, and a mixed run of letters and digits after
+    a naming word or like a key id. By start."""
     out = base_spans(text)
+    for m in _LOCALHOST.finditer(text) if "@" in text else ():
+        if not any(a < m.end() and m.start() < b for _, a, b in out):
+            out.append(("email", *m.span()))
     for m in re.finditer(r"[A-Za-z0-9]{12,}", text):
         x = m[0]
         if not (any(c.isdigit() for c in x) and any(c.isalpha() for c in x)):
@@ -162,7 +182,7 @@ def taught_spans(text: str) -> list[Span]:
         before = text[max(0, m.start() - 24) : m.start()].rstrip("\"'")
         if (_NAMING.search(before) or _KEY_ID.fullmatch(x)) and not any(a < m.end() and m.start() < b for _, a, b in out):
             out.append(("secret", *m.span()))
-    return out
+    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 Candidates = list[list[tuple[int, dict[str, float]]]]
@@ -190,7 +210,7 @@ def candidates(text: str, atoms: list[tuple[int, int]], taken: list[Span] = ())
             if any(s < end and a < e for _, s, e in taken):
                 break
             # No entity has fewer digits than a phone number, unless it has an @, three dots or is one long mixed atom.
-            if text[end - 1].isalnum() and digits and (at or digits >= 7 or dots == 3 or i == j and end - start >= 12):
+            if text[end - 1].isalnum() and (at or digits and (digits >= 7 or dots == 3 or i == j and end - start >= 12)):
                 here.append((j + 1, features(text, a, end)))
     return out
 
@@ -250,27 +270,90 @@ class Field:
         return out
 
 
-def fit(texts: list[str], steps: int = 25, rate: float = 0.5, decay: float = 1e-3) -> Field:
+#: A stretch of a text to learn from: the kind of its first entity ("" if none), a hash, the stretch with what is around
+#: it, where the window starts and ends in it, and the entities in it.
+Taught = tuple[str, int, str, int, int, list[Span]]
+
+
+def taught_windows(text: str, each: int = FIT_EACH) -> list[Taught]:
+    """At most `each` windows of every kind, those with the least hash."""
+    spans = taught_spans(text)
+    out: dict[str, dict[tuple[int, str], Taught]] = defaultdict(dict)
+    at = 0
+    for whole in windows(text):
+        while at < len(spans) and spans[at][2] <= whole[0][0]:
+            at += 1
+        for atoms, inside in _cut(whole, spans, at):
+            lo, hi = atoms[0][0], atoms[-1][1]
+            if any(b - a > FIT_CHARS for a, b in atoms):
+                continue
+            left = max(0, lo - AROUND)
+            around = text[left : hi + AROUND]
+            kind = inside[0][0] if inside else ""
+            h = xxhash.xxh3_64_intdigest(around.encode("utf-8", "surrogatepass")) >> 1
+            held = out[kind]
+            held[h, around] = (kind, h, around, lo - left, hi - left, [(k, a - left, b - left) for k, a, b in inside])
+            if len(held) > each:
+                held.pop(max(held))
+    return [w for held in out.values() for w in held.values()]
+
+
+def _cut(atoms: list[tuple[int, int]], spans: list[Span], at: int) -> Iterator[tuple[list[tuple[int, int]], list[Span]]]:
+    """The window in stretches of at most `FIT_ATOMS` atoms and `FIT_CHARS` characters (but for a last entity or atom), and
+    the entities in each; `spans` from `at` on may lie in it. No stretch ends inside an entity of at most `FIT_CHARS`."""
+    part: list[tuple[int, int]] = []
+    inside: list[Span] = []
+    for a, b in atoms:
+        while at < len(spans) and spans[at][2] <= a:
+            at += 1
+        crossing = at < len(spans) and spans[at][1] < a and spans[at][2] - spans[at][1] <= FIT_CHARS
+        if part and not crossing and (len(part) >= FIT_ATOMS or b - part[0][0] > FIT_CHARS):
+            yield part, inside
+            part, inside = [], []
+        if at < len(spans) and spans[at][1] == a:
+            inside.append(spans[at])
+        part.append((a, b))
+    if part:
+        yield part, inside
+
+
+def fit(texts: list[str]) -> Field:
+    """The field of texts at hand."""
+    return fit_windows([w for text in texts for w in taught_windows(text)])
+
+
+def chosen_windows(found: list[Taught], most: int = FIT_WINDOWS) -> list[Taught]:
+    """Each kind's equal share of the windows with the least hash; what is left over goes to the kinds that have more."""
+    by: dict[str, list[Taught]] = defaultdict(list)
+    last = None
+    for w in sorted(found, key=lambda w: w[1:]):
+        if w != last:
+            by[w[0]].append(w)
+        last = w
+    out, left = [], most
+    for k, kind in enumerate(sorted(by, key=lambda x: (len(by[x]), x))):
+        share = by[kind][: left // (len(by) - k)]
+        out += share
+        left -= len(share)
+    return sorted(out, key=lambda w: w[1:])
+
+
+def fit_windows(found: list[Taught], steps: int = 25, rate: float = 0.5, decay: float = 1e-3) -> Field:
     """Maximum likelihood with AdaGrad steps, one window after the other."""
     taught = []
-    for text in texts:
-        spans = taught_spans(text)
-        for atoms in windows(text):
-            if len(taught) >= FIT_WINDOWS:
-                break
-            if len(atoms) > 200:
-                continue
-            cands = candidates(text, atoms)
-            first, after = {a: i for i, (a, _) in enumerate(atoms)}, {b: i + 1 for i, (_, b) in enumerate(atoms)}
-            gold, used = {}, 0
-            for kind, a, b in spans:
-                i, j = first.get(a), after.get(b)
-                if i is not None and j is not None and i >= used and j - i <= LONGEST:
-                    f = dict(cands[i]).get(j)
-                    if f is not None:
-                        gold[i, j, kind] = f
-                        used = j
-            taught.append((cands, gold))
+    for _, _, text, lo, hi, spans in chosen_windows(found):
+        atoms = [m.span() for m in _ATOM.finditer(text, lo, hi)]
+        cands = candidates(text, atoms)
+        first, after = {a: i for i, (a, _) in enumerate(atoms)}, {b: i + 1 for i, (_, b) in enumerate(atoms)}
+        gold, used = {}, 0
+        for kind, a, b in spans:
+            i, j = first.get(a), after.get(b)
+            if i is not None and j is not None and i >= used and j - i <= LONGEST:
+                f = dict(cands[i]).get(j)
+                if f is not None:
+                    gold[i, j, kind] = f
+                    used = j
+        taught.append((cands, gold))
     field, seen = Field(), defaultdict(float)
     for _ in range(steps if taught else 0):
         moved = 0.0
@@ -295,14 +378,29 @@ def fit(texts: list[str], steps: int = 25, rate: float = 0.5, decay: float = 1e-
 
 
 def fit_on(docs: DataFrame, text: str = "text", rows: int = FIT_DOCS) -> Field:
-    """Learns from the `rows` documents with the least hash of their text, as far as they have a digit or @. Equal texts
-    count once. Hashes alone are ordered; texts are only fetched below the last hash."""
+    """Learns from the `rows` documents with the least hash of their text, as far as they have a digit or @. Equal
+    windows count once. Hashes alone are ordered; texts are only read below the last hash, in tasks, and at most `FIT_WINDOWS`
+    windows of a kind come to the driver."""
     hashed = docs.select(F.col(text).alias("t")).where("t is not null").select(F.xxhash64("t").alias("h"), "t")
     last = hashed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if last is None:
         return Field()
-    chosen = hashed.where((F.col("h") <= last) & F.col("t").rlike("[0-9@]")).groupBy("h").agg(F.min("t").alias("t"))
-    return fit([r["t"] for r in chosen.orderBy("h").collect()])
+    chosen = hashed.where((F.col("h") <= last) & F.col("t").rlike("[0-9@]")).select("t")
+    parts = "kind string, h bigint, around string, lo int, hi int, spans array<struct<kind:string,a:int,b:int>>"
+    schema = StructType.fromDDL(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            rows = [w for t in batch.column(0) for w in taught_windows(t.as_py())]
+            spans = [[dict(zip("kind a b".split(), x)) for x in w[5]] for w in rows]
+            columns = [*([w[k] for w in rows] for k in range(5)), spans]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    order = ["h", "around", "lo", "hi", "spans"]
+    best = chosen.mapInArrow(run, schema).distinct().withColumn(
+        "n", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("n") <= FIT_WINDOWS)
+    return fit_windows([(*r[:5], [tuple(x) for x in r["spans"]]) for r in best.drop("n").collect()])
 
 
 def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
