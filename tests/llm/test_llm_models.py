@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import bit_mixing, lm, pii, quality
 
@@ -156,6 +157,35 @@ def test_odd_texts_and_masks(spark, field):
     assert pii.detect(df.limit(0)).count() == 0
 
 
+def ordinary(k):
+    return (f"row {k}: write to mail{k}.x@host{k % 9}.example.com or {'abcdefghij'[k % 10]}bc@{['build', 'localhost', 'relay'][k % 3]} from {k % 256}.1.{k % 99}.7, "
+            f"password={k:x}fe{k * 7919:x}a9{k * k:x}c0, +1 (5{k % 90 + 10}) 555-{1000 + k}, page {k} of {k * 13}, {card(k)} paid")
+
+
+def test_one_long_text_does_not_fill_the_fit(spark):
+    """2,000 numbers in one text, before and after others in hash order, leave what the other texts teach."""
+    numbers = " ".join(str(k * 37 % 10_007) for k in range(2_000))
+    rows = [(k, ordinary(k)) for k in range(60)] + [(100 + k, f"{numbers} {k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    field = pii.fit_on(docs)
+    text = "now jane@localhost, password=7602ad27cf5550de1c and +1 (269) 555-3296; page 12 of 300 by sum@2 x"
+    spans = [(k, text[a:b]) for k, a, b in pii.find(text, field)[1]]
+    assert [x for x in spans if x[0] != "email"] == [("secret", "7602ad27cf5550de1c"), ("phone", "+1 (269) 555-3296")]
+    assert ("email", "jane@localhost") in spans
+    assert pii.fit([t for _, t in rows]).w == field.w
+    assert pii.fit_on(docs.repartition(7)).w == field.w
+
+
+def test_windows_are_cut_between_entities():
+    text = " ".join([*(str(k) for k in range(500)), "+1 (269) 555-3296 x", *(str(k) for k in range(700)), "1." * 3000, "9" * 5000])
+    found = pii.taught_windows(text, each=1000)
+    assert sum(w[0] == "phone" for w in found) == 1 and len(found) > 5
+    for kind, _, around, lo, hi, spans in found:
+        assert hi - lo <= pii.FIT_CHARS + 50 and len(around) <= hi - lo + 2 * pii.AROUND
+        assert all(lo <= a and b <= hi for _, a, b in spans) and kind == (spans[0][0] if spans else "")
+    assert len(pii.taught_windows(text)) <= 3 * pii.FIT_EACH
+
+
 # ---- language model
 
 
@@ -274,3 +304,29 @@ def test_pooled_vectors_and_output_follow_from_the_definition():
         z = np.tanh((np.array(want) - model.mean) / model.scale @ w1 + b1) @ w2 + b2
         assert model.score(text) == pytest.approx(1 / (1 + np.exp(-z / model.temperature)), abs=1e-5)
 
+
+
+def test_long_parts_are_read_to_their_end():
+    """Parts that differ after their 24th class only, and texts without white space."""
+    same = "a1-" * 8
+    features = quality.Features()
+    one, two = (features.places(same + tail) for tail in ("b2b2:::b2/b2", "b-b-b,,,22"))
+    assert [len(x) for x in one] == [len(one[0])] * 2 and (len(one[1]) != len(two[1]) or (one[1] != two[1]).any())
+    run = "abcdefghijklmnopqrstuvwxyzabcde"
+    assert list(quality._parts(f"x {run}12 y")) == ["x", *(run[k : k + 3] for k in range(len(run) - 2)), "12", "y"]
+    text = "漢字" * 300_000
+    assert len(features.places(text)[0]) == 600_000 - quality.GRAM + 1
+
+
+def test_fit_on_a_table_is_the_fit_of_its_texts(spark):
+    """Neighbour sums and pooled rows come from tasks; a text of 50 MB among the fitted rows stays there."""
+    rows = [(k, f"word{k % 7} and more{k % 5} of it, {'GOOD' if k % 2 else 'bad!!'} {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, quality int")
+    model = quality.fit_on(docs, labels)
+    known = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id")).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    want = quality.fit([dict(rows)[k] for k in known], [k % 2 for k in known])
+    assert all((a == b).all() for a, b in zip(model.vectors, want.vectors)) and model.temperature == want.temperature
+    assert all(model.score(t) == want.score(t) for _, t in rows)
+    long = docs.unionByName(spark.range(1).selectExpr("3 doc_id", "repeat('plain words ', 4200000) text"))
+    assert 0 <= quality.fit_on(long, labels).score("plain words") <= 1
