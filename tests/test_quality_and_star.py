@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import vocab as v
 from ledgerloom.functions.scalars import surrogate_key
 from ledgerloom.operators import quality, star
-from ledgerloom.plans.medallion import CONFORMED_KEYS, REFERENCES, run
+from ledgerloom.plans.medallion import CONFORMED_KEYS, REFERENCES, Medallion, run
 from ledgerloom.plans.queries_quality import entity_report
 from ledgerloom.plans.registry import RESOLVED_AT, groups_of_segments
+from ledgerloom.sources.landing import materialize
 from ledgerloom.sources.fixtures import Fixtures
 from tests.conftest import rows_of
 
@@ -101,6 +102,45 @@ def test_run_writes_every_stage_and_certifies(spark, sf_dir, tmp_path):
     assert m.fact.count() == 3402
 
 
+def test_feeds_are_not_copied_and_edges_are_joined_once(spark, sf_dir):
+    kept = []
+
+    def keep(name, df):
+        kept.append((name, df.columns))
+        return materialize(df)
+
+    m = Medallion(Fixtures(spark, sf_dir, keep), RESOLVED_AT, groups_of_segments(), keep)
+    assert m.fact.count() == 3402
+    names = [name for name, _ in kept]
+    assert not [n for n in names if n.startswith(("landing_", "stg_tagged_"))] and names.count("edge_base") == 1
+    assert not [n for n, columns in kept if "_record_id" in columns]
+    tagged = m.gates["feed_a", "investments"].tagged
+    assert tagged.columns == [*m.landing["feed_a", "investments"].columns, "_quarantine_reason", "_valid"]
+    # The hash of the record id is worked out behind the join with the repeated keys.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tagged.select("_record_id", "_valid")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("sha2(") < plan.index("Join ") and plan.count("sha2(") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_provider_without_raw_feeds_is_written_once(spark, sf_dir):
+    class Plain:
+        def __init__(self):
+            self.inner = Fixtures(spark, sf_dir)
+            self.feed, self.mapping = self.inner.feed, self.inner.mapping
+
+    names = []
+
+    def keep(name, df):
+        names.append(name)
+        return materialize(df)
+
+    assert Medallion(Plain(), RESOLVED_AT, groups_of_segments(), keep).fact.count() == 3402
+    assert names.count("landing_feed_a_investments") == 1
+
+
 def test_run_sets_unmapped_rows_apart(spark, sf_dir, tmp_path):
     class Partial(Fixtures):
         def mapping(self, entity_type=None):

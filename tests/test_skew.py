@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.sources.landing import materialize
 from ledgerloom.operators import quality, reconcile, relations, star, temporal
 from ledgerloom.operators.identity import remap
-from ledgerloom.operators.validate import with_key_count
+from ledgerloom.operators.validate import repeated_keys, with_key_count
 from ledgerloom.sources.landing import materialize
 
 N = 60_000
@@ -89,6 +89,20 @@ def test_repeated_keys_are_counted_not_gathered(spark, big):
     assert in_place.filter("_copies > 1").count() == N // 3
 
 
+def test_rows_tagged_by_key_are_in_place_for_a_join_on_it(spark):
+    """NULL keys are counted aside, so one shuffle of the feed serves the tag and the identity map."""
+    feed = materialize(spark.sql("SELECT if(id < 3, NULL, concat('k', id div 2)) AS k, id FROM range(1000)"))
+    known = materialize(repeated_keys(feed, "k"))
+    ids = spark.sql("SELECT concat('k', id) AS k, id AS canonical FROM range(600)")
+    with cluster_like(spark):
+        tagged = with_key_count(feed, "k", repeated=known)
+        plan = tagged.join(materialize(ids), "k", "left")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3
+        want = with_key_count(feed, "k")
+        assert sorted(map(tuple, tagged.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        assert {r["_copies"] for r in tagged.filter("k is null").collect()} == {3}
+
+
 def test_alignment_combines_a_hot_id_before_the_shuffle(spark, big):
     feed = big.select(F.col("k").alias("canonical_id"), F.col("width").alias("_record_id"), F.col("id").alias("v"))
     df = reconcile.align({"feed_a": feed, "feed_b": feed}, "canonical_id", ["v"])
