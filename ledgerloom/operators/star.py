@@ -87,7 +87,8 @@ def pit_join(
     for each slice of so many days that they touch and the slice joins the equality, so facts meet only the
     versions of their own slice, and a hot key is spread over the slices. Choose `days` near the usual length of a
     version: shorter slices repeat versions, longer ones spread less. Dates outside the range fall in its end
-    slices, which keeps the result the same.
+    slices, which keeps the result the same. Repeated versions are many times what the dimension's files suggest, so the
+    sliced join always sorts and merges: a broadcast planned by the files' size would not fit the driver.
     """
     d = dim.select(F.col(key).alias("_k"), F.col(sk).alias("_sk"), F.col("valid_from").alias("_vf"),
                    F.col("valid_to").alias("_vt"))
@@ -101,7 +102,7 @@ def pit_join(
             return F.when(c.isNotNull(), F.floor(F.datediff(inside, first) / slices[2]).cast("int"))
 
         d = d.filter("_vf < _vt").withColumn(
-            "_slice", F.explode(F.sequence(slice_of(F.col("_vf")), slice_of(F.date_sub("_vt", 1)))))
+            "_slice", F.explode(F.sequence(slice_of(F.col("_vf")), slice_of(F.date_sub("_vt", 1))))).hint("merge")
         f = f.withColumn("_at_slice", slice_of(F.col(at)))
         on = on & (F.col("_at_slice") == F.col("_slice"))
     joined = f.join(d, on, "left").withColumnRenamed("_sk", sk)

@@ -77,6 +77,15 @@ def test_point_in_time_join_splits_a_hot_key(spark, big):
         assert sliced.exceptAll(out.select(sliced.columns)).count() == 0 and sliced.count() == N
 
 
+def test_sliced_versions_are_not_broadcast(spark):
+    """200 versions in a file of some kB are 72,800 rows when sliced by day, which the file's size does not tell."""
+    dim = materialize(spark.sql("SELECT concat('k', id) k, sha2(concat('k', id), 256) sk, date'2020-01-01' valid_from, date'9999-12-31' valid_to FROM range(200)"))
+    facts = spark.sql("SELECT concat('k', id % 201) k, date_add(date'2020-01-01', cast(id % 400 AS int)) at, id FROM range(2000)")
+    out = star.pit_join(facts, "at", dim, "k", "sk", slices=("2020-01-01", "2020-12-30", 1))
+    assert "Broadcast" not in final_plan(out)
+    assert out.filter("sk is not distinct from if(k = 'k200', null, sha2(k, 256))").count() == out.count() == 2000
+
+
 def test_repeated_keys_are_counted_not_gathered(spark, big):
     with cluster_like(spark):
         lazy = with_key_count(big, "k")
