@@ -14,6 +14,8 @@ from ledgerloom.sources.landing import materialize
 
 #: Vectors that the cells are fitted on, at most, the most cells, and the rows of a cell that one task holds, about.
 FIT_ROWS, CELLS, CHUNK = 4096, 256, 4096
+#: Queries that meet a chunk of a cell in one task, about, and those that are multiplied at once.
+BLOCK, AT_ONCE = 4096, 256
 
 
 def _fit(x: np.ndarray, cells: int, steps: int = 8, seed: int = 3) -> np.ndarray:
@@ -43,7 +45,8 @@ def nearest_in_cells(
     its nearest centre, and each cell knows its radius. By the triangle inequality nothing in a cell is nearer to a query
     than the distance to the centre less the radius. A query first visits the cells of the lowest bounds that together hold
     k vectors; the k-th distance there is one that the result keeps, so cells whose bound is beyond it are never visited. That
-    is exact whatever the cells are; they only decide how much is left out. A large cell is dealt over several tasks.
+    is exact whatever the cells are; they only decide how much is left out. A large cell is dealt over several tasks, and so
+    are the queries that visit it: a task holds a chunk of its rows and a block of its queries, however many there are.
     """
     held = keep(vectors.select(F.col(vec_id).alias("_v"), _unit(F.col(embedding)).alias("_x"))).filter("_x is not null")
     asked = keep(queries.select(F.col(query_id).alias("_q"), _unit(F.col(query)).alias("_y"))).filter("_y is not null")
@@ -89,25 +92,33 @@ def nearest_in_cells(
         "_q", "_dim", "_cell", "_n", "_chunks", F.greatest(F.col("_d") - F.col("_radius"), F.lit(0.0)).alias("_bound")))
     nearer = Window.partitionBy("_q").orderBy("_bound", "_cell")  # at most CELLS rows
     ways = ways.withColumn("_before", F.coalesce(F.sum("_n").over(nearer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    by = ["_dim", "_cell", "_chunk"]
+    by = ["_dim", "_cell", "_chunk", "_block"]
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         q, v = left.column("_q"), right.column("_v")
-        score = _rows(left.column("_y")) @ _rows(right.column("_x")).T if len(left) and len(right) else np.zeros((0, 0))
-        score = np.round(score, digits)
-        best = [np.lexsort((np.asarray(v), -s))[:k] for s in score]  # ties by id
-        row = [i for i, b in enumerate(best) for _ in b]
-        at = np.concatenate(best) if best else np.zeros(0, int)
-        return pa.table({"q": q.take(pa.array(row, pa.int64())), "v": v.take(pa.array(at, pa.int64())),
-                         "score": pa.array(score[row, at] if row else [], pa.float64())})
+        row, at, found = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        if len(left) and len(right):
+            y, x, ids = _rows(left.column("_y")), _rows(right.column("_x")), np.asarray(v)
+            for start in range(0, len(y), AT_ONCE):
+                score = np.round(y[start : start + AT_ONCE] @ x.T, digits)
+                best = np.array([np.lexsort((ids, -s))[:k] for s in score])  # ties by id
+                row.append(np.repeat(np.arange(start, start + len(score)), best.shape[1]))
+                at.append(best.ravel())
+                found.append(np.take_along_axis(score, best, axis=1).ravel())
+        return pa.table({"q": q.take(pa.array(np.concatenate(row), pa.int64())), "v": v.take(pa.array(np.concatenate(at), pa.int64())),
+                         "score": pa.array(np.concatenate(found), pa.float64())})
 
     dealt = rows.join(of_cell.select("_dim", "_cell", "_chunks"), ["_dim", "_cell"]).withColumn(
-        "_chunk", F.pmod(F.xxhash64("_v"), F.col("_chunks")).cast("int")).select("_v", "_x", *by)
+        "_chunk", F.pmod(F.xxhash64("_v"), F.col("_chunks")).cast("int")).select("_v", "_x", *by[:3])
     kinds = [queries.schema[query_id].dataType.simpleString(), vectors.schema[vec_id].dataType.simpleString()]
 
     def visited(some: DataFrame) -> DataFrame:
-        grid = some.join(asked, "_q").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).select("_q", "_y", *by)
-        found = grid.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(rank, f"q {kinds[0]}, v {kinds[1]}, score double")
+        blocks = some.groupBy("_dim", "_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+        grid = some.join(asked, "_q").join(blocks, ["_dim", "_cell"]).withColumns({
+            "_block": F.pmod(F.xxhash64("_q"), F.col("_blocks")).cast("int"),
+            "_chunk": F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))}).select("_q", "_y", *by)
+        met = dealt.join(blocks, ["_dim", "_cell"]).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        found = grid.groupBy(*by).cogroup(met.select("_v", "_x", *by).groupBy(*by)).applyInArrow(rank, f"q {kinds[0]}, v {kinds[1]}, score double")
         return found.filter("not isnan(score)").select(
             F.col("q").alias(query_id), F.col("v").alias(vec_id), F.round("score", digits).alias("score"))
 

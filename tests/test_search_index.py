@@ -112,3 +112,25 @@ def test_a_large_cell_is_dealt_over_several_tasks(spark, monkeypatch):
     asks = df.filter("vec_id < 30").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     got = vector_cells.nearest_in_cells(df, asks, 5)[0]
     assert rows_of(got, "query_id", "vec_id", "rank") == rows_of(retrieval.nearest(df, asks, 5), "query_id", "vec_id", "rank")
+
+
+def test_a_task_holds_a_block_of_the_queries_of_a_cell(spark, monkeypatch):
+    rows_at_once = vector_cells._rows
+
+    def small(column):
+        if len(column) > 250:
+            raise ValueError(f"{len(column)} vectors in one task")
+        return rows_at_once(column)
+
+    rng = np.random.default_rng(5)
+    data = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(600)], "vec_id long, embedding array<double>")
+    asks = data.selectExpr("vec_id query_id", "embedding query")
+    want = sorted(map(tuple, vector_cells.nearest_in_cells(data, asks, 3)[0].collect()))
+    monkeypatch.setattr(vector_cells, "_rows", small)
+    for name, value in (("FIT_ROWS", 100), ("CELLS", 1), ("CHUNK", 100), ("BLOCK", 100), ("AT_ONCE", 7)):
+        monkeypatch.setattr(vector_cells, name, value, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert sorted(map(tuple, vector_cells.nearest_in_cells(data, asks, 3)[0].collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
