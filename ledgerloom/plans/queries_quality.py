@@ -49,7 +49,8 @@ def broken_references(c: Context) -> DataFrame:
 def entity_report(c: Context, entity: str, df: DataFrame | None = None) -> DataFrame:
     key = CONFORMED_KEYS[entity]
     if entity in ENTITY_KEYS:
-        expected = quality.expected_from_map(c.m.mapping, ENTITY_KEYS[entity][0])
+        kind = ENTITY_KEYS[entity][0]
+        expected = quality.expected_from_map(c.m.maps[kind], kind)
     else:
         expected = quality.expected_from_feed(c.m.valid("internal", entity))
     return quality.check_entity(

@@ -193,7 +193,7 @@ def summary(c: Context) -> DataFrame:
                  count(*) FILTER (WHERE NOT (in_a AND in_b) AND NOT both_cover) AS coverage_gaps FROM ed)""", covers="R15 A9 U6 J13")
 def profile(c: Context) -> DataFrame:
     df = reconcile.rate_profile(
-        c.m.mapping.filter("entity_type = 'company'"), c.m.reconciled["funding_rounds"], c.m.reconciled["investments"])
+        c.m.maps["company"], c.m.reconciled["funding_rounds"], c.m.reconciled["investments"])
     return df.withColumns({x: F.round(x, 6) for x in df.columns if x.endswith("_rate")})
 
 
@@ -218,7 +218,7 @@ def inner(c: Context) -> DataFrame:
 def merged(c: Context) -> DataFrame:
     def side(s: str, suffix: str) -> DataFrame:
         df = c.m.landing[s, "funding_rounds"].select("vendor_round_id", F.col("amount_raised").alias(f"amount_{suffix}"))
-        return attach_canonical(df, c.m.mapping, "funding_round", s, "vendor_round_id", "round_id").drop("vendor_round_id")
+        return attach_canonical(df, c.m.maps["funding_round"], "funding_round", s, "vendor_round_id", "round_id").drop("vendor_round_id")
 
     return side("feed_a", "a").join(side("feed_b", "b"), "round_id")
 

@@ -73,7 +73,8 @@ def table_overwrite(c: Context) -> DataFrame:
     UNION ALL SELECT 'internal', unnest(['people', 'deals', 'documents']), false""", covers="S6 S7")
 def conditional_sink(c: Context) -> DataFrame:
     c.m.gates.build()
-    rows = [(s, e, landing.save_if_any(c.m.gates[s, e].quarantine, f"{c.dir}/quarantine_{s}_{e}")) for s, e in FEEDS]
+    rows = [(s, e, landing.save_if_any(c.m.gates[s, e].quarantine, f"{c.dir}/quarantine_{s}_{e}", c.m.gates[s, e].suspects))
+            for s, e in FEEDS]
     return c.spark.createDataFrame(rows, "source string, entity string, written boolean")
 
 

@@ -69,7 +69,7 @@ def map_completeness(c: Context) -> DataFrame:
     for entity in SHARED_ENTITIES:
         kind, key = ENTITY_KEYS[entity]
         vendor = CONTRACTS[entity].pk
-        own = c.m.mapping.filter(F.col("entity_type") == kind)
+        own = c.m.maps[kind]
         ids = reduce(DataFrame.unionByName, [
             c.m.landing[s, entity].select(F.lit(s).alias("source_system"), F.col(vendor).alias("vendor_id")) for s in SOURCES])
         on = ["source_system", "vendor_id"]
@@ -165,13 +165,13 @@ def lineage(c: Context) -> DataFrame:
 def attach(c: Context) -> DataFrame:
     # The raw feed: repeated edges are not in the map and stay unmapped.
     df = c.m.landing["feed_a", "investments"].select("vendor_investment_id")
-    return attach_canonical(df, c.m.mapping, "investment", "feed_a", "vendor_investment_id").withColumn(
+    return attach_canonical(df, c.m.maps["investment"], "investment", "feed_a", "vendor_investment_id").withColumn(
         "is_unmapped", F.col("canonical_id").isNull())
 
 
 @query("R2_source_coverage", """
     SELECT company_id AS canonical_id, CAST(in_a AS BIGINT) + CAST(in_b AS BIGINT) AS n_sources FROM co""", covers="R2 A3")
 def source_coverage(c: Context) -> DataFrame:
-    return coverage(c.m.mapping)
+    return coverage(c.m.maps["company"])
 
 

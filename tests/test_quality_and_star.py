@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import vocab as v
 from ledgerloom.functions.scalars import surrogate_key
-from ledgerloom.operators import quality, star
+from ledgerloom.operators import quality, reconcile, star, validate
+from ledgerloom.operators.identity import coverage
 from ledgerloom.plans.medallion import CONFORMED_KEYS, REFERENCES, Medallion, run
 from ledgerloom.plans.queries_quality import entity_report
 from ledgerloom.plans.registry import RESOLVED_AT, groups_of_segments
+from ledgerloom.sources import landing
+from ledgerloom.sources.contracts import CONTRACTS
 from ledgerloom.sources.landing import materialize
 from ledgerloom.sources.fixtures import Fixtures
 from tests.conftest import rows_of
@@ -162,3 +165,44 @@ def test_run_stops_on_a_hard_failure(spark, sf_dir, tmp_path):
     with pytest.raises(quality.QualityError, match="deals.company_id"):
         run(spark, Broken(spark, sf_dir), str(tmp_path), RESOLVED_AT, groups_of_segments())
     assert (tmp_path / "dq_assertions_report").exists()
+
+
+def test_rounds_and_companies_do_not_wait_for_the_edges(spark, sf_dir):
+    names = []
+
+    def keep(name, df):
+        names.append(name)
+        return materialize(df)
+
+    m = Medallion(Fixtures(spark, sf_dir, keep), RESOLVED_AT, groups_of_segments(), keep)
+    assert m.conformed["funding_rounds"].count() and m.conformed["companies"].count() and m.identified("feed_a", "investors").count()
+    assert not [n for n in names if n == "edge_base" or n.endswith(("investments", "=investment"))]
+
+
+def test_coverage_comes_with_the_company_key_and_orders_are_short(spark, sf_dir):
+    m = Medallion(Fixtures(spark, sf_dir), RESOLVED_AT, groups_of_segments())
+    apart = reconcile.reconcile_investments(m.aligned("investments"), coverage(m.maps["company"]))
+    columns = ["canonical_id", "company_id", "is_genuine", "is_coverage", "reconciliation_status", "conflicts"]
+    assert rows_of(m.reconciled["investments"], *columns) == rows_of(apart, *columns)
+    assert m.reconciled["investments"].columns == apart.columns
+    ordered, by = m._ordered("feed_a", "investors")
+    assert ordered.schema[by].dataType.simpleString() == "bigint"
+    assert ordered.orderBy(by).select("_record_id").collect() == ordered.orderBy("_record_id").select("_record_id").collect()
+
+
+def test_rows_set_apart_are_worked_out_once_for_the_write(spark, sf_dir, tmp_path):
+    m = Medallion(Fixtures(spark, sf_dir), RESOLVED_AT, groups_of_segments())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for feed, bad in ((("feed_a", "investments"), True), (("feed_a", "companies"), False)):
+            gate = validate.validate_feed(m.landing[feed], CONTRACTS[feed[1]], repeated=materialize(
+                validate.repeated_keys(m.landing[feed], CONTRACTS[feed[1]].pk)))
+            assert gate.suspects.isEmpty() == gate.quarantine.isEmpty() == (not bad)
+            joins = [d._jdf.queryExecution().optimizedPlan().toString().count("Join ") for d in (gate.suspects, m.landing[feed], gate.quarantine)]
+            assert joins[0] <= joins[1] < joins[2]
+            assert landing.save_if_any(gate.quarantine, str(tmp_path / "q"), gate.suspects) == bad
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Lineage is stamped behind the join with the identity map too, so no hash travels to it.
+    plan = m.identified("feed_b", "funding_rounds").select("_record_id", "canonical_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sha2(") < plan.index("Join ") and plan.count("sha2(") == 1
