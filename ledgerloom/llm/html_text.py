@@ -295,9 +295,9 @@ def _nearest(page: Page, before: Page | None, after: Page | None) -> Page | None
 PAGE = "struct<host:string,path:string,lines:array<bigint>,sizes:array<int>>"
 #: A page, or (page null) what others need of a partition: its first and last page, and of the runs that start after the
 #: first page the first one's first page and the page before the last one.
-CUT = f"part int, at bigint, h1 bigint, h2 bigint, marked boolean, page {PAGE}, first {PAGE}, last {PAGE}, start {PAGE}, ahead {PAGE}"
+CUT = f"part int, at bigint, h1 bigint, h2 bigint, page {PAGE}, first {PAGE}, last {PAGE}, start {PAGE}, ahead {PAGE}"
 #: Sorted before a partition's pages: the page before it, the one before the run that is open there, the next run's first.
-BORDER = f"part int, at bigint, h1 bigint, h2 bigint, marked boolean, page {PAGE}, previous {PAGE}, ahead {PAGE}, after {PAGE}"
+BORDER = f"part int, at bigint, h1 bigint, h2 bigint, page {PAGE}, previous {PAGE}, ahead {PAGE}, after {PAGE}"
 
 
 def _page(x: dict | None) -> Page | None:
@@ -337,7 +337,7 @@ def _hashed(rows: Iterator[dict]) -> Iterator[tuple]:
         lines = page_lines(r["_html"])
         if lines:
             hashes = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in lines]
-            yield (r["_key"], r["h1"], r["h2"], any(zone == ARTICLE for _, zone in lines),
+            yield (r["_key"], r["h1"], r["h2"],
                    {"host": r["_host"], "path": r["_path"], "lines": hashes, "sizes": [len(x) for x, _ in lines]})
 
 
@@ -352,9 +352,9 @@ def _cut(rows: Iterator[dict]) -> Iterator[tuple]:
         elif _starts(last, page):
             start, ahead = start or page, last
         last = page
-        yield part, at, r["h1"], r["h2"], r["marked"], r["page"], None, None, None, None
+        yield part, at, r["h1"], r["h2"], r["page"], None, None, None, None
     if first is not None:
-        yield part, -1, None, None, None, None, _row(first), _row(last), _row(start), _row(ahead)
+        yield part, -1, None, None, None, _row(first), _row(last), _row(start), _row(ahead)
 
 
 def _opened(rows: Iterator[dict]) -> Iterator[tuple]:
@@ -367,7 +367,7 @@ def _opened(rows: Iterator[dict]) -> Iterator[tuple]:
 
 
 def _shared(rows: Iterator[dict]) -> Iterator[tuple]:
-    """For unmarked pages the places of lines that the nearest page has too. Rows by partition, its borders first."""
+    """The places of lines that the nearest page has too, marked or not. Rows by partition, its borders first."""
     last: Page | None = None
     ahead: Page | None = None
     after: Page | None = None
@@ -390,16 +390,15 @@ def _shared(rows: Iterator[dict]) -> Iterator[tuple]:
         if _starts(last, page):
             yield from closed(page)
             ahead = last
-        if not r["marked"]:
-            run.append((r["h1"], r["h2"], page))
+        run.append((r["h1"], r["h2"], page))
         last = page
     yield from closed(after)
 
 
 def shared_places(source: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h1, h2, shared) of the unmarked pages that share lines with their neighbour."""
+    """(h1, h2, shared) of the pages that share lines with their neighbour."""
     pages = _mapped(source.where("_host <> ''").select("_key", "h1", "h2", "_host", "_path", "_html"),
-                    keyed(source, "_key", f"h1 bigint, h2 bigint, marked boolean, page {PAGE}"), _hashed)
+                    keyed(source, "_key", f"h1 bigint, h2 bigint, page {PAGE}"), _hashed)
     order = ["page.host", "page.path", "_key", "h1", "h2"]
     ordered = pages.repartitionByRange(*order).sortWithinPartitions(*order)
     cut = scratch.keep(_mapped(ordered, CUT, _cut), "cut")
@@ -407,11 +406,11 @@ def shared_places(source: DataFrame, scratch: Scratch) -> DataFrame:
     ends = cut.where("page is null").select("part", F.lag("last").over(along).alias("previous"), "first", "start", "ahead")
     opened = scratch.keep(_mapped(ends, f"part int, previous {PAGE}, start {PAGE}, ahead {PAGE}", _opened), "opened")
     borders = opened.select(
-        "part", F.lit(-1).cast("bigint").alias("at"), *(F.lit(None).cast(t).alias(c) for c, t in (("h1", "bigint"), ("h2", "bigint"), ("marked", "boolean"), ("page", PAGE))),
+        "part", F.lit(-1).cast("bigint").alias("at"), *(F.lit(None).cast(t).alias(c) for c, t in (("h1", "bigint"), ("h2", "bigint"), ("page", PAGE))),
         "previous", F.last("ahead", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("ahead"),
         F.last("start", True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("after"))
     rows = cut.where("page is not null").select(
-        "part", "at", "h1", "h2", "marked", "page", *(F.lit(None).cast(PAGE).alias(c) for c in ("previous", "ahead", "after")))
+        "part", "at", "h1", "h2", "page", *(F.lit(None).cast(PAGE).alias(c) for c in ("previous", "ahead", "after")))
     rows = rows.union(borders).repartitionByRange("part").sortWithinPartitions("part", "at")
     return scratch.keep(_mapped(rows, "h1 bigint, h2 bigint, shared array<int>", _shared).dropDuplicates(["h1", "h2"]), "shared")
 
@@ -427,17 +426,16 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit("")).alias("_path"), F.col(html).alias("_html"))
     shared = shared_places(source, Scratch(pages.sparkSession, "pages"))
 
-    def told(open_pages: bool) -> Callable[[Iterator[dict]], Iterator[tuple]]:
-        """Texts of the pages that need no neighbour, or lines of those that do."""
-
-        def work(rows: Iterator[dict]) -> Iterator[tuple]:
-            for r in rows:
-                lines = page_lines(r["_html"])
-                if open_pages != (not r["_host"] or any(zone == ARTICLE for _, zone in lines)):
-                    yield ((r["_key"], r["_url"], r["h1"], r["h2"], [x for x, _ in lines], [zone for _, zone in lines])
-                           if open_pages else (r["_key"], r["_url"], main_text(lines, set())))
+    def alone(rows: Iterator[dict]) -> Iterator[tuple]:
+        """Texts of the pages that can have no neighbour."""
+        for r in rows:
+            yield r["_key"], r["_url"], main_text(page_lines(r["_html"]), set())
 
-        return work
+    def paired(rows: Iterator[dict]) -> Iterator[tuple]:
+        """Lines of the others; what they share is taken off before the marks correct it."""
+        for r in rows:
+            lines = page_lines(r["_html"])
+            yield r["_key"], r["_url"], r["h1"], r["h2"], [x for x, _ in lines], [zone for _, zone in lines]
 
     def texts(rows: Iterator[dict]) -> Iterator[tuple]:
         for r in rows:
@@ -446,9 +444,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     fields = [pages.select(key).schema[0], pages.select(url).schema[0]]
     schema = StructType([*fields, *StructType.fromDDL("text string").fields])
     lines = StructType([*source.schema.fields[:2], *StructType.fromDDL("h1 bigint, h2 bigint, lines array<string>, zones array<int>").fields])
-    alone = _mapped(source.select("_key", "_url", "_host", "_html"), schema, told(False))
-    paired = _mapped(source.select("_key", "_url", "h1", "h2", "_host", "_html"), lines, told(True)).join(shared, ["h1", "h2"], "left")
-    return alone.union(_mapped(paired.select("_key", "_url", "lines", "zones", "shared"), schema, texts))
+    hostless = _mapped(source.where("_host = ''").select("_key", "_url", "_html"), schema, alone)
+    held = _mapped(source.where("_host <> ''").select("_key", "_url", "h1", "h2", "_html"), lines, paired).join(shared, ["h1", "h2"], "left")
+    return hostless.union(_mapped(held.select("_key", "_url", "lines", "zones", "shared"), schema, texts))
 
 
 def _batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:

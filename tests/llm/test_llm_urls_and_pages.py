@@ -186,3 +186,17 @@ def test_long_alignments_are_exact(monkeypatch):
             found = sorted(html_text.shared_lines(a, b))
             rest = iter(b)
             assert len(found) == table_lcs(a, b) and all(any(a[i] == y for y in rest) for i in found)
+
+
+def test_marked_pages_are_differenced_too(spark, tmp_path):
+    """Their marks correct the result, they do not take the place of the step."""
+    from ledgerloom.llm.scratch import Scratch
+
+    page = "<nav>Home</nav><p>Top</p><article><p>Said by all</p><p>only {}</p></article><p>All rights reserved</p>"
+    rows = [(k, f"http://h.org/{k}", page.format(k)) for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    source = df.selectExpr("page_id _key", "url _url", "page_id h1", "page_id h2", "'h.org' _host", "concat('/', page_id) _path", "html _html")
+    shared = {r["h1"]: r["shared"] for r in html_text.shared_places(source, Scratch(spark, "pages")).collect()}
+    assert set(shared) == set(range(6)) and all(len(x) >= 3 for x in shared.values())
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got == {k: f"Said by all\nonly {k}" for k in range(6)}
