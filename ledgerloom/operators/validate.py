@@ -16,11 +16,13 @@ from ledgerloom.sources.contracts import FeedContract
 @dataclass
 class Gate:
     """A checked feed. `tagged` holds every input row once, with `_quarantine_reason` and `_valid`. `suspects`, if given, has
-    a row if and only if `quarantine` has one, and is known without joining the feed."""
+    a row if and only if `quarantine` has one, and `counts` has one row of `rows_in`, `valid` and `quarantined`; both are
+    known without joining the feed."""
 
     tagged: DataFrame
     missing: list[str]
     suspects: DataFrame | None = None
+    counts: DataFrame | None = None
 
     @property
     def valid(self) -> DataFrame:
@@ -31,9 +33,11 @@ class Gate:
         return self.tagged.filter("not _valid")
 
 
-def repeated_keys(df: DataFrame, key: str, out: str = "_copies") -> DataFrame:
-    """Keys that occur more than once with their number of rows, NULL included; counted before the shuffle."""
-    return df.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias(out)).filter(F.col(out) > 1)
+def repeated_keys(df: DataFrame, key: str, out: str = "_copies", clean: Column | None = None) -> DataFrame:
+    """Keys that occur more than once with their number of rows, NULL included; counted before the shuffle. `_clean` is the
+    number of those rows for which `clean` holds, if it is given."""
+    counts = [F.count(F.lit(1)).alias(out)] + ([] if clean is None else [F.count_if(clean).alias("_clean")])
+    return df.groupBy(F.col(key).alias("_k")).agg(*counts).filter(F.col(out) > 1)
 
 
 def with_key_count(df: DataFrame, key: str, out: str = "_copies", repeated: DataFrame | None = None) -> DataFrame:
@@ -47,7 +51,8 @@ def with_key_count(df: DataFrame, key: str, out: str = "_copies", repeated: Data
     """
     if repeated is not None:
         nulls = repeated.filter("_k is null").agg(F.max(out)).scalar()
-        tagged = df.join(repeated.filter("_k is not null"), df[key] == repeated["_k"], "left").drop("_k")
+        known = repeated.filter("_k is not null").select("_k", out)
+        tagged = df.join(known, df[key] == known["_k"], "left").drop("_k")
         copies = F.when(F.col(key).isNull(), nulls).otherwise(F.col(out))
         return tagged.withColumn(out, F.coalesce(copies, F.lit(1).cast("bigint")))
     repeated = repeated_keys(df, key, out)
@@ -66,28 +71,43 @@ def _tag(df: DataFrame, reasons: list[Column]) -> DataFrame:
     )
 
 
+def row_reasons(contract: FeedContract) -> list[Column]:
+    """The reasons of Q1 that a row shows by itself."""
+    reasons = [F.when(blank(c), F.lit(f"null:{c};")) for c in contract.non_null]
+    return [*reasons, F.when(F.col(contract.pk).isNull(), F.lit(f"null_pk:{contract.pk};"))]
+
+
+def clean_row(contract: FeedContract) -> Column:
+    """Whether a row shows no reason by itself; its key may still be repeated."""
+    return F.coalesce(*row_reasons(contract)).isNull()
+
+
 def validate_feed(
     df: DataFrame, contract: FeedContract, lineage: bool = True, repeated: DataFrame | None = None
 ) -> Gate:
     """Q1: required columns, non-null columns, key present and unique.
 
     A missing required column fails the whole feed; otherwise each row gets its own reasons. `repeated` are the
-    feed's repeated keys read from a written table, see `with_key_count`.
+    feed's repeated keys read from a written table, see `with_key_count`. With `_clean` in it the rows are counted without
+    a join: valid are the clean rows less those under a repeated key.
     """
     need = set(contract.required) | (set(v.LINEAGE_REQUIRED) if lineage else set())
     missing = sorted(need - set(df.columns))
     if missing:
         reason = F.lit("missing_columns: " + ", ".join(missing))
         return Gate(df.withColumns({"_quarantine_reason": reason, "_valid": F.lit(False)}), missing)
-    reasons = [F.when(blank(c), F.lit(f"null:{c};")) for c in contract.non_null]
-    reasons.append(F.when(F.col(contract.pk).isNull(), F.lit(f"null_pk:{contract.pk};")))
-    suspects = None
+    reasons = row_reasons(contract)
+    suspects = counts = None
     if repeated is not None:
         suspects = repeated.select(F.lit(1).alias("one")).unionByName(
-            df.filter(F.coalesce(*reasons).isNotNull()).select(F.lit(1).alias("one")))
+            df.filter(~clean_row(contract)).select(F.lit(1).alias("one")))
+        if "_clean" in repeated.columns:
+            under = F.coalesce(repeated.agg(F.sum("_clean")).scalar(), F.lit(0).cast("bigint"))
+            counts = df.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(clean_row(contract)).alias("_clean")).select(
+                "rows_in", (F.col("_clean") - under).alias("valid"), (F.col("rows_in") - F.col("_clean") + under).alias("quarantined"))
     reasons.append(F.when(F.col("_copies") > 1, F.lit(f"dup_pk:{contract.pk};")))
     counted = with_key_count(df, contract.pk, repeated=repeated)
-    return Gate(_tag(counted, reasons).drop("_copies"), [], suspects)
+    return Gate(_tag(counted, reasons).drop("_copies"), [], suspects, counts)
 
 
 def empty_like(df: DataFrame) -> DataFrame:
@@ -138,14 +158,14 @@ def freshness(feeds: dict[tuple[str, str], DataFrame], as_of: str, max_age_days:
 
 
 def summarize(gates: dict[tuple[str, str], Gate]) -> DataFrame:
-    """Q5: rows in, valid and quarantined for each feed, one aggregate per feed."""
+    """Q5: rows in, valid and quarantined for each feed, one aggregate per feed; from the gate's counts where it has them."""
     parts = []
     for (source, entity), gate in gates.items():
         counts = gate.tagged.agg(
             F.count(F.lit(1)).alias("rows_in"),
             F.count_if(F.col("_valid")).alias("valid"),
             F.count_if(~F.col("_valid")).alias("quarantined"),
-        )
+        ) if gate.counts is None else gate.counts
         status = (
             F.lit("STRUCTURAL FAIL") if gate.missing
             else F.when(F.col("quarantined") == 0, "OK").otherwise("QUARANTINED ROWS")

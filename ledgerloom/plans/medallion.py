@@ -9,6 +9,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import vocab as v
 from ledgerloom.operators import quality, reconcile, star, temporal
 from ledgerloom.operators.identity import attach_canonical, coverage, remap, split_unmapped
-from ledgerloom.operators.validate import Gate, repeated_keys, summarize, validate_feed
+from ledgerloom.operators.validate import Gate, clean_row, repeated_keys, summarize, validate_feed
 from ledgerloom.sources.contracts import CONTRACTS, ENTITY_KEYS, FEEDS, INTERNAL, INTERNAL_ENTITIES, SHARED_ENTITIES, SOURCES
 from ledgerloom.sources.landing import save_if_any
 
@@ -124,7 +125,7 @@ class Medallion:
         self.keep = keep or (lambda name, df: df)
         #: The identity map by entity type. A table that needs one type does not wait for the lines behind the edges' ids.
         self.maps: Mapping[str, DataFrame] = Lazy([kind for kind, _ in ENTITY_KEYS.values()], self._map)
-        #: Keys that occur more than once, by feed: (_k, _copies). Read from a table of their own, so their size is known.
+        #: Keys that occur more than once, by feed: (_k, _copies, _clean). Read from a table of their own, so their size is known.
         self.repeated: Mapping[tuple[str, str], DataFrame | None] = Lazy(FEEDS, self._repeated)
         self._delivered: Mapping[tuple[str, str], Gate] = Lazy(FEEDS, self._delivered_gate)
 
@@ -155,17 +156,18 @@ class Medallion:
     # --- stage A ---
 
     def _repeated(self, feed: tuple[str, str]) -> DataFrame | None:
-        landed, key = self.landing[feed], CONTRACTS[feed[1]].pk
-        if key not in landed.columns:
+        landed, contract = self.landing[feed], CONTRACTS[feed[1]]
+        if contract.pk not in landed.columns:
             return None
-        return self.keep(f"stg_repeated_{feed[0]}_{feed[1]}", repeated_keys(landed, key))
+        clean = clean_row(contract) if set(contract.non_null) <= set(landed.columns) else None
+        return self.keep(f"stg_repeated_{feed[0]}_{feed[1]}", repeated_keys(landed, contract.pk, clean=clean))
 
     @cached_property
     def gates(self) -> Mapping[tuple[str, str], Gate]:
         """Tagged feeds; not written, as each use reads other columns and the repeated keys are at hand."""
         def build(feed):
             gate = self._delivered[feed]
-            return Gate(self._stamped(gate.tagged, *feed), gate.missing, gate.suspects) if self._again else gate
+            return replace(gate, tagged=self._stamped(gate.tagged, *feed)) if self._again else gate
 
         return Lazy(FEEDS, build)
 

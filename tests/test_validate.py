@@ -41,6 +41,20 @@ def test_hot_key_keeps_every_row(frame):
     assert (gate.valid.count(), gate.quarantine.count()) == (1000, 500)
 
 
+def test_rows_are_counted_without_a_join(spark, frame):
+    """Blank and NULL columns, repeated, hot and NULL keys, a feed without rows, and one without repeats."""
+    hot = [("hot", str(i) if i % 3 else " ") for i in range(30)]
+    for rows in (hot + [("1", "a"), ("2", " "), (None, "x"), (None, None), ("3", "x"), ("3", None), ("4", "y")], [], [("1", "a"), ("2", "")]):
+        df = landing.materialize(frame(rows, SCHEMA))
+        known = landing.materialize(validate.repeated_keys(df, SIMPLE.pk, clean=validate.clean_row(SIMPLE)))
+        gate = validate.validate_feed(df, SIMPLE, lineage=False, repeated=known)
+        got = validate.summarize({("s", "t"): gate})
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+        plain = validate.summarize({("s", "t"): validate.validate_feed(df, SIMPLE, lineage=False)})
+        assert rows_of(got) == rows_of(plain) and got.schema["valid"].dataType == plain.schema["valid"].dataType
+        assert gate.tagged.columns == [*df.columns, "_quarantine_reason", "_valid"]
+
+
 def test_missing_column_fails_the_feed(frame):
     gate = validate.validate_feed(frame([("1",), ("2",)], "id string"), SIMPLE, lineage=False)
     assert gate.missing == ["name"]
