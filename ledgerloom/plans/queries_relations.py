@@ -197,6 +197,7 @@ def stage_health(c: Context) -> DataFrame:
            conflict_type, resolution_action, CASE WHEN conflict_type IS NOT NULL THEN 'stage_b' END AS resolved_by
     FROM c_ro r LEFT JOIN (SELECT * FROM log WHERE entity_type = 'funding_round') l ON l.entity_id = r.round_id""")
 def why(c: Context) -> DataFrame:
-    df = relations.why_value(c.m.conformed["funding_rounds"], "round_id", c.m.log, "funding_round")
+    log = c.m.log  # writes the reconciled rounds, which the conformed ones are then read from
+    df = relations.why_value(c.m.conformed["funding_rounds"], "round_id", log, "funding_round")
     return df.select("round_id", F.array_join("source_attribution", ",").alias("sources"), "conflict_type", "resolution_action", "resolved_by")
 

@@ -206,3 +206,20 @@ def test_rows_set_apart_are_worked_out_once_for_the_write(spark, sf_dir, tmp_pat
     # Lineage is stamped behind the join with the identity map too, so no hash travels to it.
     plan = m.identified("feed_b", "funding_rounds").select("_record_id", "canonical_id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("sha2(") < plan.index("Join ") and plan.count("sha2(") == 1
+
+
+def test_conformed_tables_do_not_need_written_reconciled_ones(spark, sf_dir):
+    """Straight from the alignment, edges with the day of their round brought along by its key, or from the written rows."""
+    names = []
+
+    def keep(name, df):
+        names.append(name)
+        return materialize(df)
+
+    direct = Medallion(Fixtures(spark, sf_dir, keep), RESOLVED_AT, groups_of_segments(), keep)
+    tables = {e: direct.conformed[e] for e in ("funding_rounds", "investments")}
+    assert not [n for n in names if n.startswith("reconciled_")]
+    written = Medallion(Fixtures(spark, sf_dir, keep), RESOLVED_AT, groups_of_segments(), keep)
+    written.reconciled.build(tables)
+    for entity, df in tables.items():
+        assert df.columns == written.conformed[entity].columns and rows_of(df) == rows_of(written.conformed[entity])
