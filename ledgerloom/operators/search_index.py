@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ledgerloom.sources.landing import materialize
 Keep = Callable[[DataFrame], DataFrame]
 #: Documents of a block of postings, about, and blocks of a question that are scored before the bound is known.
 BLOCK_DOCS, FIRST_BLOCKS = 32, 4
+#: Characters and texts whose trigrams are packed into one row each; a longer text is packed alone.
+PACK_CHARS, PACK_DOCS = 1 << 20, 128
 
 
 def ranked_in_blocks(
@@ -72,29 +75,65 @@ def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:], np.arange(max(len(c) - 2, 0), dtype=np.int32)
 
 
+def _postings(batch: pa.RecordBatch, first: int, last: int) -> pa.RecordBatch | None:
+    """A row for each gram of the texts from `first` to before `last`: those that have it, how often, and all places, text by text."""
+    grams = [_grams(batch.column(1)[row].as_py()) for row in range(first, last)]
+    row = np.repeat(np.arange(first, last), [len(g) for g, _ in grams])
+    gram, at = (np.concatenate(part) for part in zip(*grams, strict=True))
+    if not len(gram):
+        return None
+    order = np.argsort(gram, kind="stable")
+    gram, row, at = gram[order], row[order], at[order]
+    new = np.diff(gram, prepend=gram[0] - 1) != 0
+    text = np.flatnonzero(new | (np.diff(row, prepend=-1) != 0))  # where a text begins
+    whole = np.flatnonzero(new)  # where a gram begins
+    texts = np.append(np.searchsorted(text, whole), len(text)).astype(np.int32)
+    docs = batch.column(0).take(pa.array(row[text]))
+    places = np.append(whole, len(row)).astype(np.int32)
+    # Places as two halves: the high one is zero for most texts and costs nothing on the way.
+    return pa.RecordBatch.from_arrays(
+        [pa.array(gram[whole]), batch.column(0).take(pa.array(row[whole])), pa.ListArray.from_arrays(pa.array(texts), docs),
+         pa.ListArray.from_arrays(pa.array(texts), pa.array(np.diff(text, append=len(row)).astype(np.int32))),
+         pa.ListArray.from_arrays(pa.array(places), pa.array((at >> 15).astype(np.int32))),
+         pa.ListArray.from_arrays(pa.array(places), pa.array((at & 0x7FFF).astype(np.int16)))],
+        ["gram", "doc", "docs", "counts", "high", "low"])
+
+
 def trigram_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(gram, doc, places), one row for each three characters that a text has, in lower case, with all their places.
 
-    A text's rows are made where it is read; the index is range-partitioned by gram and text and sorted, so a lookup reads
-    the row groups of its grams, and a gram that all texts have lies in many files. Written once, read back.
+    A text's rows are made where it is read, and travel packed: a row for each gram of some texts read together. The index is
+    range-partitioned by gram and first text of a pack and sorted, so a lookup reads the row groups of its grams, and a gram
+    that all texts have lies in many files. Written once, read back.
     """
     source = docs.select(F.col(doc_id).alias("doc"), F.lower(text).alias("t")).filter("t is not null")
     kind = source.schema["doc"].dataType.simpleString()
 
-    def run(batches):
+    def pack(batches):
+        for batch in batches:
+            ends = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < batch.num_rows:
+                begun = ends[first - 1] if first else 0
+                last = min(max(first + 1, int(np.searchsorted(ends, begun + PACK_CHARS))), first + PACK_DOCS, batch.num_rows)
+                packed = _postings(batch, first, last)
+                if packed is not None:
+                    yield packed
+                first = last
+
+    def unpack(batches):
         for batch in batches:
-            for row in range(batch.num_rows):  # one text's grams at a time
-                gram, at = _grams(batch.column(1)[row].as_py())
-                order = np.argsort(gram, kind="stable")
-                first = np.flatnonzero(np.diff(gram[order], prepend=-1))
-                if not len(first):
-                    continue
-                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order]))
-                doc = batch.column(0).take(pa.array(np.full(len(first), row)))
-                yield pa.RecordBatch.from_arrays([pa.array(gram[order][first]), doc, places], ["gram", "doc", "places"])
-
-    rows = source.mapInArrow(run, f"gram bigint, doc {kind}, places array<int>")
-    rows.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").write.mode("overwrite").parquet(path)
+            _, docs, counts, high, low = batch.columns
+            places = (high.flatten().to_numpy() << 15) | low.flatten().to_numpy()
+            at = np.append(0, np.cumsum(counts.flatten().to_numpy())).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pc.list_parent_indices(docs)), docs.flatten(),
+                 pa.ListArray.from_arrays(pa.array(at), pa.array(places))], ["gram", "doc", "places"])
+
+    packs = source.mapInArrow(pack, f"gram bigint, doc {kind}, docs array<{kind}>, counts array<int>, high array<int>, low array<smallint>")
+    packs = packs.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").drop("doc")
+    rows = packs.mapInArrow(unpack, f"gram bigint, doc {kind}, places array<int>")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,22 @@ def test_a_gram_that_all_texts_have_lies_in_many_files(spark):
     assert whole[0] < whole[1] / 20
 
 
+def test_postings_travel_packed_and_lose_no_place(spark, frame):
+    """More texts than a pack takes, texts without a trigram, and places beyond 15 bits."""
+    texts = [f"text {k % 7} of {k}" for k in range(300)] + ["", "ab", "x" * 70_000 + " needle"]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "t": texts})
+    packed = search_index._postings(batch, 0, 100)
+    assert packed.num_rows == len({g for t in texts[:100] for g in search_index._grams(t)[0].tolist()})
+    docs = frame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    index = search_index.trigram_index(docs, f"{shared_dir(spark)}/t")
+    want = {}
+    for doc, text in enumerate(texts):
+        gram, at = search_index._grams(text)
+        for g, place in zip(gram.tolist(), at.tolist(), strict=True):
+            want.setdefault((g, doc), []).append(place)
+    assert {(r["gram"], r["doc"]): r["places"] for r in index.collect()} == want and index.count() == len(want)
+
+
 def test_cells_change_no_row_and_save_products(spark):
     """Clustered vectors, ties, repeated rows, two lengths, and vectors that have no cosine."""
     rng = np.random.default_rng(1)
