@@ -54,6 +54,18 @@ def attribution(sources: Sequence[str] = SOURCES) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(s).isNotNull(), F.lit(s)) for s in sources]))
 
 
+def thinned(aligned: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
+    """Aligned rows in which a feed that `best_row` does not take has NULL in all its fields. It still counts as having the
+    key, so status, attribution and best row stay as they are, and joins behind move the best row's values alone. Not for
+    entities whose feeds are compared afterwards."""
+    out = {}
+    for i, s in enumerate(sources[1:], 1):
+        nothing = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in aligned.schema[s].dataType])
+        taken = any_of([F.col(earlier).isNotNull() for earlier in sources[:i]])
+        out[s] = F.when(taken & F.col(s).isNotNull(), nothing).otherwise(F.col(s))
+    return aligned.withColumns(out)
+
+
 def in_all(sources: Sequence[str] = SOURCES) -> Column:
     return reduce(lambda a, b: a & b, [F.col(s).isNotNull() for s in sources])
 

@@ -219,12 +219,15 @@ class Medallion:
     def aligned(self, entity: str, covered: bool = False, closed: bool = False) -> DataFrame:
         """One row per canonical id, foreign keys of the best row remapped; the vendors' own are left behind then. With
         `covered` the company's key brings its coverage along, as `n_sources`, and no join of its own is needed for it; with
-        `closed` the round's key brings the day the round was announced, as `_close`."""
+        `closed`, for edges, the round's key brings the day the round was announced, as `_close`, and the joins move the best
+        row's values alone."""
         feeds = {s: self._ordered(s, entity) for s in SOURCES}
         df = reconcile.align({s: f for s, (f, _) in feeds.items()}, "canonical_id", ALIGNED[entity](), feeds[SOURCES[0]][1])
         keys = FOREIGN_KEYS.get(entity)
         if not keys:
             return df
+        if closed:
+            df = reconcile.thinned(df)
         best = df.withColumn("_best", reconcile.best_row()).withColumns(
             {"best_source": reconcile.best_source(), **{c: F.col(f"_best.{c}") for c in keys}})
         best = best.withColumns({s: F.col(s).dropFields(*keys) for s in SOURCES})

@@ -151,3 +151,18 @@ def test_ledger_and_log_agree_at_the_threshold(frame):
     want += [("R4",)]  # the larger is positive
     assert rows_of(ledger, "canonical_id") == sorted(want) == rows_of(log, "entity_id")
     assert reconcile.score_log(log, ledger).first()["verdict"] == "PASS"
+
+
+def test_thinned_edges_keep_status_attribution_and_best_row(frame):
+    a = [("both", "a0", "C1", 1), ("a", "a2", "C1", 2), ("hole", "a3", None, None)]
+    b = [("both", "b0", "C1", 7), ("b", "b2", "C2", 8), ("hole", "b3", "C1", 9)]
+    feeds = {"feed_a": frame(a, EDGE), "feed_b": frame(b, EDGE)}
+    whole = reconcile.align(feeds, "canonical_id", ["vendor_company_id", "n"]).withColumn("company_id", F.lit("C1"))
+    thin = reconcile.thinned(whole)
+    moved = {r["canonical_id"]: (r["feed_b"] is not None, r["feed_b"] and r["feed_b"]["n"]) for r in thin.collect()}
+    assert moved == {"both": (True, None), "a": (False, None), "hole": (True, None), "b": (True, 8)}
+    cover = frame([("C1", 2)], "canonical_id string, n_sources long")
+    columns = ["canonical_id", "best", "reconciliation_status", "source_attribution", "conflicts"]
+    full, cut = (
+        rows_of(reconcile.reconcile_investments(df, cover).withColumn("best", reconcile.best_row()), *columns) for df in (whole, thin))
+    assert full == cut and len(cut) == 4
