@@ -101,7 +101,7 @@ def colleagues(c: Context) -> DataFrame:
     SELECT investor_id, tag, count(*) AS n_companies FROM (SELECT DISTINCT investor_id, ck FROM c_ed)
     JOIN (SELECT ck, tag1 AS tag FROM c_co UNION ALL SELECT ck, tag2 FROM c_co) USING (ck) WHERE tag IS NOT NULL GROUP BY ALL""")
 def tags(c: Context) -> DataFrame:
-    return relations.investor_tags(seats(c), c.m.conformed["companies"])
+    return relations.investor_tags(seats(c), c.m.lookups["companies"])
 
 
 _SIMILAR = f"""
