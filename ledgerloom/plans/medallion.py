@@ -19,8 +19,9 @@ from ledgerloom.functions import vocab as v
 from ledgerloom.operators import quality, reconcile, star, temporal
 from ledgerloom.operators.identity import attach_canonical, coverage, remap, split_unmapped
 from ledgerloom.operators.validate import Gate, clean_row, repeated_keys, summarize, validate_feed
+from ledgerloom.session import shuffles_dropped
 from ledgerloom.sources.contracts import CONTRACTS, ENTITY_KEYS, FEEDS, INTERNAL, INTERNAL_ENTITIES, SHARED_ENTITIES, SOURCES
-from ledgerloom.sources.landing import looked_up, save_if_any
+from ledgerloom.sources.landing import drop_path, looked_up, save_if_any
 
 Hook = Callable[[str, DataFrame], DataFrame]
 
@@ -116,7 +117,8 @@ class Medallion:
     `stamp(frame, source, entity)`, which adds it. Its feeds are then not copied, and record ids, 64 characters of hash a row,
     are worked out behind the joins and not carried through them.
 
-    `keep(name, frame)` may write a frame and give back what it read; by default frames stay lazy.
+    `keep(name, frame)` may write a frame and give back what it read; by default frames stay lazy. If it has `drop(name)`, that
+    is called for tables that nothing reads any more.
     """
 
     def __init__(
@@ -127,11 +129,13 @@ class Medallion:
         self.sector_groups = sector_groups
         self.keep = keep or (lambda name, df: df)
         self._looked_up = looked_up if keep else (lambda df: df)
+        self._drop = getattr(keep, "drop", lambda name: None)
         #: The identity map by entity type. A table that needs one type does not wait for the lines behind the edges' ids.
         self.maps: Mapping[str, DataFrame] = Lazy([kind for kind, _ in ENTITY_KEYS.values()], self._map)
         #: Keys that occur more than once, by feed: (_k, _copies, _clean). Read from a table of their own, so their size is known.
         self.repeated: Mapping[tuple[str, str], DataFrame | None] = Lazy(FEEDS, self._repeated)
         self._delivered: Mapping[tuple[str, str], Gate] = Lazy(FEEDS, self._delivered_gate)
+        self._aligned: Mapping[str, DataFrame] = Lazy(SHARED_ENTITIES, self._align)
 
     # --- landing ---
 
@@ -217,13 +221,26 @@ class Medallion:
             return df, reconcile.RECORD
         return df.withColumn("_order", F.conv(F.substring(reconcile.RECORD, 1, 15), 16, 10).cast("bigint")), "_order"
 
+    def _align(self, entity: str) -> DataFrame:
+        """The feeds side by side. Of entities that refer to others, the long ones, the identified feeds and the result are
+        written: what one join or aggregation has shuffled is then off the disk when the next one begins. The identified feeds
+        go when they are aligned."""
+        feeds, attrs = {s: self._ordered(s, entity) for s in SOURCES}, ALIGNED[entity]()
+        order = feeds[SOURCES[0]][1]
+        if entity not in FOREIGN_KEYS:
+            return reconcile.align({s: f for s, (f, _) in feeds.items()}, "canonical_id", attrs, order)
+        kept = {s: self.keep(f"identified_{s}_{entity}", f.select("canonical_id", order, *attrs)) for s, (f, _) in feeds.items()}
+        out = self.keep(f"aligned_{entity}", reconcile.align(kept, "canonical_id", kept[SOURCES[0]].columns[2:], order))
+        for s in SOURCES:
+            self._drop(f"identified_{s}_{entity}")
+        return out
+
     def aligned(self, entity: str, covered: bool = False, closed: bool = False) -> DataFrame:
         """One row per canonical id, foreign keys of the best row remapped; the vendors' own are left behind then. With
         `covered` the company's key brings its coverage along, as `n_sources`, and no join of its own is needed for it; with
         `closed`, for edges, the round's key brings the day the round was announced, as `_close`, and the joins move the best
         row's values alone."""
-        feeds = {s: self._ordered(s, entity) for s in SOURCES}
-        df = reconcile.align({s: f for s, (f, _) in feeds.items()}, "canonical_id", ALIGNED[entity](), feeds[SOURCES[0]][1])
+        df = self._aligned[entity]
         keys = FOREIGN_KEYS.get(entity)
         if not keys:
             return df
@@ -408,9 +425,11 @@ def write_stages(spark: SparkSession, out: str) -> Hook:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if name.startswith("vendor_id_mapping/"):
             writer = writer.partitionBy("source_system")
-        writer.parquet(path)
+        with shuffles_dropped(spark):
+            writer.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
+    keep.drop = lambda name: drop_path(spark, f"{out.rstrip('/')}/{name}")
     return keep
 
 

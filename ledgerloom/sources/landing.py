@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from ledgerloom.session import shared_dir
+from ledgerloom.session import shared_dir, shuffles_dropped
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -17,6 +17,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the caller wrote."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def read_feed(spark: SparkSession, base: str, name: str, schema: StructType | str | None = None) -> DataFrame:
     """`<base>/<name>.parquet`, else the folder `<base>/<name>`, else `<base>/<name>.csv`.
 
@@ -112,7 +119,8 @@ def materialize(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives the loss of an executor."""
     path = f"{shared_dir(df.sparkSession)}/t"
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

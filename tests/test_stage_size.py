@@ -1,12 +1,16 @@
-"""What the stages hold at once in memory, for a join."""
+"""What the stages hold at once: on the disk while they are written, and in memory for a join."""
 
+import os
+import time
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators.identity import attach_canonical
 from ledgerloom.plans import medallion
 from ledgerloom.plans.medallion import Medallion, write_stages
+from ledgerloom.session import CLEANUP, shuffles_dropped
 from ledgerloom.sources.fixtures import Fixtures
 from ledgerloom.sources.landing import looked_up, materialize
 from tests.conftest import rows_of
@@ -43,6 +47,11 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f"{at}/{f}" for d in dirs for at, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+
+
 def test_a_table_of_many_rows_is_not_broadcast_for_its_small_files(spark, frame):
     feed = frame([("a-1", 1), ("a-9", 2), (None, 3)], "vendor_id string, n int")
     ids = materialize(frame([("x", f"a-{k}", "feed_a", f"C-{k}") for k in range(8)],
@@ -61,3 +70,27 @@ def test_stages_do_not_broadcast_long_identity_maps_and_rounds(spark, folder, mo
         assert "SortMergeJoin" in plan(m.identified("feed_a", entity)) and "SortMergeJoin" not in plan(usual.identified("feed_a", entity))
     assert plan(m.aligned("investments", covered=True, closed=True)).count("SortMergeJoin") >= 3
     assert (rows_of(m.conformed["investments"].drop("ingestion_date")), rows_of(m.fact)) == want and len(want[0]) > 200
+
+
+def test_shuffle_files_go_when_a_stage_is_written(spark, tmp_path):
+    keep, before, had = write_stages(spark, str(tmp_path)), spark.conf.get(CLEANUP, None), shuffle_files(spark)
+    grouped = spark.range(50_000).groupBy((F.col("id") % 20_000).alias("k")).count()
+    assert keep("grouped", grouped).count() == materialize(grouped).count() == 20_000
+    for _ in range(100):
+        left = sum(os.path.getsize(p) for p in shuffle_files(spark) - had if os.path.exists(p))
+        if left < 20_000:  # the counts' own shuffles, of a row for each task, may stay
+            break
+        time.sleep(0.1)
+    assert left < 20_000
+    with shuffles_dropped(spark):
+        with shuffles_dropped(spark):
+            assert spark.conf.get(CLEANUP) == "true"
+        assert spark.conf.get(CLEANUP) == "true"
+    assert spark.conf.get(CLEANUP, None) == before
+
+
+def test_edges_are_identified_and_aligned_in_steps(spark, folder):
+    m = stages(spark, folder, "out")
+    assert m.conformed["investments"].count() > 200
+    made = os.listdir(f"{folder}/out")
+    assert {"aligned_investments", "aligned_funding_rounds"} <= set(made) and not [x for x in made if x.startswith("identified")]
