@@ -151,3 +151,28 @@ def test_a_task_holds_a_block_of_the_queries_of_a_cell(spark, monkeypatch):
         assert sorted(map(tuple, vector_cells.nearest_in_cells(data, asks, 3)[0].collect())) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_vectors_go_to_a_bundle_of_cells_and_not_to_each(spark, monkeypatch):
+    """Vectors spread evenly, so that all cells are visited: each goes to a few tasks all the same."""
+    rows_of_column, handed = vector_cells._rows, spark.sparkContext.accumulator(0)
+
+    def counted(column):
+        handed.add(len(column))
+        return rows_of_column(column)
+
+    rng = np.random.default_rng(9)
+    data = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=24)]) for i in range(500)], "vec_id long, embedding array<double>")
+    asks = data.selectExpr("vec_id query_id", "embedding query")
+    want = rows_of(retrieval.nearest(data, asks, 3))
+    monkeypatch.setattr(vector_cells, "_rows", counted)
+    got, n = vector_cells.nearest_in_cells(data, asks, 3)
+    assert rows_of(got) == want and n.first()["n_all"] == 250_000
+    assert handed.value <= 10 * 500  # twice the sample and the bounds, and once each side of either visit
+    monkeypatch.setattr(vector_cells, "_rows", rows_of_column)
+    for name, value in (("CHUNK", 60), ("BLOCK", 70), ("AT_ONCE", 11), ("PRODUCTS", 200), ("LEAST", 1), ("HELD", 24 * 50)):
+        monkeypatch.setattr(vector_cells, name, value)
+    assert rows_of(vector_cells.nearest_in_cells(data, asks, 3)[0]) == want
+    same = spark.range(300).selectExpr("id vec_id", "array(1.0D, 2.0D) embedding")  # all tie
+    asks = same.selectExpr("vec_id query_id", "embedding query")
+    assert rows_of(vector_cells.nearest_in_cells(same, asks, 3)[0]) == rows_of(retrieval.nearest(same, asks, 3))
