@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import json_tags
 from ledgerloom.operators.temporal import as_of
-from ledgerloom.sources.landing import materialize
+from ledgerloom.sources.landing import looked_up, materialize
 
 AFFILIATION = "array<struct<company_id:string,role:string,start_date:string,end_date:string,reason:string>>"
 STAGE = "array<struct<at:string,stage:string>>"
@@ -137,7 +137,7 @@ def backed_by_comparables_investors(
     group = ["sector_group", "stage"]
     facts = _placed(dim_company, rounds)
     target = keep(start.join(facts, start["node"] == facts["company_id"]).select("seed", *group).distinct())
-    members = keep(facts.join(target.select(*group).distinct(), group, "left_semi"))
+    members = looked_up(keep(facts.join(target.select(*group).distinct(), group, "left_semi")))
     edges = backing(investments).select("investor_id", "company_id").distinct()
     backers = edges.join(members, "company_id").groupBy(*group, "investor_id").agg(
         (F.count(F.lit(1)) > 1).alias("several"), F.min("company_id").alias("one"))

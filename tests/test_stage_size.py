@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import documents, relations
 from ledgerloom.operators.identity import attach_canonical
 from ledgerloom.plans import medallion
 from ledgerloom.plans.medallion import Medallion, write_stages
@@ -94,3 +95,32 @@ def test_edges_are_identified_and_aligned_in_steps(spark, folder):
     assert m.conformed["investments"].count() > 200
     made = os.listdir(f"{folder}/out")
     assert {"aligned_investments", "aligned_funding_rounds"} <= set(made) and not [x for x in made if x.startswith("identified")]
+
+
+def test_letters_broadcast_funds_and_not_their_quarters(spark, frame):
+    held = frame([(f"I-{k % 5}", f"C-{k}", True) for k in range(40)], "investor_id string, company_id string, is_current boolean")
+    funds = frame([(f"I-{k}", f"Fund {k}", year, True) for k, year in enumerate((1999, 2001, None, 2090, 1990))],
+                  "investor_id string, legal_name string, vintage_year int, is_current boolean")
+    names = frame([(f"C-{k}", f"Company {k}", True) for k in range(40)], "company_id string, legal_name string, is_current boolean")
+    letters = documents.quarterly_letters(held, materialize(funds), names, "2002-01-01")
+    text = plan(letters).split("Initial Plan")[0]
+    assert "Generate explode" in text and "Generate explode" not in text[text.index("BroadcastExchange HashedRelation", text.index("Generate explode")):]
+    ends = documents.quarter_ends("2002-01-01")
+    got = rows_of(letters.groupBy("investor_id").count())
+    assert got == sorted((f"I-{k}", sum(q.year >= year for q in ends)) for k, year in ((0, 1999), (1, 2001), (4, 1990)))
+    assert all(v_min <= n <= v_max for n, v_min, v_max in (
+        (len(r["refs"]) - 1, documents.v.HIGHLIGHTS_MIN, documents.v.HIGHLIGHTS_MAX) for r in letters.collect()))
+
+
+def test_comparables_are_broadcast_by_their_rows(spark, frame, monkeypatch):
+    dims = frame([(f"C-{k}", "Consumer", True) for k in range(9)], "company_id string, sector_group string, is_current boolean")
+    rounds = frame([(f"R-{k}", f"C-{k}", "Seed" if k < 6 else "Series A", datetime(2000, 1, 1), True) for k in range(9)],
+                   "round_id string, company_id string, round_type string, announced_date timestamp_ntz, is_current boolean")
+    edges = frame([(f"I-{k % 3}", f"R-{k}", f"C-{k}") for k in range(9)], "investor_id string, round_id string, company_id string")
+    start = relations.seeds(frame([("C-1",)], "company_id string"), "company_id")
+    run = lambda: relations.backed_by_comparables_investors(dims, rounds, edges, start)
+    want = rows_of(run())
+    assert want == [("C-1", "C-6"), ("C-1", "C-7"), ("C-1", "C-8")]
+    monkeypatch.setattr(relations, "looked_up", lambda df: looked_up(df, 3))
+    few = plan(run()).count("SortMergeJoin")
+    assert few >= 2 and rows_of(run()) == want
